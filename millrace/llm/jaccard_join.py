@@ -6,16 +6,17 @@ between classes and connected components:
 1. Equal sets become one class, so a group of copies of any size counts once from here on.
 2. Each class gets bucket tokens (:class:`millrace.llm._shingles.Buckets`); classes without
    a common token are proven dissimilar. Only tokens of two classes or more are kept.
-3. First grouping: under each token every class is held against one leader. What links
-   forms the groups of similar documents, in blocks of bounded size.
-4. Token-group matrix: the distinct (token, group block) cells. A class whose tokens lead to
-   a block of another group queries it: the block's union of shingles bounds the overlap
-   with any member, and only blocks whose bound reaches the threshold are opened and their
-   members compared exactly.
+3. First grouping: classes that lead to the same leader by their tokens form a cluster, and
+   are held against the leader. What links forms groups. Clusters, and groups too large for
+   them, are cut into blocks of bounded size.
+4. Token-group matrix: the distinct (token, block) cells. Two blocks that share a token, and
+   aren't of one group, meet: the union of shingles of a block bounds the overlap of a query
+   with any member, and only a block whose bound reaches the threshold is opened for it and
+   its members counted exactly.
 5. Connected components over all links.
 
-A link within a group is never needed again, so a group of r near copies costs about r
-comparisons, not r squared, and no link between different groups is lost.
+A link within a group is never needed again, and documents travel by blocks, not by pairs; no
+link between different groups is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from millrace.llm._common import connected_components, materialize
 from millrace.llm._shingles import Buckets, shingle_sets
 
-#: Most members of a block and queries of a task, on average; groups have as many blocks as they need.
-BLOCK_MEMBERS = 128
+#: Members of a block, on average at most; groups have as many blocks as they need.
+BLOCK_MEMBERS = 256
 #: Up to so many ids of documents are broadcast to pick their texts; more go by a shuffled join.
 BROADCAST_IDS = 2_000_000
 _SETS = "id long, n int, shingles binary"
@@ -121,45 +122,80 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _open_groups(sets: DataFrame, members: DataFrame, queries: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between queries (block, id) and members (block, id) of the same block.
+def _parts(blocks: DataFrame, size: str) -> DataFrame:
+    """(block, parts): how many tasks the rows (block, ...) of a block are dealt to."""
+    return blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).select("block", F.ceil(F.col("rows") / BLOCK_MEMBERS).cast("int").alias(size))
 
-    One link at least is returned for each query that links with any member of the block.
-    Blocks with many queries are dealt to several tasks, each with all members.
+
+def _star_links(sets: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the stars (block, id): of a leader, whose id is the block's, and a member."""
+    parts = _parts(stars, "parts")
+    member = stars.join(parts, "block").select("block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
+    leader = parts.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("id"))
+    rows = member.unionByName(leader).join(sets, "id")
+
+    def run(key, frame):
+        import pandas as pd
+
+        sets_of = {i: np.frombuffer(x, dtype=np.uint64) for i, x in zip(frame["id"], frame["shingles"])}
+        lead = sets_of.pop(key[0], None)
+        found = [(key[0], i) for i, h in sets_of.items() if lead is not None and _similar(lead, h, num, den)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("block", "part").applyInPandas(run, "a long, b long")
+
+
+def _block_links(sets: DataFrame, blocked: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the members (id, grp) of the blocks of each pair (qblock, block).
+
+    Members of ``qblock`` query ``block``. Returned are links enough to join all groups that any
+    link joins; pairs of members whose groups are joined already are passed over.
     """
-    asked = queries.groupBy("block").agg(F.count(F.lit(1)).alias("asked"))
-    asked = asked.select("block", F.ceil(F.col("asked") / BLOCK_MEMBERS).cast("int").alias("parts"))
-    q = queries.join(asked, "block").select(
-        "block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id", F.lit(True).alias("query")
-    )
-    m = members.join(asked, "block").select(
-        "block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "id", F.lit(False).alias("query")
-    )
-    rows = q.unionByName(m).join(sets, "id")
+    side = blocked.select(F.col("block").alias("side"), "id", "grp")
+    each = pairs.select("qblock", "block", F.explode(F.expr("array_distinct(array(qblock, block))")).alias("side"))
+    rows = each.join(side, "side").join(sets, "id")
 
     def run(key, frame):
         import pandas as pd
 
         sets_of = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
-        ids, query = frame["id"].to_numpy(), frame["query"].to_numpy()
-        mem = [i for i in range(len(ids)) if not query[i]]
-        mem.sort(key=lambda i: len(sets_of[i]))
-        union = np.unique(np.concatenate([sets_of[i] for i in mem])) if mem else np.empty(0, np.uint64)
+        ids, groups, sides = (frame[c].tolist() for c in ("id", "grp", "side"))
+        members = [i for i in range(len(ids)) if sides[i] == key[1]]
+        queries = [i for i in range(len(ids)) if sides[i] == key[0]]
+        up = {g: g for g in groups}
+
+        def root(g):
+            while up[g] != g:
+                up[g] = up[up[g]]
+                g = up[g]
+            return g
+
+        # The group's part of the token matrix: its union of shingles, and which members hold each.
+        sizes = np.array([len(sets_of[i]) for i in members])
+        flat = np.concatenate([sets_of[i] for i in members])
+        owner = np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
         links = []
-        for i in np.flatnonzero(query):
-            h = sets_of[i]
-            if len(mem) > 1:
-                at = np.searchsorted(union, h)
-                at[at == len(union)] = 0
-                if den * int((union[at] == h).sum()) < num * len(h):
-                    continue  # the bound fails: the block stays closed for this query
-            for k in mem:
-                if ids[k] != ids[i] and _similar(h, sets_of[k], num, den):
-                    links.append((ids[i], ids[k]))
-                    break
+        for q in queries:
+            h = sets_of[q]
+            lo, hi = np.searchsorted(flat, h, side="left"), np.searchsorted(flat, h, side="right")
+            held = hi > lo
+            if den * int(held.sum()) < num * len(h):
+                continue  # the union's overlap bounds that with any member: closed for this query
+            lo, hi = lo[held], hi[held]
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            common = np.bincount(owner[at], minlength=len(members))
+            for k in np.flatnonzero(den * common >= num * (len(h) + sizes - common)).tolist():
+                m = members[k]
+                x, y = root(groups[q]), root(groups[m])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    links.append((ids[q], ids[m]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("block", "part").applyInPandas(run, "a long, b long")
+    return rows.groupBy("qblock", "block").applyInPandas(run, "a long, b long")
 
 
 def jaccard_components(
@@ -205,43 +241,47 @@ def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, d
     ids = shared.select("id").distinct()
     ids = materialize(ids, "jaccard-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(_sets(docs.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]), "jaccard-sets", "lz4")
-
-    rank = F.xxhash64("id")
-    leader = shared.groupBy("token").agg(F.min_by("id", rank).alias("leader"))
-    stars = shared.join(leader, "token").where("id <> leader").select(F.col("leader").alias("block"), "id").distinct()
-    stars = materialize(stars, "jaccard-stars")
-    first = _open_groups(sets, stars.select("block", F.col("block").alias("id")).distinct(), stars, num, den)
-    first = materialize(first, "jaccard-links")
+    sets = materialize(_sets(docs.join(wanted, "id", "left_semi"), width), "jaccard-sets", "lz4")
+    if sets.count() > ids.count():  # rows that repeat an id
+        sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets", "lz4")
+
+    # Similar classes share leaders; each goes by the one of the smallest hash among its tokens'.
+    leader = shared.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("leader"))
+    cluster = shared.join(leader, "token").groupBy("id").agg(F.min_by("leader", F.xxhash64("leader")).alias("block"))
+    cluster = materialize(cluster, "jaccard-clusters")
+    first = materialize(_star_links(sets, cluster.where("id <> block"), num, den), "jaccard-links")
     grouped = connected_components(first, "jaccard-groups")
 
-    # Groups in blocks; a class without a link is a group of its own.
-    group = ids.join(grouped, "id", "left").select("id", F.coalesce("component", "id").alias("grp"))
-    sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    blocked = materialize(
-        group.join(sizes, "grp").select("id", "grp", "members", _block(F.col("grp"), F.col("id"), F.col("members")).alias("block")),
-        "jaccard-blocks",
-    )
+    blocked = materialize(_into_blocks(cluster, grouped), "jaccard-blocks")
+    # Cells of the matrix; tokens that stand in one group only can tell nothing new.
     cells = shared.join(blocked, "id")
     several = cells.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    cells = materialize(cells.join(several, "token"), "jaccard-cells", "lz4")
-    matrix = cells.select("token", F.col("grp").alias("mgrp"), F.col("members").alias("mmembers"), "block").distinct()
-    # Of two groups the smaller one asks the larger one, by ties the one with the larger id.
-    asks = cells.select("token", "id", "grp", "members").join(matrix, "token").where(
-        "members < mmembers or (members = mmembers and grp > mgrp)"
-    )
-    queries = materialize(asks.select("block", "id").distinct(), "jaccard-queries")
-    second = _open_groups(sets, blocked.select("block", "id"), queries, num, den)
+    matrix = materialize(cells.join(several, "token").select("token", "block", "own").distinct(), "jaccard-matrix", "lz4")
+    other = matrix.select("token", F.col("block").alias("qblock"), F.col("own").alias("qown"))
+    pairs = matrix.join(other, "token").where("qblock <= block and (own is null or qown is null or own <> qown)")
+    pairs = materialize(pairs.select("qblock", "block").distinct(), "jaccard-pairs")
+    second = _block_links(sets, blocked, pairs, num, den)
     return connected_components(
         grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second),
         "jaccard-components",
     )
 
 
-def _block(grp: Column, id_: Column, members: Column) -> Column:
-    """A number for the part of a group that holds ``id``; two groups meet with probability 2**-64."""
-    parts = F.ceil(members / F.lit(BLOCK_MEMBERS))
-    return F.when(parts <= 1, F.xxhash64(grp, F.lit(0).cast("long"))).otherwise(F.xxhash64(grp, F.pmod(F.xxhash64(id_), parts)))
+def _into_blocks(cluster: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(id, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS at most on average.
+
+    A large group fills blocks of its own (``own`` is its id); small groups and classes
+    without a link share the blocks of their cluster. Blocks go by 64-bit hashes; two meet with
+    probability 2**-64, and then both are compared together.
+    """
+    group = cluster.join(grouped, "id", "left").select("id", "block", F.coalesce("component", "id").alias("grp"))
+    sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    own = F.when(F.col("members") >= BLOCK_MEMBERS // 4, F.col("grp"))
+    keyed = group.join(sizes, "grp").select(
+        "id", "grp", own.alias("own"), F.when(own.isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group"))).alias("block")
+    )
+    parts = _parts(keyed, "parts")
+    return keyed.join(parts, "block").select("id", "grp", "own", F.xxhash64("block", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
