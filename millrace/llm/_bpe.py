@@ -5,21 +5,29 @@ one token, so every place where such a pair stands is a certain cut. The fragmen
 cuts merge independently of each other and their ids are concatenated. Spaces give further
 certain cuts, before any vocabulary is looked at, because no pre-token reaches across them.
 
-Texts are cut at spaces into chunks first; a chunk's ids depend on nothing outside it, so
-they are kept in a bounded table and looked up when the chunk comes again.
+Texts are cut at spaces into chunks first. A chunk's ids depend on nothing outside it, so they
+are kept in a bounded table and looked up when the chunk comes again: numpy hashes all
+chunks of a block of texts at once, finds the distinct ones and gathers the ids. The table
+goes by a 64-bit hash of the chunk and its length, and compares the first eight bytes.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
-#: Entries of the chunk table of one coder; when full it starts anew, so memory is bounded.
-MAX_CHUNKS = 300_000
-#: A chunk longer than this is encoded each time it comes, not kept.
-MAX_KEPT_CHARS = 64
+from millrace.llm._shingles import BYTE_CODES, mix, powers
+
+#: Chunks that the table of one coder holds, and pre-tokens; when full it starts anew, so memory is bounded.
+MAX_CHUNKS, MAX_PIECES = 1_000_000, 150_000
+#: Stand-in of byte 0, which stands between pieces here and in none.
+_BORDER = "\u0100"
+#: Characters of the texts of a block.
+_AT_ONCE = 1 << 20
+_U = np.uint64
 
 
 class ForcedCuts:
@@ -71,54 +79,123 @@ class Encoder:
     def __init__(self, path: str, typecode: str = "<u4"):
         self.cuts = ForcedCuts(path)
         self.dtype = np.dtype(typecode)
+        self.code = "I" if self.dtype.itemsize == 4 else "H"
         self.words = bool(self.cuts.suffix)
-        # Fixed by the two vocabularies' own pre-tokenizers, for ASCII chunks only; others go through the library's.
-        self.ascii = re.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+"
+        # Fixed by the two vocabularies' own pre-tokenizers, for chunks of ASCII and the letters of
+        # Latin-1 only; others go through the library's. The mark between chunks is a piece.
+        self.plain_pieces = re.compile(
+            r"\x00|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \n\x00a-zß-öø-ÿ0-9]+"
             if self.words
-            else r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \nA-Za-z0-9]+|[ \n]+(?![^ \n])|[ \n]+"
+            else r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \n\x00A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[ \n]+(?![^ \n])|[ \n]+"
         )
-        self.plain = re.compile(r"[\n -~]*\Z")
-        self.first, self.rest = _Table(self, ""), _Table(self, " ")
-        self.cut_before_space = re.compile(r"(?<=\S)(?= )")
+        self.plain = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*\Z")
+        self.alphabet = _byte_alphabet()
+        self.may_follow = np.zeros((512, 512), dtype=bool)
+        for pair in self.cuts.inside:
+            if max(map(ord, pair)) < 512:
+                self.may_follow[ord(pair[0]), ord(pair[1])] = True
+        self.table = _Table(self.dtype)
+        self.pieces: dict[str, bytes] = {}
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a chunk that no pre-token leaves."""
         out: list[int] = []
-        if "<|" in chunk:
-            sections = self.cuts.special_split.split(chunk)
-        else:
-            sections = [chunk]
-        for section in sections:
+        library = self.cuts.library
+        for section in self.cuts.special_split.split(chunk) if "<|" in chunk else (chunk,):
             if section in self.cuts.special:
                 out.append(self.cuts.special[section])
             elif section:
-                for piece in self._pieces(section):
+                section = library.normalizer.normalize_str(section) if library.normalizer else section
+                for piece, _ in library.pre_tokenizer.pre_tokenize_str(section):
                     self.cuts.encode_piece(piece, out)
-        return np.asarray(out, dtype=self.dtype).tobytes()
+        return array(self.code, out).tobytes()
 
-    def _pieces(self, section: str) -> list[str]:
-        library = self.cuts.library
-        if self.words:
-            if section.isascii() and self.plain.match(section):
-                return self.ascii.findall(section.lower())
-            section = library.normalizer.normalize_str(section)
-        elif self.plain.match(section):
-            return [p.replace(" ", "Ġ").replace("\n", "Ċ") for p in self.ascii.findall(section)]
-        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(section)]
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of some distinct chunks."""
+        plain, known = self.plain, self.pieces
+        out: list[bytes] = [b""] * len(chunks)
+        easy = []
+        for i, c in enumerate(chunks):
+            # White space at an end is told from that before a word by what follows; the mark would follow here.
+            if "<|" in c or not plain.match(c) or c[-1] in " \n":
+                out[i] = self.chunk(c)
+            else:
+                easy.append(i)
+        if not easy:
+            return out
+        text = "\0".join([chunks[i] for i in easy])
+        found = self.plain_pieces.findall(text.lower() if self.words else text)
+        if len(known) > MAX_PIECES:
+            known.clear()
+        self._learn_pieces([p for p in set(found).difference(known) if p != "\0"])
+        at, parts = 0, []
+        for p in found:
+            if p == "\0":
+                out[easy[at]] = b"".join(parts)
+                at, parts = at + 1, []
+            else:
+                parts.append(known[p])
+        out[easy[at]] = b"".join(parts)
+        return out
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Merges new pieces, each cut wherever a cut is certain."""
+        if not pieces:
+            return
+        known, code, tokenize = self.pieces, self.code, self.cuts.last.tokenize
+        symbols = self.alphabet[np.frombuffer("\0".join(pieces).encode("utf-8"), dtype=np.uint8)]
+        border = symbols == ord(_BORDER)
+        cut = ~self.may_follow[symbols[:-1], symbols[1:]] & ~border[:-1] & ~border[1:]
+        ends = np.concatenate((np.flatnonzero(border), [len(symbols)]))
+        several = set(np.searchsorted(ends, np.flatnonzero(cut), side="right").tolist())
+        for i, (piece, form) in enumerate(zip(pieces, symbols.tobytes().decode("utf-16-le").split(_BORDER))):
+            if i in several:
+                out: list[int] = []
+                self.cuts.encode_piece(form, out)
+            else:
+                out = [t.id for t in tokenize(form)]
+            known[piece] = array(code, out).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers; a null text counts as empty."""
+        out: list[bytes] = []
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < _AT_ONCE):
+                size += len(texts[j] or "")
+                j += 1
+            out += self._encode_some(texts[i:j])
+            i = j
+        return out
+
+    def _encode_some(self, texts: list[str | None]) -> list[bytes]:
+        raw = [(t or "").encode("utf-8") for t in texts]
+        blob = b"".join(raw)
+        ends = np.cumsum([len(r) for r in raw])
+        data = np.frombuffer(blob, dtype=np.uint8)
+        begin = chunk_starts(data, ends, self.words)
+        if not len(begin):
+            return [b""] * len(texts)
+        size = np.diff(np.concatenate((begin, [len(data)])))
+        up, down = powers(len(data))
+        key = mix(np.add.reduceat(BYTE_CODES[data] * up[: len(data)], begin) * down[begin] + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+        key, one, each = np.unique(key, return_index=True, return_inverse=True)
+        first, last = begin[one], begin[one] + size[one]
+        head = np.zeros(len(one), dtype=_U)
+        for j in range(8):
+            inside = first + j < last
+            head[inside] |= data[first[inside] + j].astype(_U) << _U(8 * j)
+        at, n, new = self.table.find(key, head)
+        if len(new):
+            got = self.learn([blob[a:b].decode("utf-8") for a, b in zip(first[new].tolist(), last[new].tolist())])
+            at[new], n[new] = self.table.add(key[new], head[new], got)
+        ids = self.table.gather(at[each], n[each])
+        upto = np.concatenate(([0], np.cumsum(n[each])))[np.searchsorted(begin, np.concatenate(([0], ends)), side="left")] * self.dtype.itemsize
+        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned integers; a null text counts as empty."""
-        if not text:
-            return b""
-        chunks = text.split(" ")
-        first, rest = self.first, self.rest
-        try:
-            return b"".join([first[chunks[0]], *map(rest.__getitem__, chunks[1:])])
-        except _Unsafe:
-            pass
-        # Spaces next to other white space: cut only where white space follows something else.
-        return b"".join(self.chunk(c) for c in self.cut_before_space.split(text))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The library's ``decode(ids, skip_special_tokens=False)`` for a vocabulary without a decoder of its own."""
@@ -126,25 +203,89 @@ class Encoder:
         return " ".join(map(strings.__getitem__, np.frombuffer(ids, dtype=self.dtype).tolist()))
 
 
-class _Unsafe(Exception):
-    """The chunk ends in white space, so the cut behind it isn't certain."""
+def _byte_alphabet() -> np.ndarray:
+    """The printable stand-ins of byte-level vocabularies: printable Latin-1 as it is, the others from 256 on, in order."""
+    out = np.arange(256, dtype=np.uint16)
+    others = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or b >= 0xAE)]
+    out[others] = np.arange(256, 256 + len(others))
+    return out
+
+
+def chunk_starts(data: np.ndarray, ends: np.ndarray, any_space: bool) -> np.ndarray:
+    """Where the chunks of texts begin that stand one after the other: at the texts' beginnings and at spaces.
 
+    Unless ``any_space`` holds, only spaces behind something else than white space count; a
+    space behind what might be Unicode white space doesn't, which makes a longer chunk.
+    """
+    cut = data == 32
+    if not any_space:
+        white = np.zeros(256, dtype=bool)
+        white[[32, *range(9, 14), *range(28, 32)]] = True
+        cut[1:] &= ~white[data[:-1]]
+        cut[2:] &= (data[1:-1] < 128) | (data[:-2] != 0xC2)
+        cut[3:] &= (data[2:-1] < 128) | (data[:-3] < 0xE1) | (data[:-3] > 0xE3)
+    starts = np.concatenate(([0], ends[:-1]))
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
 
-class _Table(dict):
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
 
-    def __missing__(self, chunk: str) -> bytes:
-        # Where white space is dropped any space is a cut; else only one behind something else.
-        if not self.encoder.words and (chunk[-1:].isspace() or (self.lead and not chunk)):
-            raise _Unsafe
-        ids = self.encoder.chunk(self.lead + chunk)
-        if len(chunk) <= MAX_KEPT_CHARS:
-            if len(self) >= MAX_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+class _Table:
+    """Ids by hash: a large sorted table, and a small one of what is new, merged into it now and then."""
+
+    RECENT = 100_000
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.used = np.empty(1 << 16, dtype=self.dtype), 0
+        self.levels = [self._level(), self._level()]
+
+    def _level(self):
+        return (np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int32))
+
+    def find(self, key: np.ndarray, head: np.ndarray):
+        """(place, count) of the ids of each key, and which keys aren't there."""
+        at, n, missing = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.ones(len(key), dtype=bool)
+        for keys, heads, places, counts in self.levels:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = (keys[i] == key) & (heads[i] == head)
+                at[hit], n[hit] = places[i[hit]], counts[i[hit]]
+                missing &= ~hit
+        return at, n, np.flatnonzero(missing)
+
+    def add(self, key: np.ndarray, head: np.ndarray, got: list[bytes]):
+        """Appends the ids of new keys, ascending; (place, count) of each."""
+        flat = np.frombuffer(b"".join(got), dtype=self.dtype)
+        n = np.array([len(g) for g in got], dtype=np.int64) // self.dtype.itemsize
+        if sum(len(level[0]) for level in self.levels) > MAX_CHUNKS:
+            self.levels = [self._level(), self._level()]  # places stay good for the block at hand
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.used], np.empty(max(len(flat), self.used), dtype=self.dtype)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        big, small = self.levels
+        small = self._merged(small, (key, head, at, n.astype(np.int32)))
+        if len(small[0]) > self.RECENT:
+            big, small = self._merged(big, small), self._level()
+        self.levels = [big, small]
+        return at, n
+
+    @staticmethod
+    def _merged(a, b):
+        order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
+        return tuple(np.concatenate((x, y))[order] for x, y in zip(a, b))
+
+    def gather(self, at: np.ndarray, n: np.ndarray) -> bytes:
+        """The ids at the places, one after the other. A table begun anew drops what it no longer points to."""
+        total = int(n.sum())
+        out = self.ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(total)].tobytes() if total else b""
+        if self.used > 8 * MAX_CHUNKS:
+            self.clear()
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

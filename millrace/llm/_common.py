@@ -49,6 +49,17 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches, rows: int = 512):
+    """Arrow batches in slices, so that what Python makes of one stays small; buffers are shared, not copied."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def gapless_rank(df: DataFrame, key: Column, order: list[Column], salt: Column, chunks: int, name: str) -> DataFrame:
     """Adds ``name``: 0-based gapless position of each row within its ``key``.
 

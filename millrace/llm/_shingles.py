@@ -15,7 +15,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[32, *range(9, 14)]] = True
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: A random odd number for each byte.
+BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes hashed at a time; a longer text is a block of its own.
@@ -30,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, BLOCK)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -58,8 +59,8 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = np.flatnonzero(starts)
     if not len(begin):
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
-    up, down = _powers(n + 1)
-    terms = _BYTE[_LOWER[data]] * up[:n]
+    up, down = powers(n + 1)
+    terms = BYTE_CODES[_LOWER[data]] * up[:n]
     terms[~inside] = 0
     sums = np.add.reduceat(terms, begin)
     lengths = np.add.reduceat(inside.astype(np.uint64), begin)

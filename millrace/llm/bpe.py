@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _bpe
+from millrace.llm._common import in_slices
 
 
 def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,8 +27,8 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         coder = _bpe.encoder(tokenizer)
-        for batch in batches:
-            ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
+        for batch in in_slices(batches):
+            ids = coder.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())],
                 names=["doc_id", "ids", "decoded"],
@@ -46,10 +47,9 @@ def bpe_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         coder = _bpe.encoder(tokenizer)
-        for batch in batches:
+        for batch in in_slices(batches):
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = coder.encode(text)
+            for ids in coder.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import _bpe
-from millrace.llm._common import materialize
+from millrace.llm._common import in_slices, materialize
 
 #: Longest code, tokens of a block, tokens between checkpoints.
 MAX_BITS, BLOCK_TOKENS, CHECKPOINT = 16, 1 << 18, 128
@@ -194,11 +194,11 @@ def write_token_files(
     def encode(batches):
         coder = _bpe.encoder(tokenizer, kind)
         end = np.array([end_id], dtype=kind).tobytes()
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = batch.column(0)
             at = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), ids, pa.array([coder.encode(t) + end for t in batch.column(1).to_pylist()], pa.binary())],
+                [pa.array(at, pa.int32()), ids, pa.array([x + end for x in coder.encode_all(batch.column(1).to_pylist())], pa.binary())],
                 names=["segment", "doc_id", "ids"],
             )
 
@@ -223,7 +223,7 @@ def write_token_files(
     code = Code(code_lengths(counts, max_bits))
 
     def pack(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             docs = [np.frombuffer(x, dtype=kind) for x in batch.column(2).to_pylist()]
             payloads, checks = code.pack(docs)
             yield pa.RecordBatch.from_arrays(
