@@ -22,17 +22,20 @@ link between different groups is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import connected_components, materialize
+from millrace.llm._common import connected_components, in_slices, materialize
 from millrace.llm._shingles import Buckets, shingle_sets
 
 #: Members of a block, on average at most; groups have as many blocks as they need.
-BLOCK_MEMBERS = 256
+BLOCK_MEMBERS = 512
+#: Ratio of the largest to the smallest set in a band of sizes.
+SIZE_BAND = 1.08
 #: Up to so many ids of documents are broadcast to pick their texts; more go by a shuffled join.
 BROADCAST_IDS = 2_000_000
 _SETS = "id long, n int, shingles binary"
@@ -43,7 +46,7 @@ def _profiles(df: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def run(batches):
         buckets = Buckets(num, den)
-        for batch in batches:
+        for batch in in_slices(batches):
             n, digest, probes = [], [], []
             for h in shingle_sets(batch.column(1), width):
                 n.append(len(h))
@@ -59,7 +62,7 @@ def _profiles(df: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = list(shingle_sets(batch.column(1), width))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())],
@@ -73,7 +76,7 @@ def _postings(classes: DataFrame) -> DataFrame:
     """(token, id) for each probe of each class."""
 
     def run(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             tokens = [np.frombuffer(p, dtype=np.int64) for p in batch.column(1).to_pylist()]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t in tokens])
             all_tokens = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
@@ -151,9 +154,12 @@ def _block_links(sets: DataFrame, blocked: DataFrame, pairs: DataFrame, num: int
     Members of ``qblock`` query ``block``. Returned are links enough to join all groups that any
     link joins; pairs of members whose groups are joined already are passed over.
     """
-    side = blocked.select(F.col("block").alias("side"), "id", "grp")
-    each = pairs.select("qblock", "block", F.explode(F.expr("array_distinct(array(qblock, block))")).alias("side"))
-    rows = each.join(side, "side").join(sets, "id")
+    side = blocked.select(F.col("block").alias("side"), "id", "grp", "n")
+    other = F.expr("if(qblock = block, array(struct(block as side, lo, hi)), array(struct(block as side, qlo as lo, qhi as hi), struct(qblock as side, lo, hi)))")
+    each = pairs.select("qblock", "block", F.inline(other))
+    # Only members whose size allows a link with some size on the other side travel.
+    fits = (F.col("n") * den >= F.col("lo") * num) & (F.col("hi") * den >= F.col("n") * num)
+    rows = each.join(side, "side").where(fits).select("qblock", "block", "side", "id", "grp").join(sets.select("id", "shingles"), "id")
 
     def run(key, frame):
         import pandas as pd
@@ -162,6 +168,8 @@ def _block_links(sets: DataFrame, blocked: DataFrame, pairs: DataFrame, num: int
         ids, groups, sides = (frame[c].tolist() for c in ("id", "grp", "side"))
         members = [i for i in range(len(ids)) if sides[i] == key[1]]
         queries = [i for i in range(len(ids)) if sides[i] == key[0]]
+        if not members or not queries:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         up = {g: g for g in groups}
 
         def root(g):
@@ -252,14 +260,17 @@ def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, d
     first = materialize(_star_links(sets, cluster.where("id <> block"), num, den), "jaccard-links")
     grouped = connected_components(first, "jaccard-groups")
 
-    blocked = materialize(_into_blocks(cluster, grouped), "jaccard-blocks")
+    blocked = materialize(_into_blocks(cluster.join(sets.select("id", "n"), "id"), grouped), "jaccard-blocks")
+    extent = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # Cells of the matrix; tokens that stand in one group only can tell nothing new.
     cells = shared.join(blocked, "id")
     several = cells.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
     matrix = materialize(cells.join(several, "token").select("token", "block", "own").distinct(), "jaccard-matrix", "lz4")
     other = matrix.select("token", F.col("block").alias("qblock"), F.col("own").alias("qown"))
     pairs = matrix.join(other, "token").where("qblock <= block and (own is null or qown is null or own <> qown)")
-    pairs = materialize(pairs.select("qblock", "block").distinct(), "jaccard-pairs")
+    pairs = pairs.select("qblock", "block").distinct().join(extent, "block")
+    pairs = pairs.join(extent.select(F.col("block").alias("qblock"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi")), "qblock")
+    pairs = materialize(pairs.where((F.col("hi") * den >= F.col("qlo") * num) & (F.col("qhi") * den >= F.col("lo") * num)), "jaccard-pairs")
     second = _block_links(sets, blocked, pairs, num, den)
     return connected_components(
         grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second),
@@ -268,20 +279,24 @@ def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, d
 
 
 def _into_blocks(cluster: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(id, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS at most on average.
+    """(id, n, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS at most on average.
 
     A large group fills blocks of its own (``own`` is its id); small groups and classes
-    without a link share the blocks of their cluster. Blocks go by 64-bit hashes; two meet with
-    probability 2**-64, and then both are compared together.
+    without a link share the blocks of their cluster. What is too large for one block is
+    cut by set size first, so that many pairs of blocks are ruled out by their sizes. Blocks
+    go by 64-bit hashes; two meet with probability 2**-64, and then both are compared together.
     """
-    group = cluster.join(grouped, "id", "left").select("id", "block", F.coalesce("component", "id").alias("grp"))
+    group = cluster.join(grouped, "id", "left").select("id", "n", "block", F.coalesce("component", "id").alias("grp"))
     sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
     own = F.when(F.col("members") >= BLOCK_MEMBERS // 4, F.col("grp"))
-    keyed = group.join(sizes, "grp").select(
-        "id", "grp", own.alias("own"), F.when(own.isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group"))).alias("block")
+    out = group.join(sizes, "grp").select(
+        "id", "n", "grp", own.alias("own"), F.when(own.isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group"))).alias("block")
     )
-    parts = _parts(keyed, "parts")
-    return keyed.join(parts, "block").select("id", "grp", "own", F.xxhash64("block", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    band = F.floor(F.log(F.col("n")) / math.log(SIZE_BAND))
+    for cut in (band, F.pmod(F.xxhash64("id"), F.col("parts"))):
+        split = F.when(F.col("parts") > 1, F.xxhash64("block", cut)).otherwise(F.col("block"))
+        out = out.join(_parts(out, "parts"), "block").select("id", "n", "grp", "own", split.alias("block"))
+    return out
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
