@@ -22,11 +22,11 @@ import numpy as np
 from millrace.llm._shingles import BYTE_CODES, mix, powers
 
 #: Chunks that the table of one coder holds, and pre-tokens; when full it starts anew, so memory is bounded.
-MAX_CHUNKS, MAX_PIECES = 1_000_000, 150_000
+MAX_CHUNKS, MAX_PIECES = 2_000_000, 300_000
 #: Stand-in of byte 0, which stands between pieces here and in none.
 _BORDER = "\u0100"
 #: Characters of the texts of a block.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 21
 _U = np.uint64
 
 

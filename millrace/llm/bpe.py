@@ -27,7 +27,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         coder = _bpe.encoder(tokenizer)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 1024):
             ids = coder.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([coder.decode(x) for x in ids], pa.string())],
@@ -47,7 +47,7 @@ def bpe_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         coder = _bpe.encoder(tokenizer)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 1024):
             n, a, b = [], [], []
             for ids in coder.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)

@@ -194,7 +194,7 @@ def write_token_files(
     def encode(batches):
         coder = _bpe.encoder(tokenizer, kind)
         end = np.array([end_id], dtype=kind).tobytes()
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 1024):
             ids = batch.column(0)
             at = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
             yield pa.RecordBatch.from_arrays(
@@ -207,11 +207,12 @@ def write_token_files(
     def count(batches):
         total = np.zeros(wide, dtype=np.int64)
         for batch in batches:
-            for part in batch.column(0):
-                total += np.bincount(np.frombuffer(part.as_buffer(), dtype=kind), minlength=wide) if len(part.as_buffer()) > 4 * wide else 0
-            small = [p.as_py() for p in batch.column(0) if len(p.as_buffer()) <= 4 * wide]
-            for i in range(0, len(small), 1024):
-                total += np.bincount(np.frombuffer(b"".join(small[i : i + 1024]), dtype=kind), minlength=wide)
+            col = batch.column(0)
+            ends = np.frombuffer(col.buffers()[1], dtype=np.int32)[col.offset : col.offset + len(col) + 1]
+            if len(col) and ends[-1] > ends[0]:
+                ids = np.frombuffer(col.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(kind)
+                for i in range(0, len(ids), _CHUNK):
+                    total += np.bincount(ids[i : i + _CHUNK], minlength=wide)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
