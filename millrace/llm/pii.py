@@ -89,7 +89,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     if text.count(".") >= 3:
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _NO_DIGIT.sub("", m[0])

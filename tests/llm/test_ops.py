@@ -331,6 +331,8 @@ def test_base_spans():
     texts += ["4111 1111 1111 1111", "4111-1111-1111-1112", "x@a@b.c.d@e.f", "1.2.3.4.5.6.7.8", "+1 (555) 555-2485", "256.1.1.1", None, "0001.2.3.4"]
     for t in texts:
         assert pii.base_spans(t) == brute_spans(t), repr(t)
+    zeros = "0" * 5000
+    assert pii.base_spans(f"a {zeros}9.1.2.255 b") == [("ip", 2, 5012)] and pii.base_spans(f"{zeros}256.1.2.3") == []
 
 
 def test_tagger_learns_and_agrees_across_windows():
