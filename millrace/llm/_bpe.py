@@ -79,7 +79,8 @@ class Encoder:
     def __init__(self, path: str, typecode: str = "<u4"):
         self.cuts = ForcedCuts(path)
         self.dtype = np.dtype(typecode)
-        self.code = "I" if self.dtype.itemsize == 4 else "H"
+        #: How the table holds ids: in two bytes where the vocabulary allows it.
+        self.code = "H" if len(self.cuts.strings) <= 1 << 16 else "I"
         self.words = bool(self.cuts.suffix)
         # Fixed by the two vocabularies' own pre-tokenizers, for chunks of ASCII and the letters of
         # Latin-1 only; others go through the library's. The mark between chunks is a piece.
@@ -94,7 +95,7 @@ class Encoder:
         for pair in self.cuts.inside:
             if max(map(ord, pair)) < 512:
                 self.may_follow[ord(pair[0]), ord(pair[1])] = True
-        self.table = _Table(self.dtype)
+        self.table = _Table(np.dtype(f"<{self.code}"))
         self.pieces: dict[str, bytes] = {}
 
     def chunk(self, chunk: str) -> bytes:
@@ -190,7 +191,7 @@ class Encoder:
         if len(new):
             got = self.learn([blob[a:b].decode("utf-8") for a, b in zip(first[new].tolist(), last[new].tolist())])
             at[new], n[new] = self.table.add(key[new], head[new], got)
-        ids = self.table.gather(at[each], n[each])
+        ids = self.table.gather(at[each], n[each]).astype(self.dtype).tobytes()
         upto = np.concatenate(([0], np.cumsum(n[each])))[np.searchsorted(begin, np.concatenate(([0], ends)), side="left")] * self.dtype.itemsize
         return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
@@ -263,7 +264,7 @@ class _Table:
         if sum(len(level[0]) for level in self.levels) > MAX_CHUNKS:
             self.levels = [self._level(), self._level()]  # places stay good for the block at hand
         if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids[: self.used], np.empty(max(len(flat), self.used), dtype=self.dtype)))
+            self.ids = np.concatenate((self.ids[: self.used], np.empty(max(len(flat), self.used // 2), dtype=self.dtype)))
         self.ids[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(n) - n
         self.used += len(flat)
@@ -279,10 +280,10 @@ class _Table:
         order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
         return tuple(np.concatenate((x, y))[order] for x, y in zip(a, b))
 
-    def gather(self, at: np.ndarray, n: np.ndarray) -> bytes:
+    def gather(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The ids at the places, one after the other. A table begun anew drops what it no longer points to."""
         total = int(n.sum())
-        out = self.ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(total)].tobytes() if total else b""
+        out = self.ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(total)]
         if self.used > 8 * MAX_CHUNKS:
             self.clear()
         return out
