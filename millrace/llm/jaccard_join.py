@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from millrace.llm._common import connected_components, in_slices, materialize
 from millrace.llm._shingles import Buckets, shingle_sets
 
-#: Members of a block, on average at most; groups have as many blocks as they need.
-BLOCK_MEMBERS = 512
+#: Members of a block and their shingles, on average at most; groups have as many blocks as they need.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Ratio of the largest to the smallest set in a band of sizes.
 SIZE_BAND = 1.08
 #: Up to so many ids of documents are broadcast to pick their texts; more go by a shuffled join.
@@ -126,16 +126,17 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _parts(blocks: DataFrame, size: str) -> DataFrame:
-    """(block, parts): how many tasks the rows (block, ...) of a block are dealt to."""
-    return blocks.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).select("block", F.ceil(F.col("rows") / BLOCK_MEMBERS).cast("int").alias(size))
+    """(block, parts): how many tasks the rows (block, n, ...) of a block are dealt to."""
+    much = F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)
+    return blocks.groupBy("block").agg(F.ceil(much).cast("int").alias(size))
 
 
 def _star_links(sets: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the stars (block, id): of a leader, whose id is the block's, and a member."""
+    """Links (a, b) among the stars (block, id, n): of a leader, whose id is the block's, and a member."""
     parts = _parts(stars, "parts")
     member = stars.join(parts, "block").select("block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
     leader = parts.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("id"))
-    rows = member.unionByName(leader).join(sets, "id")
+    rows = member.unionByName(leader).join(sets.select("id", "shingles"), "id")
 
     def run(key, frame):
         import pandas as pd
@@ -256,11 +257,11 @@ def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, d
     # Similar classes share leaders; each goes by the one of the smallest hash among its tokens'.
     leader = shared.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("leader"))
     cluster = shared.join(leader, "token").groupBy("id").agg(F.min_by("leader", F.xxhash64("leader")).alias("block"))
-    cluster = materialize(cluster, "jaccard-clusters")
+    cluster = materialize(cluster.join(sets.select("id", "n"), "id"), "jaccard-clusters")
     first = materialize(_star_links(sets, cluster.where("id <> block"), num, den), "jaccard-links")
     grouped = connected_components(first, "jaccard-groups")
 
-    blocked = materialize(_into_blocks(cluster.join(sets.select("id", "n"), "id"), grouped), "jaccard-blocks")
+    blocked = materialize(_into_blocks(cluster, grouped), "jaccard-blocks")
     extent = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # Cells of the matrix; tokens that stand in one group only can tell nothing new.
     cells = shared.join(blocked, "id")
@@ -279,7 +280,7 @@ def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, d
 
 
 def _into_blocks(cluster: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(id, n, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS at most on average.
+    """(id, n, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS and BLOCK_SHINGLES at most on average.
 
     A large group fills blocks of its own (``own`` is its id); small groups and classes
     without a link share the blocks of their cluster. What is too large for one block is
