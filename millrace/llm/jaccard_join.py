@@ -36,6 +36,8 @@ from millrace.llm._shingles import Buckets, shingle_sets
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Ratio of the largest to the smallest set in a band of sizes.
 SIZE_BAND = 1.08
+#: A class with at least one in so many of all rows is large; there are so many at most, which are broadcast.
+LARGE_CLASSES = 1000
 #: Up to so many ids of documents are broadcast to pick their texts; more go by a shuffled join.
 BROADCAST_IDS = 2_000_000
 _SETS = "id long, n int, shingles binary"
@@ -229,13 +231,22 @@ def jaccard_components(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     profiles = materialize(_profiles(docs, width, num, den), "jaccard-profiles", "lz4")
     filled = profiles.where("n > 0 and id is not null")
-    classes = filled.groupBy("digest").agg(F.min("id").alias("id"))
     # A class goes by its smallest id; the row with that id carries the probes.
-    heads = filled.join(classes.withColumnRenamed("id", "head").withColumnRenamed("digest", "hd"), F.col("digest") == F.col("hd"))
-    components = _class_components(docs, heads.where("id = head"), width, num, den)
-    by_class = heads.select("id", "n", "head").join(components.select(F.col("id").alias("cid"), "component"), F.col("head") == F.col("cid"), "left")
-    linked = by_class.select(
-        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "head").alias("component_id")
+    classes = filled.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(classes.withColumnRenamed("digest", "hd"), "jaccard-classes")
+    heads = filled.join(classes.select("hd", "head"), (F.col("id") == F.col("head")) & (F.col("digest") == F.col("hd")))
+    components = _class_components(docs, heads, width, num, den).select(F.col("id").alias("cid"), "component")
+    labelled = classes.join(components, F.col("head") == F.col("cid"), "left").select("hd", "rows", F.coalesce("component", "head").alias("label"))
+    labelled = materialize(labelled, "jaccard-labels")
+    # Classes that hold this share of all rows are few by arithmetic; their rows needn't meet in one task.
+    large = F.col("rows") * LARGE_CLASSES >= (classes.agg(F.sum("rows")).first()[0] or 0)
+    few = labelled.where(large).select("hd", "label")
+    rows = filled.select("id", "n", "digest")
+    of_large = rows.join(F.broadcast(few), F.col("digest") == F.col("hd"))
+    others = rows.join(F.broadcast(few.select("hd")), F.col("digest") == F.col("hd"), "left_anti")
+    of_others = others.join(labelled.where(~large).select("hd", "label"), F.col("digest") == F.col("hd"))
+    linked = of_large.unionByName(of_others).select(
+        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("label").alias("component_id")
     )
     alone = profiles.where("n = 0 or id is null").select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id")

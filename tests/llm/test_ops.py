@@ -157,8 +157,11 @@ def brute_components(rows, width, num, den):
     return {i: (len(s), root(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("width,num", [(4, 85), (5, 80)])
-def test_jaccard(spark, width, num):
+@pytest.mark.parametrize("width,num,small", [(4, 85, False), (5, 80, True)])
+def test_jaccard(spark, width, num, small, monkeypatch):
+    if small:  # many blocks, and classes on both sides of the bound for large ones
+        for name, value in (("BLOCK_MEMBERS", 16), ("BLOCK_SHINGLES", 300), ("LARGE_CLASSES", 30)):
+            monkeypatch.setattr(jaccard_join, name, value)
     rnd = random.Random(width)
     base = [[f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([2, 4, 7, 9, 15, 60, 200]))] for _ in range(25)]
     passage = [f"p{i}" for i in range(40)]
