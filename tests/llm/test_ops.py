@@ -335,7 +335,7 @@ def test_base_spans():
     for t in texts:
         assert pii.base_spans(t) == brute_spans(t), repr(t)
     zeros = "0" * 5000
-    assert pii.base_spans(f"a {zeros}9.1.2.255 b") == [("ip", 2, 5012)] and pii.base_spans(f"{zeros}256.1.2.3") == []
+    assert pii.base_spans(f"a {zeros}9.1.2.255 b") == [("ip", 2, 5011)] and pii.base_spans(f"{zeros}256.1.2.3") == []
 
 
 def test_tagger_learns_and_agrees_across_windows():
