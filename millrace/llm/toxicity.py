@@ -56,7 +56,7 @@ def allowed_edits(term: str) -> int:
 
 
 class LexiconTrie:
-    """Terms and stems in one trie, searched by the Levenshtein automaton of a word."""
+    """Terms in a trie, searched by the Levenshtein automaton of a word; stems beside it as a set of beginnings."""
 
     def __init__(self, terms: list[str], stems: list[str] = ()):
         self.stems = frozenset(stems)
@@ -292,7 +292,8 @@ def fit_toxicity(
         known_term = max((c for t, c in whole.items() if t.startswith(stem)), default=0)
         if n >= STEM_GAIN * known_term and not any(stem.startswith(s) for s in stems):
             stems.append(stem)
-    terms = [t for t in whole if not any(t.startswith(s) for s in stems)]
+    # Terms that begin with a stem stay in the trie: a misspelling inside the stem is near them alone.
+    terms = list(whole)
     trie = LexiconTrie(terms, stems)
 
     def near(batches):

@@ -434,6 +434,21 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_misspellings_inside_a_stem_are_hits(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(600):
+        w = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(40)]
+        if i % 4 == 0:
+            w[rnd.randrange(40)] = ["grobian", "grobians", "grobiann"][i // 4 % 3]
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs_of(spark, [(i, t, "s") for i, t, _ in rows]), labels, F.lit(True))
+    trie = model.scorer().trie
+    assert "grob" in model.stems and trie.kind("grobianus") == "stem"
+    assert [trie.kind(w) for w in ("gr0bian", "gobian", "grabian")] == ["misspelled"] * 3
+
+
 def brute_url(u):
     host = path = ""
     if u and "://" in u:
