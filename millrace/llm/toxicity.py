@@ -4,8 +4,8 @@ Fit: from a bounded sample of labelled rows, near copies left out, the words tha
 only in toxic texts become the lexicon's terms and word beginnings that do so become its
 stems. Score: for each word of a text the Levenshtein automaton of the word runs over the
 trie of the lexicon, so misspelled terms are caught within one edit (two from nine letters
-on). Each hit is judged by its window: inside quotation marks, or after words that report
-speech, it is a quotation, not abuse. A logistic model over the counts of exact, misspelled,
+on). Each hit is judged by its window: inside quotation marks of any length, or near words
+that report speech, it is a quotation, not abuse. A logistic model over the counts of exact, misspelled,
 stem and quoted hits and the densest window gives the score; its prior carries what the
 sample can't tell.
 
@@ -15,6 +15,7 @@ Only texts enter a score; ids, languages, sources and labels never do.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,8 +43,8 @@ REPORTING = frozenset(
     "said says say called calls quoted quote quotes wrote writes word words term terms "
     "sagte sagt nannte zitat wort dit appelle cite mot dijo dice llama cita palabra".split()
 )
-# Quotation marks that open and close.
-_QUOTES = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»")
+# Quotation marks, and what ends a paragraph.
+_MARKS = re.compile(r"[\"“”„«»]|\n[^\S\n]*\n\s*")
 
 FEATURES = ("exact", "misspelled", "stem", "quoted", "densest")
 # Where the sample says nothing of a feature its weight stays near this.
@@ -55,6 +56,48 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """(opening mark, end) of the quotations of a text, of any length and over lines: one scan; sorted, none overlap.
+
+    A mark after a space (or the start, or a bracket) and before a letter plainly opens, one
+    after a letter and before none plainly closes; other straight marks do either in turn. A
+    mark that plainly opens where one of its kind is open makes the earlier one a stray. A
+    mark still open at the end of its paragraph is a stray too, unless the next paragraph
+    starts with the same mark, as quotations of several paragraphs do.
+    """
+    spans = []
+    opened: dict[str, tuple[int, str]] = {}  # place and mark of what is open, by kind
+    for found in _MARKS.finditer(text):
+        i, mark = found.start(), found[0]
+        after = text[found.end() : found.end() + 1]
+        if mark[0] == "\n":
+            spans += [(at, i) for at, m in opened.values() if m == after]
+            opened.clear()
+            continue
+        before = text[i - 1] if i else ""
+        opens = (not before or before.isspace() or before in "([{") and after != "" and not after.isspace()
+        closes = before != "" and not before.isspace() and not after.isalnum()
+        kind = '"' if mark == '"' else "«" if mark in "«»" else "“"
+        held = opened.get(kind)
+        if mark == '"':
+            ends, begins = held is not None and not opens, opens or not closes
+        elif mark == "“":
+            ends, begins = held is not None and held[1] == "„" and not opens, True
+        else:
+            ends, begins = held is not None and mark in "”»", mark in "„«"
+        if ends:
+            spans.append((opened.pop(kind)[0], i))
+        elif begins:
+            opened[kind] = (i, mark)
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
 class LexiconTrie:
     """Terms in a trie, searched by the Levenshtein automaton of a word; stems beside it as a set of beginnings."""
 
@@ -177,13 +220,15 @@ class Scorer:
         if not hits:
             return [0.0] * len(FEATURES)
         low = text.lower()
-        spans = [m.span() for m in _QUOTES.finditer(low)]
+        spans = quoted_spans(low)
+        opening = [a for a, _ in spans]
         starts = [m.start() for m in WORD.finditer(low)] if spans else []
         counts = dict.fromkeys(FEATURES, 0.0)
         abuse = []
         for i, kind in hits:
-            in_quotes = bool(spans) and any(a < starts[i] < b for a, b in spans)
-            told = not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i])
+            span = bisect_right(opening, starts[i]) - 1 if spans else -1
+            in_quotes = span >= 0 and starts[i] < spans[span][1]
+            told = not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW])
             if in_quotes or told:
                 counts["quoted"] += 1
             else:

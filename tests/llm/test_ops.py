@@ -411,6 +411,21 @@ def test_quotes_are_not_abuse():
     assert s.score("the id1ot is here") > s.score("the iodine is here") == s.score(None) == s.score("")
 
 
+def test_quotations_of_any_length():
+    s = toxicity.ToxicityModel(terms=["idiot", "moron"]).scorer()
+    x = "plain text " * 40
+    for a, b in ('""', "“”", "„“", "«»"):
+        assert s.score(f"{x}{a}{x}idiot and moron {x.strip()}{b} end") < 0.5
+        assert s.score(f"see {a}one idiot\nor moron\nhere{b} end") < 0.5
+        assert s.score(f"see {a}{x.strip()}{b} you idiot you moron {a}{x.strip()}{b} end") > 0.5
+        assert s.score(f"a stray {a}mark\n\nyou idiot you moron\n\nand {a}more{b}") > 0.5
+        assert s.score(f"see {a}{x}\n\n{a}idiot moron{b} end") < 0.5
+        assert s.score(f"see {a}idiot {x}\n\n{a}moron{b} end") < 0.5
+    assert s.score('a 5" pipe, you idiot, you moron, a 6" pipe') > 0.5 > s.score('a 5" pipe, "idiot" and "moron"')
+    assert s.score(f"idiot and moron, she said {x}") < 0.5 < s.score(f"idiot and moron {x} she said")
+    assert toxicity.quoted_spans('"a "b" c"') == [(3, 5)] and toxicity.quoted_spans("") == []
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(3)
     rows = []
