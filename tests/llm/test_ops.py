@@ -7,6 +7,7 @@ import os
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -309,6 +310,51 @@ def test_periods_deviate_by_less_than_a_block():
         mixing.whole_weights({str(i): 1 for i in range(11)}, 10)
 
 
+def test_schedule_keeps_to_exact_weights():
+    rnd = random.Random(8)
+    cases = [({s: 4000 for s in "abc"}, {s: 1 for s in "abc"}), ({"a": 200_000, "b": 3}, {"a": 1, "b": Fraction(1, 100_000)})]
+    cases += [({f"s{i}": rnd.randint(1, 900) for i in range(m)}, None) for m in (1, 2, 7, 40)]
+    cases += [({i: rnd.randint(0, 300) for i in "abcdef"}, {i: Fraction(rnd.randint(1, 50), rnd.randint(1, 50)) for i in "abcdef"}) for _ in range(20)]
+    cases += [({str(i): 1 + i % 3 for i in range(1500)}, None)]  # more sources than the units there once were
+    for blocks, weights in cases:
+        weights = weights or {s: mixing.root_weight(n) for s, n in blocks.items()}
+        done, served = collections.Counter(), {s: Fraction(0) for s in blocks}
+        step = 1 if len(blocks) < 100 else 97
+        v, at = Fraction(0), 0
+        for t, (s, k, _) in enumerate(mixing.schedule(blocks, weights), 1):
+            assert k == done[s]
+            done[s] += 1
+            if t % step or (t > 2000 and t % 997):
+                continue
+            while at < t:  # the ideal mixture up to t, from one end of a source to the next
+                live = [x for x in blocks if v * weights[x] < blocks[x]]
+                rate = sum(weights[x] for x in live)
+                to = min(min(blocks[x] / Fraction(weights[x]) for x in live), v + (t - at) / Fraction(rate))
+                at, v = at + (to - v) * rate, to
+            assert all(abs(done[x] - min(v * weights[x], blocks[x])) < 1 for x in blocks)
+        assert done == collections.Counter({s: n for s, n in blocks.items() if n})
+    assert [s for s, _, _ in mixing.schedule({"a": 2, "b": 1}, {"a": 0, "b": 5})] == ["b", "a", "a"]
+
+
+def test_mixing_of_equal_sources_deviates_by_less_than_a_block(spark):
+    d = docs_of(spark, [(i, "x", "abc"[i % 3]) for i in range(7500)])
+    done = collections.Counter()
+    for t, r in enumerate(mixing.mix_sources(d, block_rows=1).orderBy("slot").collect(), 1):
+        done[r["source"]] += 1
+        assert r["slot"] == t - 1 and all(abs(3 * done[s] - t) < 3 for s in "abc")
+
+
+def test_mixing_takes_any_number_of_sources(spark, empty):
+    d = docs_of(spark, [(i, "x", f"h{i % 1100}" if i % 7 else None) for i in range(4000)])
+    got = mixing.mix_sources(d, block_rows=2).collect()
+    assert len(got) == 4000 and len({r["position"] for r in got}) == 4000
+    slot = {(r["source"], r["block"]): (r["slot"], r["phase"]) for r in got}
+    n = collections.Counter(r["source"] for r in got)
+    told = mixing.schedule({s: -(-c // 2) for s, c in n.items()}, {s: mixing.root_weight(c) for s, c in n.items()})
+    assert slot == {(s, k): (t, phase) for t, (s, k, phase) in enumerate(told)}
+    assert mixing.mix_sources(empty).count() == 0
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
