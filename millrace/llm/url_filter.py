@@ -5,6 +5,9 @@ distinct combination and label with a count. Each level of each tree is one aggr
 that table: gradients, summed as whole millionths so that the order of rows can't matter, by
 node, feature and bin. The driver sees those histograms (nodes x features x bins rows) and
 picks the splits; the trees become CASE expressions, scored inside generated code.
+
+Every labelled suffix has its own statistics. Those of the most frequent suffixes are a map
+in the generated code; all others stay a table that rows are joined to.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ RULES = (
     ("com", "/de/", "block"),
 )
 TREES, DEPTH, RATE, L2, MIN_ROWS = 8, 3, 0.4, 1.0, 20
-#: Bins of a feature, and suffixes (the most frequent ones) whose statistics are kept.
+#: Bins of a feature, and suffixes (the most frequent ones) whose bins are in the generated code; the others' are joined.
 BINS, SUFFIXES = 64, 256
+#: Bytes of the other suffixes up to which they are broadcast, and parts that a suffix's rows are dealt into beyond.
+BROADCAST_BYTES, SALTS = 4_000_000, 32
 FEATURES = ("length", "host_length", "depth", "labels", "digits", "entropy", "params", "hyphens", "suffix")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -90,18 +95,43 @@ def features(url: Column, host: Column, path: Column, suffix_bin: Column) -> dic
 
 @dataclass
 class UrlModel:
-    """Suffix bins, the bias, and trees as nested (feature, bin, left, right) with leaves as numbers."""
+    """Suffix bins, the bias, and trees as nested (feature, bin, left, right) with leaves as numbers.
+
+    ``others`` has the bins of the suffixes that aren't in ``suffixes``, (s, b), or is None where there are none.
+    """
 
     suffixes: dict[str, int] = field(default_factory=dict)
+    others: DataFrame | None = None
+    small: bool = True  #: whether ``others`` may be broadcast
     unseen: int = BINS // 2
     bias: float = 0.0
     trees: list = field(default_factory=list)
 
-    def suffix_bin(self, host: Column) -> Column:
-        if not self.suffixes:
-            return F.lit(self.unseen)
-        table = F.create_map(*[F.lit(x) for kv in sorted(self.suffixes.items()) for x in kv])
-        return F.coalesce(F.element_at(table, suffix_of(host)), F.lit(self.unseen))
+    def suffix_bin(self, host: Column, other: Column | None = None) -> Column:
+        """The bin of a host's suffix; ``other`` is what a join with ``others`` found."""
+        found = [] if other is None else [other]
+        if self.suffixes:
+            table = F.create_map(*[F.lit(x) for kv in sorted(self.suffixes.items()) for x in kv])
+            found.insert(0, F.element_at(table, suffix_of(host)))
+        return F.coalesce(*found, F.lit(self.unseen))
+
+    def with_suffix_bin(self, rows: DataFrame, *salt: str) -> DataFrame:
+        """``rows``, which have a column host, with their ``suffix_bin``; columns ``salt`` spread rows of one suffix."""
+        if self.others is None:
+            return rows.withColumn("suffix_bin", self.suffix_bin(F.col("host")))
+        # Suffixes of the map need no join: they keep their rows apart, under a key that nothing matches.
+        listed = suffix_of(F.col("host")).isin(list(self.suffixes))
+        rows = rows.withColumn("__s", F.when(~listed, suffix_of(F.col("host"))))
+        others = self.others.select(F.col("s").alias("__os"), F.col("b").alias("__ob"))
+        if self.small:
+            joined = rows.join(F.broadcast(others), F.col("__s") == F.col("__os"), "left")
+        else:
+            rows = rows.withColumn("__p", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
+            others = others.withColumn("__op", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = rows.where("__s is not null").join(others, (F.col("__s") == F.col("__os")) & (F.col("__p") == F.col("__op")), "left")
+            apart = rows.where("__s is null").withColumn("__os", F.lit(None).cast("string")).withColumn("__ob", F.lit(None).cast("int"))
+            joined = met.drop("__op", "__p").unionByName(apart.drop("__p"))
+        return joined.withColumn("suffix_bin", self.suffix_bin(F.col("host"), F.col("__ob"))).drop("__s", "__os", "__ob")
 
     def margin(self, cols: dict[str, Column]) -> Column:
         total = F.lit(self.bias)
@@ -145,8 +175,8 @@ def _best_split(hist: dict, g: int, h: int, n: int):
 def fit_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "label") -> UrlModel:
     """Boosted trees from all rows of ``labelled``: label 1 for urls to block, 0 for others.
 
-    All labelled urls count; only the histograms and the statistics of the SUFFIXES most
-    frequent suffixes come to the driver. Rows with a null label are not used; without rows
+    All labelled urls and all their suffixes count; only the histograms and the statistics of
+    the SUFFIXES most frequent suffixes come to the driver. Rows with a null label are not used; without rows
     of both labels the model is a constant.
     """
     spark = labelled.sparkSession
@@ -164,8 +194,15 @@ def fit_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "l
     model = UrlModel(
         suffixes={r["s"]: as_bin((r["y"] + 10 * share) / (r["n"] + 10)) for r in top}, unseen=as_bin(share), bias=log(share / (1 - share))
     )
-    cols = features(F.col("url"), F.col("host"), F.col("path"), model.suffix_bin(F.col("host")))
-    binned = rows.select("y", *[c.alias(f) for f, c in cols.items()]).groupBy("y", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+    if len(top) == SUFFIXES:
+        b = F.least(F.lit(BINS - 1), F.floor((F.col("y") + 10 * share) / (F.col("n") + 10) * BINS)).cast("int")
+        others = stats.where(~F.col("s").isin(list(model.suffixes))).select("s", b.alias("b"))
+        others = materialize(others, "url-suffixes")
+        told = others.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("s") + 64).alias("bytes")).first()
+        if told["n"]:
+            model.others, model.small = others, told["bytes"] <= BROADCAST_BYTES
+    cols = features(F.col("url"), F.col("host"), F.col("path"), F.col("suffix_bin"))
+    binned = model.with_suffix_bin(rows, "url").select("y", *[c.alias(f) for f, c in cols.items()]).groupBy("y", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
     binned = materialize(binned, "url-bins")
     cols = {f: F.col(f) for f in FEATURES}
     for _ in range(TREES):
@@ -218,7 +255,8 @@ def _substitute(node, by: dict):
 def filter_urls(df: DataFrame, model: UrlModel, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row: the longest fitting rule's verdict, else the model's.
 
-    ``score`` is the model's probability of blocking, for every row. Map-only.
+    ``score`` is the model's probability of blocking, for every row. Map-only, unless the model
+    has more suffixes than fit a broadcast: then rows of the less frequent ones are shuffled once.
 
     Defined results: a null url, or one without ``://``, has empty host and path, no rule, and
     is judged by the model on what text there is; null ids stay null; repeated rows each give
@@ -227,7 +265,8 @@ def filter_urls(df: DataFrame, model: UrlModel, rules=RULES, id_col: str = "page
     url = F.col(url_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     # Bins are columns of their own, so that each is computed once per row and not once per split.
-    rows = rows.withColumns(features(F.col("url"), F.col("host"), F.col("path"), model.suffix_bin(F.col("host"))))
+    rows = model.with_suffix_bin(rows, "page_id", "url")
+    rows = rows.withColumns(features(F.col("url"), F.col("host"), F.col("path"), F.col("suffix_bin")))
     score = 1 / (1 + F.exp(-model.margin({f: F.col(f) for f in FEATURES})))
     rows = rows.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), score.alias("score"))
     verdict = F.when(F.col("score") > 0.5, "block").otherwise("allow")

@@ -545,6 +545,24 @@ def test_urls(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_every_suffix_has_its_statistics(spark, monkeypatch):
+    # 400 suffixes of equal size and alike in all else; the label is the suffix's.
+    label = {i: random.Random(i).randrange(2) for i in range(100, 500)}
+    rows = [(i * 25 + j, f"http://h.q{i}z.com/a", label[i]) for i in label for j in range(25)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = []
+    for most in (url_filter.BROADCAST_BYTES if hasattr(url_filter, "BROADCAST_BYTES") else 0, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most, raising=False)
+        model = url_filter.fit_url_model(pages)
+        out = url_filter.filter_urls(pages, model, rules=())
+        got.append({r["page_id"]: (r["verdict"], r["score"]) for r in out.collect()})
+        assert len(got[-1]) == out.count() == len(rows)
+        assert all(got[-1][i][0] == ("block" if y else "allow") for i, _, y in rows)
+        odd = spark.createDataFrame([(1, None), (2, "http://never.seen"), (None, "http://h.q100z.com/a")], "page_id long, url string")
+        assert url_filter.filter_urls(odd, model).count() == 3
+    assert got[0] == got[1]
+
+
 def test_media(docs, empty):
     got = by_id(media.media_table(docs))
     for i, t, _ in ROWS:
