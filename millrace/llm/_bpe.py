@@ -8,7 +8,8 @@ certain cuts, before any vocabulary is looked at, because no pre-token reaches a
 Texts are cut at spaces into chunks first. A chunk's ids depend on nothing outside it, so they
 are kept in a bounded table and looked up when the chunk comes again: numpy hashes all
 chunks of a block of texts at once, finds the distinct ones and gathers the ids. The table
-goes by a 64-bit hash of the chunk and its length, and compares the first eight bytes.
+holds chunks of up to 16 bytes as two numbers and their size, so a hit is the very chunk,
+whatever the hash; longer chunks go by their bytes through a dictionary.
 """
 
 from __future__ import annotations
@@ -19,16 +20,44 @@ from array import array
 
 import numpy as np
 
-from millrace.llm._shingles import BYTE_CODES, mix, powers
+from millrace.llm._shingles import eights, mix, spans_of_eight
 
-#: Chunks that the table of one coder holds, and pre-tokens; when full it starts anew, so memory is bounded.
-MAX_CHUNKS, MAX_PIECES = 2_000_000, 300_000
+#: Chunks that the table of one coder holds, pre-tokens, and long chunks; when full each starts anew, so memory is bounded.
+MAX_CHUNKS, MAX_PIECES, MAX_LONG = 2_000_000, 300_000, 100_000
+#: Bytes of the longest chunk in the table, and of the longest that is remembered at all.
+SHORT, REMEMBERED = 16, 256
 #: Stand-in of byte 0, which stands between pieces here and in none.
 _BORDER = "\u0100"
 #: Characters of the texts of a block.
 _AT_ONCE = 1 << 21
 _U = np.uint64
 
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+# What comes before the merges in the two kinds of files, with word ends and without.
+_WORD_ENDS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES | {"use_regex": False}]},
+}
+_NO_WORD_ENDS = {"normalizer": None, "pre_tokenizer": _BYTES | {"use_regex": True}}
+
+
+def _checked(spec: dict) -> dict:
+    """The file as it is, if its settings are those that the cuts and pieces here were made for; an error if not."""
+    model = spec["model"]
+    kind = _WORD_ENDS if model.get("end_of_word_suffix") else _NO_WORD_ENDS
+    wrong = [k for k, v in kind.items() if spec.get(k) != v]
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["type"] if model.get("type", "BPE") != "BPE" else []
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    wrong += [t["content"] for t in spec["added_tokens"] if any(t[f] for f in flags) or not t["content"].startswith("<|")]
+    if wrong:
+        raise ValueError(f"a tokenizer with other settings than this encoder's: {wrong}")
+    return spec
+
 
 class ForcedCuts:
     """The cuts of one vocabulary, and the models that merge the fragments between them."""
@@ -37,7 +66,9 @@ class ForcedCuts:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = _checked(json.load(file))
+        self.decodes = spec["decoder"] is None
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -96,6 +127,7 @@ class Encoder:
             if max(map(ord, pair)) < 512:
                 self.may_follow[ord(pair[0]), ord(pair[1])] = True
         self.table = _Table(np.dtype(f"<{self.code}"))
+        self.long: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def chunk(self, chunk: str) -> bytes:
@@ -179,27 +211,51 @@ class Encoder:
         if not len(begin):
             return [b""] * len(texts)
         size = np.diff(np.concatenate((begin, [len(data)])))
-        up, down = powers(len(data))
-        key = mix(np.add.reduceat(BYTE_CODES[data] * up[: len(data)], begin) * down[begin] + size.astype(_U) * _U(0xD6E8FEB86659FD93))
-        key, one, each = np.unique(key, return_index=True, return_inverse=True)
-        first, last = begin[one], begin[one] + size[one]
-        head = np.zeros(len(one), dtype=_U)
-        for j in range(8):
-            inside = first + j < last
-            head[inside] |= data[first[inside] + j].astype(_U) << _U(8 * j)
-        at, n, new = self.table.find(key, head)
-        if len(new):
-            got = self.learn([blob[a:b].decode("utf-8") for a, b in zip(first[new].tolist(), last[new].tolist())])
-            at[new], n[new] = self.table.add(key[new], head[new], got)
-        ids = self.table.gather(at[each], n[each]).astype(self.dtype).tobytes()
-        upto = np.concatenate(([0], np.cumsum(n[each])))[np.searchsorted(begin, np.concatenate(([0], ends)), side="left")] * self.dtype.itemsize
-        return [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+        at, n = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        words = eights(data)
+        short = np.flatnonzero(size <= SHORT)
+        if len(short):
+            b, z = begin[short], size[short]
+            head, tail = spans_of_eight(words, b, z, 0), spans_of_eight(words, b, z, 8)
+            key = mix(mix(head ^ z.astype(_U)) + tail)
+            one, each = _distinct(key, head, tail, z)
+            rows = (key[one], head[one], tail[one], z[one].astype(np.uint8))
+            at_one, n_one, new = self.table.find(*rows)
+            if len(new):
+                first, last = b[one[new]], b[one[new]] + z[one[new]]
+                got = self.learn([blob[x:y].decode("utf-8") for x, y in zip(first.tolist(), last.tolist())])
+                at_one[new], n_one[new] = self.table.add(tuple(r[new] for r in rows), got)
+            at[short], n[short] = at_one[each], n_one[each]
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            spans = [blob[x : x + y] for x, y in zip(begin[long].tolist(), size[long].tolist())]
+            at[long], n[long] = self._long(spans)
+        ids = self.table.gather(at, n).astype(self.dtype, copy=False)
+        flat = ids.tobytes()
+        upto = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(begin, np.concatenate(([0], ends)), side="left")] * self.dtype.itemsize
+        return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+    def _long(self, spans: list[bytes]):
+        """(place, count) of the ids of long chunks, which the table holds until the block is gathered."""
+        if len(self.long) > MAX_LONG:
+            self.long.clear()
+        known, fresh = self.long, {}
+        distinct = list(dict.fromkeys(spans))
+        unknown = [c for c in distinct if c not in known]
+        for chunk, got in zip(unknown, self.learn([c.decode("utf-8") for c in unknown])):
+            (known if len(chunk) <= REMEMBERED else fresh)[chunk] = got
+        at, n = self.table.place([known[c] if c in known else fresh[c] for c in distinct])
+        where = {c: i for i, c in enumerate(distinct)}
+        each = np.array([where[c] for c in spans])
+        return at[each], n[each]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The library's ``decode(ids, skip_special_tokens=False)`` for a vocabulary without a decoder of its own."""
+        if not self.cuts.decodes:
+            raise ValueError("a tokenizer with a decoder of its own")
         strings = self.cuts.strings
         return " ".join(map(strings.__getitem__, np.frombuffer(ids, dtype=self.dtype).tolist()))
 
@@ -230,8 +286,27 @@ def chunk_starts(data: np.ndarray, ends: np.ndarray, any_space: bool) -> np.ndar
     return np.flatnonzero(cut)
 
 
+def _distinct(key: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like np.unique's index and inverse for the whole rows; ``key`` is a hash of them."""
+    _, one, each = np.unique(key, return_index=True, return_inverse=True)
+    if all((r[one[each]] == r).all() for r in rows):
+        return one, each
+    # Different rows of one hash: told apart by all their columns.
+    order = np.lexsort((*rows, key))
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = np.any([r[order][1:] != r[order][:-1] for r in (key, *rows)], axis=0)
+    each = np.empty(len(key), np.int64)
+    each[order] = np.cumsum(new) - 1
+    return order[new], each
+
+
 class _Table:
-    """Ids by hash: a large sorted table, and a small one of what is new, merged into it now and then."""
+    """Ids of short chunks: a large table sorted by hash, and a small one of what is new, merged into it now and then.
+
+    Rows are (hash, bytes 0 to 8, bytes 8 to 16, size, place, count), and a hit must agree in
+    the bytes and the size. Of two chunks with one hash the later isn't found and is learned
+    again each time.
+    """
 
     RECENT = 100_000
 
@@ -241,24 +316,25 @@ class _Table:
 
     def clear(self) -> None:
         self.ids, self.used = np.empty(1 << 16, dtype=self.dtype), 0
+        self.loose = np.empty(0, dtype=self.dtype)
         self.levels = [self._level(), self._level()]
 
     def _level(self):
-        return (np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int32))
+        return tuple(np.empty(0, t) for t in (_U, _U, _U, np.uint8, np.int64, np.int32))
 
-    def find(self, key: np.ndarray, head: np.ndarray):
-        """(place, count) of the ids of each key, and which keys aren't there."""
+    def find(self, key: np.ndarray, head: np.ndarray, tail: np.ndarray, size: np.ndarray):
+        """(place, count) of the ids of each chunk, and which ones aren't there."""
         at, n, missing = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.ones(len(key), dtype=bool)
-        for keys, heads, places, counts in self.levels:
+        for keys, heads, tails, sizes, places, counts in self.levels:
             if len(keys):
                 i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = (keys[i] == key) & (heads[i] == head)
+                hit = (keys[i] == key) & (heads[i] == head) & (tails[i] == tail) & (sizes[i] == size)
                 at[hit], n[hit] = places[i[hit]], counts[i[hit]]
                 missing &= ~hit
         return at, n, np.flatnonzero(missing)
 
-    def add(self, key: np.ndarray, head: np.ndarray, got: list[bytes]):
-        """Appends the ids of new keys, ascending; (place, count) of each."""
+    def add(self, rows: tuple, got: list[bytes]):
+        """Appends the ids of new chunks, by ascending hash; (place, count) of each."""
         flat = np.frombuffer(b"".join(got), dtype=self.dtype)
         n = np.array([len(g) for g in got], dtype=np.int64) // self.dtype.itemsize
         if sum(len(level[0]) for level in self.levels) > MAX_CHUNKS:
@@ -269,12 +345,18 @@ class _Table:
         at = self.used + np.cumsum(n) - n
         self.used += len(flat)
         big, small = self.levels
-        small = self._merged(small, (key, head, at, n.astype(np.int32)))
+        small = self._merged(small, (*rows, at, n.astype(np.int32)))
         if len(small[0]) > self.RECENT:
             big, small = self._merged(big, small), self._level()
         self.levels = [big, small]
         return at, n
 
+    def place(self, got: list[bytes]):
+        """(place, count) of ids that are there for the block at hand alone; places below 0 tell them."""
+        self.loose = np.frombuffer(b"".join(got), dtype=self.dtype)
+        n = np.array([len(g) for g in got], dtype=np.int64) // self.dtype.itemsize
+        return np.cumsum(n) - n - len(self.loose), n
+
     @staticmethod
     def _merged(a, b):
         order = np.argsort(np.concatenate((a[0], b[0])), kind="stable")
@@ -282,8 +364,12 @@ class _Table:
 
     def gather(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The ids at the places, one after the other. A table begun anew drops what it no longer points to."""
-        total = int(n.sum())
-        out = self.ids[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(total)]
+        where = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        # A run of loose ids stays below 0 to its end, since they end at -1.
+        loose = np.repeat(at < 0, n)
+        out = self.ids[np.where(loose, 0, where)]
+        out[loose] = self.loose[where[loose]]
+        self.loose = self.loose[:0]
         if self.used > 8 * MAX_CHUNKS:
             self.clear()
         return out

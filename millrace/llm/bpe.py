@@ -16,7 +16,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Encodes every text, decodes the ids again, keeps both.
 
     ``tokenizer`` is the path of a tokenizers file whose vocabulary marks word ends and which
-    names no decoder; every executor must see it there. Returns (doc_id, ids binary of
+    names no decoder; every executor must see it there. A file with other settings is an error. Returns (doc_id, ids binary of
     little-endian uint32, decoded string). One map-only pass: no shuffle, so no key can be hot,
     and a lost executor costs its own tasks.
 

@@ -98,6 +98,49 @@ def test_full_tables_start_anew(tokenizers, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n):
+    """A word over a and b whose signed sums cancel, and its complement."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+CANCELLING = [p + w for n in (16, 1024, 4096) for p in ("", "xxxxxxxx", "same beginning ") for w in thue_morse(n)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_tells_texts_apart_whose_sums_cancel(tokenizers, name, monkeypatch):
+    from millrace.llm import _bpe
+
+    lib = tokenizers[name]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in CANCELLING * 2]
+    path = queries.tokenizer_path(name)
+    assert [np.frombuffer(x, "<u4").tolist() for x in _bpe.Encoder(path).encode_all(CANCELLING * 2)] == want
+    one_by_one = _bpe.Encoder(path)
+    assert [np.frombuffer(one_by_one.encode(t), "<u4").tolist() for t in CANCELLING * 2] == want
+    # Nothing hangs on the hash: with one that is constant, all chunks still get their own ids.
+    monkeypatch.setattr(_bpe, "mix", lambda x: x * np.uint64(0))
+    texts = ["a bb ccc", "ccc a dd", "a a bb bb-x", *CANCELLING]
+    blind = _bpe.Encoder(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in blind.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_refuses_other_settings(tmp_path):
+    import json
+
+    from millrace.llm import _bpe
+
+    for name, change in (("word_bpe_49k.json", {"normalizer": None}), ("byte_bpe_50k.json", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}})):
+        spec = json.load(open(queries.tokenizer_path(name))) | change
+        (tmp_path / name).write_text(json.dumps(spec))
+        with pytest.raises(ValueError):
+            _bpe.Encoder(str(tmp_path / name))
+    with pytest.raises(ValueError):
+        _bpe.Encoder(queries.tokenizer_path("byte_bpe_50k.json")).decode(b"\1\0\0\0")
+
+
 def test_token_files(docs, empty, tokenizers, spark):
     path, lib = queries.tokenizer_path("byte_bpe_50k.json"), tokenizers["byte_bpe_50k.json"]
     got = sorted(token_files.token_files(docs, path).collect(), key=lambda r: r["start"])
@@ -173,6 +216,7 @@ def test_jaccard(spark, width, num, small, monkeypatch):
             w[rnd.randrange(len(w))] = f"X{rnd.randrange(50)}"
         rows.append((1000 - i, " ".join(w + (passage if rnd.random() < 0.2 else []))))
     rows += [(2000, None), (2001, ""), (2002, " \t"), (2003, "One"), (2004, "oNE"), (2005, "word " * 4000)]
+    rows += [(3000 + i, t) for i, t in enumerate(CANCELLING)]
     got = jaccard_join.jaccard_components(docs_of(spark, [(i, t, "s") for i, t in rows]), width=width, num=num)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(rows, width, num, 100)
 
