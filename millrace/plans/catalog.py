@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from millrace.functions import fields, markov
 from millrace.operators import detect, metadata, reorder, windows
 from millrace.schema import IOT, SSN, TYPE, WMD, XSD
 from millrace.sources import graph, tables
+from millrace.sources.shared import shared_path
 from millrace.streaming import detector
 
 P = Params()
@@ -418,7 +417,7 @@ def stream_scores(spark, sf_dir):
     arrivals = events.select(
         F.col("user_id").cast("int").alias("machine"), F.lit(0).alias("sensor"), F.col("event_id").alias("arrival"), seconds.alias("ts"), "value"
     )
-    out = f"{_shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     detector.run_available(_dense(spark, sf_dir, arrivals), Params(delta=1), K, out)
     return spark.read.schema("machine int, sensor int, oldest_lts long, ordinal long, probability double").parquet(f"{out}/scores")
 
@@ -432,12 +431,3 @@ def _dense(spark, sf_dir, arrivals: DataFrame) -> DataFrame:
     dense = by_event.join(told.select(F.col("machine").alias("m2"), F.col("ts").alias("t2"), F.col("arrival").alias("dense_arrival")), (F.col("m") == F.col("m2")) & (F.col("t") == F.col("t2")))
     dense = dense.select(F.col("event_id").alias("eid"), "t", "dense_arrival")
     return arrivals.join(dense, F.col("arrival") == F.col("eid")).select("machine", "sensor", F.col("dense_arrival").alias("arrival"), F.col("t").alias("ts"), "value")
-
-
-def _shared_dir(spark: SparkSession) -> str:
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return "file://" + tempfile.mkdtemp(prefix="millrace-")
