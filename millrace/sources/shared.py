@@ -58,17 +58,17 @@ def clear(spark: SparkSession, spent: list[str]) -> None:
     spent.clear()
 
 
-def lookup(rows: DataFrame, key: str, table: DataFrame, tkey: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, key: str, table: DataFrame, tkey: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table`` on ``key`` = ``tkey``, where ``tkey`` is unique and some keys hold a large share of the rows.
 
     Rows of the hot keys, HOT at most by arithmetic, meet a broadcast of the table's rows for
-    those; all others are joined by a shuffle. The names of both sides must differ.
+    those; all others are joined by a shuffle. The names of both sides must differ. ``total``
+    is the number of rows, counted if it isn't told.
     """
+    total = rows.count() if total is None else total
     counts = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.agg(F.count(F.lit(1)).alias("__total"))
-    hot = counts.where("__hot is not null").join(F.broadcast(total), F.col("__n") * HOT >= F.col("__total")).select("__hot")
-    few = table.join(F.broadcast(hot), F.col(tkey) == F.col("__hot"), "left_semi")
-    rest = table.join(F.broadcast(hot), F.col(tkey) == F.col("__hot"), "left_anti")
-    of_hot = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_semi").join(F.broadcast(few), F.col(key) == F.col(tkey), how)
-    of_rest = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left_anti").join(rest, F.col(key) == F.col(tkey), how)
+    hot = counts.where(F.col("__hot").isNotNull() & (F.col("__n") * HOT >= total)).select("__hot")
+    split = lambda df, k, kind: df.join(F.broadcast(hot), F.col(k) == F.col("__hot"), kind)
+    of_hot = split(rows, key, "left_semi").join(F.broadcast(split(table, tkey, "left_semi")), F.col(key) == F.col(tkey), how)
+    of_rest = split(rows, key, "left_anti").join(split(table, tkey, "left_anti"), F.col(key) == F.col(tkey), how)
     return of_hot.unionByName(of_rest)
