@@ -1,52 +1,29 @@
-"""Shared plumbing: shared-folder tables, gapless distributed ranks, connected components."""
+"""Shared plumbing: names, gapless distributed ranks, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_LOCAL: dict[str, str] = {}
+from millrace.sources.shared import clear, lookup, materialize, shared_path
+
+__all__ = ["clear", "connected_components", "fresh", "gapless_rank", "in_slices", "lookup", "materialize", "read_table", "shared_path"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local-mode session gets a temporary folder (driver and executors
-    are one process) and any other session a folder in its warehouse.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return _LOCAL[app]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs only the tasks that ran on it, never the chain
-    of stages before the table.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that ``df`` has no column of, whatever the case: the given ones with underscores behind as needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def in_slices(batches, rows: int = 512):
@@ -67,20 +44,14 @@ def gapless_rank(df: DataFrame, key: Column, order: list[Column], salt: Column,
     one task. Rows are dealt by (key, ``salt`` modulo ``chunks``) instead; the sizes of those
     cells, one row each, give each cell its offset. Nulls in ``key`` form a key of their own.
     """
-    cell = df.withColumn("__k", key).withColumn("__c", F.pmod(salt, F.lit(chunks)).cast("int"))
-    sizes = cell.groupBy("__k", "__c").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        F.col("__k").alias("__ok"),
-        F.col("__c").alias("__oc"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-    )
-    within = F.row_number().over(Window.partitionBy("__k", "__c").orderBy(*order)) - 1
-    ranked = cell.withColumn("__r", within)
-    joined = ranked.join(offsets, ranked["__k"].eqNullSafe(offsets["__ok"]) & (ranked["__c"] == offsets["__oc"]), "left")
-    return joined.withColumn(name, (F.col("__r") + F.col("__before")).cast("long")).drop(
-        "__k", "__c", "__r", "__ok", "__oc", "__before"
-    )
+    k, c, r, ok, oc, n, before = fresh(df, "__k", "__c", "__r", "__ok", "__oc", "__n", "__before")
+    cell = df.withColumn(k, key).withColumn(c, F.pmod(salt, F.lit(chunks)).cast("int"))
+    sizes = cell.groupBy(k, c).agg(F.count(F.lit(1)).alias(n))
+    sooner = Window.partitionBy(k).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(k).alias(ok), F.col(c).alias(oc), F.coalesce(F.sum(n).over(sooner), F.lit(0)).alias(before))
+    ranked = cell.withColumn(r, F.row_number().over(Window.partitionBy(k, c).orderBy(*order)) - 1)
+    joined = ranked.join(offsets, F.col(k).eqNullSafe(F.col(ok)) & (F.col(c) == F.col(oc)), "left")
+    return joined.withColumn(name, (F.col(r) + F.col(before)).cast("long")).drop(k, c, r, ok, oc, before)
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -88,37 +59,39 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     Rounds of hooking each component to its smallest neighbour, then pointer jumping until
     every chain is flat, then contraction. Every step is an aggregation with map-side combine
-    or an equi-join on a table that shrinks; links never leave the executors.
+    or an equi-join on a table that shrinks; links never leave the executors. In a large
+    component many rows point to one hub; its partition of a join is one that the adaptive
+    planner splits, as no step after the join needs its order. Tables of past rounds are deleted.
     """
     spark = edges.sparkSession
-    live = materialize(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), label
-    )
+    spent: list[str] = []
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    live = materialize(ordered(edges), label, spent=spent)
     found = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id"))).distinct()
-    found = found.select("id", F.col("id").alias("component"))
+    found = materialize(found.select("id", F.col("id").alias("component")), label, spent=spent)
     while not live.isEmpty():
         # Each component points at its smallest neighbour, if that is smaller.
-        hooks = live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
-        hooks = materialize(hooks, label)
+        hooks = materialize(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), label, spent=spent)
         while True:
             up = hooks.select(F.col("id").alias("uid"), F.col("to").alias("uto"))
             jumped = hooks.join(up, F.col("to") == F.col("uid"), "left").select(
                 "id", F.coalesce("uto", "to").alias("to"), F.col("uto").isNotNull().alias("moved")
             )
-            jumped = materialize(jumped, label)
+            jumped = materialize(jumped, label, spent=spent)
             hooks = jumped.select("id", "to")
             if jumped.where("moved").isEmpty():
                 break
+        past = list(spent)
         found = (
             found.join(hooks.select(F.col("id").alias("hid"), "to"), F.col("component") == F.col("hid"), "left")
             .select("id", F.coalesce("to", "component").alias("component"))
         )
-        found = materialize(found, label)
+        spent = []
+        found = materialize(found, label, spent=spent)
         ends = live
         for end in ("a", "b"):
             to = hooks.select(F.col("id").alias("hid"), F.col("to").alias("hto"))
             ends = ends.join(to, F.col(end) == F.col("hid"), "left").withColumn(end, F.coalesce("hto", end)).select("a", "b")
-        live = materialize(
-            ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), label
-        )
+        live = materialize(ordered(ends), label, spent=spent)
+        clear(spark, past)
     return found.select("id", "component")

@@ -4,6 +4,7 @@ Exact self-join of word-shingle sets at a Jaccard threshold, as classes of equal
 between classes and connected components:
 
 1. Equal sets become one class, so a group of copies of any size counts once from here on.
+   Classes have numbers of their own, so ids that repeat can't mix up what they stand for.
 2. Each class gets bucket tokens (:class:`millrace.llm._shingles.Buckets`); classes without
    a common token are proven dissimilar. Only tokens of two classes or more are kept.
 3. First grouping: classes that lead to the same leader by their tokens form a cluster, and
@@ -29,49 +30,68 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import connected_components, in_slices, materialize
+from millrace.llm._common import clear, connected_components, fresh, in_slices, lookup, materialize
 from millrace.llm._shingles import Buckets, shingle_sets
 
 #: Members of a block and their shingles, on average at most; groups have as many blocks as they need.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Ratio of the largest to the smallest set in a band of sizes.
 SIZE_BAND = 1.08
-#: A class with at least one in so many of all rows is large; there are so many at most, which are broadcast.
-LARGE_CLASSES = 1000
-#: Up to so many ids of documents are broadcast to pick their texts; more go by a shuffled join.
-BROADCAST_IDS = 2_000_000
-_SETS = "id long, n int, shingles binary"
+#: Up to so many classes are broadcast to pick a text for each; more go by a shuffled join.
+BROADCAST_IDS = 1_000_000
+#: A token that stands this often among the classes looked at is dealt over TOKEN_SALTS tasks.
+HOT_TOKEN, LOOKED_AT, TOKEN_SALTS = 64, 1 << 16, 64
 
 
-def _profiles(df: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, digest, probes) of every document."""
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tid, text): ``tid``, a digest of the text, tells rows of one id apart."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select("id", _tid(F.col("text")).alias("tid"), "text")
+
+
+def _tid(text: Column) -> Column:
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
+def _digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _profiles(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(id, tid, n, digest, probes) of every document; equal sets of shingles have one digest."""
 
     def run(batches):
         buckets = Buckets(num, den)
         for batch in in_slices(batches):
             n, digest, probes = [], [], []
-            for h in shingle_sets(batch.column(1), width):
+            for h in shingle_sets(batch.column(2), width):
                 n.append(len(h))
-                digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                digest.append(_digest(h))
                 probes.append(buckets.probes(h).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(probes, pa.binary())],
-                names=["id", "n", "digest", "probes"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(probes, pa.binary())],
+                names=["id", "tid", "n", "digest", "probes"],
             )
 
-    return df.mapInArrow(run, "id long, n int, digest binary, probes binary")
+    return docs.mapInArrow(run, "id long, tid binary, n int, digest binary, probes binary")
 
 
-def _sets(df: DataFrame, width: int) -> DataFrame:
+def _sets(met: DataFrame, width: int) -> DataFrame:
+    """(id, n, shingles) of rows (cls, digest, text) whose text has that digest; ``id`` is the class."""
+
     def run(batches):
         for batch in in_slices(batches):
-            sets = list(shingle_sets(batch.column(1), width))
+            rows = [
+                (c, len(h), h.tobytes())
+                for c, d, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), width))
+                if _digest(h) == d
+            ]
+            cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())],
-                names=["id", "n", "shingles"],
+                [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["id", "n", "shingles"]
             )
 
-    return df.mapInArrow(run, _SETS)
+    return met.mapInArrow(run, "id long, n int, shingles binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -90,34 +110,48 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("id", "probes").mapInArrow(run, "token long, id long")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Of postings sorted by (token, id) those whose token has two ids or more, read as a stream.
+def _hot_tokens(postings: DataFrame, classes: int) -> DataFrame:
+    """Tokens that stand at least HOT_TOKEN times among about LOOKED_AT of the classes: how rows are dealt, never what comes out."""
+    every = max(1, classes // LOOKED_AT)
+    some = postings.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    return some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TOKEN).select(F.col("token").alias("hot"))
+
+
+def _shared(postings: DataFrame, hot: DataFrame) -> DataFrame:
+    """(token, id) of the tokens that two classes or more have. ``hot``: tokens that many have, a bounded number.
 
-    A row is told by its neighbours, so memory is bounded by a batch however long a run is.
+    Tokens come together by one shuffle, hot ones dealt over several tasks by class, and are
+    read as a sorted stream: a row is told by its neighbours, so memory is bounded by a batch
+    however long a run is. Hot tokens have many classes as it is.
     """
+    hot = materialize(hot, "jaccard-hot")
+    marked = postings.join(F.broadcast(hot), F.col("token") == F.col("hot"), "left")
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(TOKEN_SALTS))).otherwise(0).cast("int")
+    dealt = marked.select("token", "id", salt.alias("salt"), F.col("hot").isNotNull().alias("many"))
+    dealt = dealt.repartition("token", "salt").sortWithinPartitions("token", "id")
 
     def run(batches):
         before, held = None, None  # token of the row before the held one; the held row
 
-        def told(token, ids, last_next):
+        def told(token, ids, many, last_next):
             same_next = np.concatenate((token[1:] == token[:-1], [last_next]))
             same_prev = np.concatenate(([before is not None and before == token[0]], token[1:] == token[:-1]))
-            keep = same_next | same_prev
+            keep = same_next | same_prev | many
             return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ids[keep])], names=["token", "id"])
 
         for batch in batches:
-            token, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            token, ids, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             if held is not None:
-                token, ids = np.concatenate(([held[0]], token)), np.concatenate(([held[1]], ids))
+                token, ids, many = (np.concatenate(([h], x)) for h, x in zip(held, (token, ids, many)))
             if len(token) > 1:
-                yield told(token[:-1], ids[:-1], token[-1] == token[-2])
+                yield told(token[:-1], ids[:-1], many[:-1], token[-1] == token[-2])
                 before = token[-2]
             if len(token):
-                held = (token[-1], ids[-1])
+                held = (token[-1], ids[-1], many[-1])
         if held is not None:
-            yield told(np.array([held[0]], np.int64), np.array([held[1]], np.int64), False)
+            yield told(*(np.array([h]) for h in held), False)
 
-    return postings.mapInArrow(run, "token long, id long")
+    return dealt.mapInArrow(run, "token long, id long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -133,10 +167,11 @@ def _parts(blocks: DataFrame, size: str) -> DataFrame:
     return blocks.groupBy("block").agg(F.ceil(much).cast("int").alias(size))
 
 
-def _star_links(sets: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
+def _star_links(sets: DataFrame, stars: DataFrame, num: int, den: int, spent: list[str]) -> DataFrame:
     """Links (a, b) among the stars (block, id, n): of a leader, whose id is the block's, and a member."""
-    parts = _parts(stars, "parts")
-    member = stars.join(parts, "block").select("block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
+    parts = materialize(_parts(stars, "parts"), "jaccard-parts", spent=spent)
+    told = lookup(stars, "block", parts.withColumnRenamed("block", "pblock"), "pblock")
+    member = told.select("block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
     leader = parts.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("id"))
     rows = member.unionByName(leader).join(sets.select("id", "shingles"), "id")
 
@@ -209,6 +244,35 @@ def _block_links(sets: DataFrame, blocked: DataFrame, pairs: DataFrame, num: int
     return rows.groupBy("qblock", "block").applyInPandas(run, "a long, b long")
 
 
+def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, tid, n, root, component) of every document with shingles and an id, and (id, n) of all others.
+
+    ``root`` numbers the component; ``component`` is its smallest id, which may be that of
+    another component too where ids repeat.
+    """
+    spark, spent = df.sparkSession, []
+    docs = _documents(df, id_col, text_col)
+    profiles = materialize(_profiles(docs, width, num, den), "jaccard-profiles", "lz4")
+    filled = profiles.where("n > 0 and id is not null")
+    # The smallest (id, tid) of a class names the text that stands for it.
+    classes = filled.groupBy(F.col("digest").alias("hd")).agg(
+        F.min(F.struct("id", "tid")).alias("one"), F.first("n").alias("n"), F.first("probes").alias("probes"), F.count(F.lit(1)).alias("rows")
+    )
+    classes = classes.select("hd", F.col("one.id").alias("head"), F.col("one.tid").alias("htid"), "n", "probes", "rows", F.monotonically_increasing_id().alias("cls"))
+    classes = materialize(classes, "jaccard-classes", "lz4", spent)
+    linked = _class_components(docs, classes, width, num, den, spent).select(F.col("id").alias("cid"), F.col("component").alias("root"))
+    heads = classes.select("hd", "head", "cls", "rows")
+    told = materialize(linked.join(heads, F.col("cid") == F.col("cls")).select("hd", "head", "rows", "root"), "jaccard-linked", spent=spent)
+    least = told.groupBy(F.col("root").alias("lroot")).agg(F.min("head").alias("label"))
+    told = lookup(told, "root", materialize(least, "jaccard-least", spent=spent), "lroot").select("hd", "rows", "root", "label")
+    alone = heads.join(linked, F.col("cls") == F.col("cid"), "left_anti").select("hd", "rows", F.col("cls").alias("root"), F.col("head").alias("label"))
+    labels = materialize(told.unionByName(alone).select("hd", "root", "label"), "jaccard-labels")
+    rows = lookup(filled.select("id", "tid", "n", "digest"), "digest", labels, "hd")
+    clear(spark, spent)
+    others = profiles.where("n = 0 or id is null").select("id", "n")
+    return rows.select("id", "tid", "n", "root", F.col("label").alias("component")), others
+
+
 def jaccard_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -223,66 +287,51 @@ def jaccard_components(
     ``width``-word shingles; ``component_id`` is the smallest id reachable over links.
 
     Defined results: null, empty or blank texts have no shingles and are components of their
-    own; repeated rows each give a row, and rows with the same id and equal sets are one
-    class; a null id gives a null component when it has no partner; equal sets always link;
-    an empty table gives none; other columns are not read. Ids must be integers; ids that
-    stand for several different texts are not told apart in links.
+    own; repeated rows each give a row of one component; rows that repeat an id with other
+    texts are documents of their own, each with the component of its own text; a row with a
+    null id links with nothing and has a null component; equal sets always link; an empty
+    table gives none; other columns are not read. Ids must be integers.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles = materialize(_profiles(docs, width, num, den), "jaccard-profiles", "lz4")
-    filled = profiles.where("n > 0 and id is not null")
-    # A class goes by its smallest id; the row with that id carries the probes.
-    classes = filled.groupBy("digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("rows"))
-    classes = materialize(classes.withColumnRenamed("digest", "hd"), "jaccard-classes")
-    heads = filled.join(classes.select("hd", "head"), (F.col("id") == F.col("head")) & (F.col("digest") == F.col("hd")))
-    components = _class_components(docs, heads, width, num, den).select(F.col("id").alias("cid"), "component")
-    labelled = classes.join(components, F.col("head") == F.col("cid"), "left").select("hd", "rows", F.coalesce("component", "head").alias("label"))
-    labelled = materialize(labelled, "jaccard-labels")
-    # Classes that hold this share of all rows are few by arithmetic; their rows needn't meet in one task.
-    large = F.col("rows") * LARGE_CLASSES >= (classes.agg(F.sum("rows")).first()[0] or 0)
-    few = labelled.where(large).select("hd", "label")
-    rows = filled.select("id", "n", "digest")
-    of_large = rows.join(F.broadcast(few), F.col("digest") == F.col("hd"))
-    others = rows.join(F.broadcast(few.select("hd")), F.col("digest") == F.col("hd"), "left_anti")
-    of_others = others.join(labelled.where(~large).select("hd", "label"), F.col("digest") == F.col("hd"))
-    linked = of_large.unionByName(of_others).select(
-        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("label").alias("component_id")
-    )
-    alone = profiles.where("n = 0 or id is null").select(
-        F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id")
-    )
-    return linked.unionByName(alone)
-
-
-def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, component) of the classes that link with another."""
-    postings = _postings(heads).repartition("token").sortWithinPartitions("token", "id")
-    shared = materialize(_shared(postings).distinct(), "jaccard-shared", "lz4")
-    ids = shared.select("id").distinct()
-    ids = materialize(ids, "jaccard-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(_sets(docs.join(wanted, "id", "left_semi"), width), "jaccard-sets", "lz4")
-    if sets.count() > ids.count():  # rows that repeat an id
-        sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets", "lz4")
+    rows, others = _labelled(df, id_col, text_col, width, num, den)
+    of = lambda part, component: part.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col(component).alias("component_id"))
+    return of(rows, "component").unionByName(of(others, "id"))
+
+
+def _class_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int, spent: list[str]) -> DataFrame:
+    """(id, component) of the classes that link with another, by their numbers."""
+    postings = _postings(classes.select(F.col("cls").alias("id"), "probes"))
+    shared = materialize(_shared(postings, _hot_tokens(postings, classes.count())).distinct(), "jaccard-shared", "lz4", spent)
+    ids = materialize(shared.select("id").distinct(), "jaccard-ids", spent=spent)
+    # Each class's text is found by a hash of (id, tid) and told by its digest.
+    wanted = classes.join(ids, F.col("cls") == F.col("id"), "left_semi").select(F.xxhash64("head", "htid").alias("at"), "cls", "hd")
+    wanted = materialize(wanted, "jaccard-wanted", "lz4", spent)
+    n = wanted.count()
+    met = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.xxhash64("id", "tid") == F.col("at")).select("cls", "hd", "text")
+    sets = materialize(_sets(met, width), "jaccard-sets", "lz4", spent)
+    if sets.count() > n:  # rows that repeat an id and a text
+        sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets", "lz4", spent)
 
     # Similar classes share leaders; each goes by the one of the smallest hash among its tokens'.
     leader = shared.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("leader"))
-    cluster = shared.join(leader, "token").groupBy("id").agg(F.min_by("leader", F.xxhash64("leader")).alias("block"))
-    cluster = materialize(cluster.join(sets.select("id", "n"), "id"), "jaccard-clusters")
-    first = materialize(_star_links(sets, cluster.where("id <> block"), num, den), "jaccard-links")
+    leader = materialize(leader.withColumnRenamed("token", "ltoken"), "jaccard-leaders", spent=spent)
+    cluster = lookup(shared, "token", leader, "ltoken").groupBy("id").agg(F.min_by("leader", F.xxhash64("leader")).alias("block"))
+    cluster = materialize(cluster.join(sets.select("id", "n"), "id"), "jaccard-clusters", spent=spent)
+    first = materialize(_star_links(sets, cluster.where("id <> block"), num, den, spent), "jaccard-links", spent=spent)
     grouped = connected_components(first, "jaccard-groups")
 
-    blocked = materialize(_into_blocks(cluster, grouped), "jaccard-blocks")
+    blocked = materialize(_into_blocks(cluster, grouped, spent), "jaccard-blocks", spent=spent)
     extent = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # Cells of the matrix; tokens that stand in one group only can tell nothing new.
-    cells = shared.join(blocked, "id")
-    several = cells.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    matrix = materialize(cells.join(several, "token").select("token", "block", "own").distinct(), "jaccard-matrix", "lz4")
+    cells = materialize(shared.join(blocked, "id").select("token", "block", "own", "grp"), "jaccard-cells", "lz4", spent)
+    several = cells.groupBy(F.col("token").alias("stoken")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("stoken")
+    cells = lookup(cells, "token", materialize(several, "jaccard-several", spent=spent), "stoken").select("token", "block", "own").distinct()
+    matrix = materialize(cells, "jaccard-matrix", "lz4", spent)
     other = matrix.select("token", F.col("block").alias("qblock"), F.col("own").alias("qown"))
     pairs = matrix.join(other, "token").where("qblock <= block and (own is null or qown is null or own <> qown)")
     pairs = pairs.select("qblock", "block").distinct().join(extent, "block")
     pairs = pairs.join(extent.select(F.col("block").alias("qblock"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi")), "qblock")
-    pairs = materialize(pairs.where((F.col("hi") * den >= F.col("qlo") * num) & (F.col("qhi") * den >= F.col("lo") * num)), "jaccard-pairs")
+    near = (F.col("hi") * den >= F.col("qlo") * num) & (F.col("qhi") * den >= F.col("lo") * num)
+    pairs = materialize(pairs.where(near), "jaccard-pairs", spent=spent)
     second = _block_links(sets, blocked, pairs, num, den)
     return connected_components(
         grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second),
@@ -290,7 +339,7 @@ def _class_components(docs: DataFrame, heads: DataFrame, width: int, num: int, d
     )
 
 
-def _into_blocks(cluster: DataFrame, grouped: DataFrame) -> DataFrame:
+def _into_blocks(cluster: DataFrame, grouped: DataFrame, spent: list[str]) -> DataFrame:
     """(id, n, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS and BLOCK_SHINGLES at most on average.
 
     A large group fills blocks of its own (``own`` is its id); small groups and classes
@@ -299,23 +348,40 @@ def _into_blocks(cluster: DataFrame, grouped: DataFrame) -> DataFrame:
     go by 64-bit hashes; two meet with probability 2**-64, and then both are compared together.
     """
     group = cluster.join(grouped, "id", "left").select("id", "n", "block", F.coalesce("component", "id").alias("grp"))
-    sizes = group.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    group = materialize(group, "jaccard-grouped", spent=spent)
+    sizes = group.groupBy(F.col("grp").alias("sgrp")).agg(F.count(F.lit(1)).alias("members"))
     own = F.when(F.col("members") >= BLOCK_MEMBERS // 4, F.col("grp"))
-    out = group.join(sizes, "grp").select(
-        "id", "n", "grp", own.alias("own"), F.when(own.isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group"))).alias("block")
-    )
+    block = F.when(own.isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group")))
+    out = lookup(group, "grp", materialize(sizes, "jaccard-sizes", spent=spent), "sgrp").select("id", "n", "grp", own.alias("own"), block.alias("block"))
     band = F.floor(F.log(F.col("n")) / math.log(SIZE_BAND))
     for cut in (band, F.pmod(F.xxhash64("id"), F.col("parts"))):
+        out = materialize(out, "jaccard-cuts", spent=spent)
+        parts = materialize(_parts(out, "parts").withColumnRenamed("block", "pblock"), "jaccard-parts", spent=spent)
         split = F.when(F.col("parts") > 1, F.xxhash64("block", cut)).otherwise(F.col("block"))
-        out = out.join(_parts(out, "parts"), "block").select("id", "n", "grp", "own", split.alias("block"))
+        out = lookup(out, "block", parts, "pblock").select("id", "n", "grp", "own", split.alias("block"))
     return out
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` of which one of each component is kept: the one whose id is the component's.
+    """The rows of ``df``, same columns, of which one of each component is kept: the one of the smallest id, then text digest.
 
-    Columns are those of ``df``. Rows with a null id are kept; of rows that repeat an id, all are.
+    Defined results: rows with a null id, and null, empty or blank texts, are all kept; of
+    rows that repeat an id with other texts each is judged by its own text, so a text that is
+    like no other always stays; of rows that repeat both id and text one stays, whichever; an
+    empty table gives an empty one; other columns, of whatever name, are passed on.
     """
-    parts = jaccard_components(df, id_col, text_col, width, num, den)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    rows, _ = _labelled(df, id_col, text_col, width, num, den)
+    each = rows.groupBy("root", "id", "tid").agg(F.count(F.lit(1)).alias("times"))
+    each = materialize(each, "jaccard-each")
+    kept = materialize(each.groupBy(F.col("root").alias("kroot")).agg(F.min(F.struct("id", "tid")).alias("one")), "jaccard-kept")
+    gone, i, t = fresh(df, "__gone", "__id", "__tid")
+    told = lookup(each, "root", kept, "kroot").withColumn(gone, F.struct("id", "tid") != F.col("one"))
+    told = told.where(F.col(gone) | (F.col("times") > 1)).select(F.col("id").alias(i), F.col("tid").alias(t), gone)
+    told = materialize(told, "jaccard-told")
+    same = (F.col(id_col).cast("long") == F.col(i)) & (_tid(F.col(text_col).cast("string")) == F.col(t))
+    out = df.join(told, same, "left")
+    single = out.where(F.col(gone).isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    several = out.where(~F.col(gone))
+    if told.where(~F.col(gone)).isEmpty():
+        return single
+    return single.unionByName(several.dropDuplicates([i, t]).select(*[F.col(f"`{c}`") for c in df.columns]))

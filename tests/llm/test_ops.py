@@ -204,7 +204,7 @@ def brute_components(rows, width, num, den):
 @pytest.mark.parametrize("width,num,small", [(4, 85, False), (5, 80, True)])
 def test_jaccard(spark, width, num, small, monkeypatch):
     if small:  # many blocks, and classes on both sides of the bound for large ones
-        for name, value in (("BLOCK_MEMBERS", 16), ("BLOCK_SHINGLES", 300), ("LARGE_CLASSES", 30)):
+        for name, value in (("BLOCK_MEMBERS", 16), ("BLOCK_SHINGLES", 300), ("HOT_TOKEN", 3)):
             monkeypatch.setattr(jaccard_join, name, value)
     rnd = random.Random(width)
     base = [[f"w{rnd.randrange(4000)}" for _ in range(rnd.choice([2, 4, 7, 9, 15, 60, 200]))] for _ in range(25)]
@@ -229,6 +229,36 @@ def test_jaccard_edges(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
 
 
+def test_repeated_ids_with_other_texts(spark):
+    w = " ".join(f"w{i}" for i in range(60))
+    u, v = " ".join(f"u{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(3, w), (5, w + " tail"), (5, u), (8, "solo text of its own"), (5, v), (9, v), (9, v), (9, v + " end"), (9, v + " end"), (None, w), (None, w), (7, None), (7, None), (7, "")]
+    d = docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(3)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(d).collect())
+    want = [(3, 56, 3), (5, 57, 3), (5, 46, 5), (8, 1, 8), (5, 46, 5), (9, 46, 5), (9, 46, 5), (9, 47, 5), (9, 47, 5), (None, 56, None), (None, 56, None), (7, 0, 7), (7, 0, 7), (7, 0, 7)]
+    assert got == collections.Counter(want)
+    kept = jaccard_join.keep_one_of_each(d)
+    assert kept.columns == d.columns
+    want = [(3, w), (5, u), (5, v), (8, "solo text of its own"), (None, w), (None, w), (7, None), (7, None), (7, "")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(want)
+    twice = docs_of(spark, [(4, w, "a"), (4, w, "b"), (6, w + " x", "a")]).withColumnRenamed("n", "__gone").withColumnRenamed("size", "__ID")
+    kept = jaccard_join.keep_one_of_each(twice)
+    assert kept.columns == twice.columns and [(r["doc_id"], r["text"]) for r in kept.collect()] == [(4, w)]
+    none = jaccard_join.keep_one_of_each(d.where("false"))
+    assert none.columns == d.columns and none.count() == 0
+
+
+def test_lookup_of_hot_keys(spark):
+    from millrace.sources import shared
+
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 3000), (2, 2), (None, 4), (9, 1)) for i in range(n)] + [(k, 0) for k in range(100, 2000)], "k long, i long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in (1, 2, 5, 150)], "tk long, v string")
+    for how in ("inner", "left"):
+        got = shared.lookup(rows, "k", table, "tk", how)
+        want = rows.join(table, F.col("k") == F.col("tk"), how)
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)]
