@@ -4,26 +4,31 @@ The base spans follow fixed patterns. The tagger, trained in numpy, reads charac
 bidirectional LSTM gives each character a score per tag, and a CRF over tag transitions ties
 them together. It is trained on windows whose spans are labelled by the base patterns in a
 bounded sample of documents, and on written variants that the patterns miss (a phone number
-without its plus sign, an address with "at" spelled in brackets), labelled by how they are made.
-
-Every span holds a digit or an at sign, plain or spelled, so the tagger reads all windows around all of these
-in the whole text and nothing else. Overlapping windows give a character several scores; their
-weighted mean, the centre counting most, goes into one Viterbi pass over the whole stretch of
-windows, so windows agree on one set of spans.
+without its plus sign, an address with "at" spelled in brackets, digits parted by dots), set
+into plain stretches of those documents and labelled by how they are made.
+
+Every span holds a digit or an at sign, plain or spelled in brackets, so the tagger reads
+windows around all of these in the whole text and nothing else. Windows overlap by half and
+each is decoded on its own; what they find is reconciled over the whole text: a span's score
+is its mean posterior over all windows that hold it with a margin, and the spans kept are
+those of the largest total that don't overlap. A window's result depends on its characters
+alone, so equal texts have equal spans whatever else is in a batch.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import in_slices, materialize
+from millrace.llm._common import clear, in_slices, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -35,20 +40,21 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\(at\)")
-
-#: Documents and windows the tagger is trained on, at most.
-FIT_DOCS, FIT_WINDOWS = 2000, 600
-#: Characters of a window, and how far the next one is shifted.
-WINDOW, STRIDE = 64, 32
-#: A span of the tagger counts when every character of it has this posterior probability.
-MIN_POSTERIOR = 0.9
-#: Longest stretch decoded at once, so that memory stays bounded in texts full of digits.
-MAX_STRETCH = 8192
-HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 8, 20, 50, 0.02
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]", re.IGNORECASE)
+
+#: Documents and windows the tagger is trained on, at most, and windows of one document.
+FIT_DOCS, FIT_WINDOWS, EACH = 2000, 700, 4
+#: Characters of a window, and how far the next one is shifted; a span of STRIDE - 2 characters lies within some window.
+WINDOW, STRIDE = 96, 48
+#: A span counts when its mean posterior probability reaches this.
+MIN_POSTERIOR = 0.75
+#: Windows that are scored at once.
+AT_ONCE = 512
+HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 8, 16, 50, 0.04
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-_MARKS = "@.-+() _%\n,:/"
-_CLASSES = 5 + len(_MARKS)  # padding, digit, lower, upper, other, then each mark
+_MARKS = "@.-+() _%\n,:/[]{}"
+_SPELLED = "atdo"  # the letters of "at" and "dot"
+_CLASSES = 5 + len(_MARKS) + len(_SPELLED)  # padding, digit, lower, upper, other, then each mark and spelled letter
 _FAR = -1e4
 
 
@@ -108,10 +114,12 @@ def classes_of(text: str) -> np.ndarray:
     out[(codes >= 65) & (codes < 91)] = 3
     for i, mark in enumerate(_MARKS):
         out[codes == ord(mark)] = 5 + i
+    for i, letter in enumerate(_SPELLED):
+        out[(codes == ord(letter)) | (codes == ord(letter.upper()))] = 5 + len(_MARKS) + i
     return out
 
 
-def stretches(text: str, reach: int = WINDOW // 2) -> list[tuple[int, int]]:
+def stretches(text: str, reach: int = WINDOW // 3) -> list[tuple[int, int]]:
     """The stretches of a text within ``reach`` of a digit or an at sign."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
@@ -120,17 +128,16 @@ def stretches(text: str, reach: int = WINDOW // 2) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [piece for a, b in out for piece in _pieces(text, a, b)]
+    return [(a, b) for a, b in out]
 
 
-def _pieces(text: str, a: int, b: int):
-    """A stretch longer than MAX_STRETCH in pieces that end at white space, if there is any near the end."""
-    while b - a > MAX_STRETCH:
-        cut = max(text.rfind(c, a + MAX_STRETCH // 2, a + MAX_STRETCH) for c in "\n ")
-        cut = cut if cut > a else a + MAX_STRETCH
-        yield a, cut
-        a = cut
-    yield a, b
+def windows_of(text: str) -> list[tuple[int, int]]:
+    """The windows of a text: WINDOW characters each, STRIDE apart, from the beginning of each stretch to its end."""
+    return [
+        (begin, min(b, begin + WINDOW))
+        for a, b in stretches(text)
+        for begin in range(a, max(a + 1, b - STRIDE), STRIDE)
+    ]
 
 
 def _sigmoid(x):
@@ -168,7 +175,8 @@ class Tagger:
         p["trans"] = np.zeros((len(TAGS), len(TAGS)))
         return Tagger(p)
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
+    def _lstm(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+        """Hidden states of one direction; the state is zero where ``mask`` is, so padding at an end changes nothing."""
         n, t, _ = x.shape
         w, c0 = self.p[f"w{d}"], self.p[f"c{d}"]
         xw = x @ w[:EMBED] + c0
@@ -181,7 +189,7 @@ class Tagger:
             a, f, o = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :]
             u = np.tanh(z[:, 3 * HIDDEN :])
             before, c_before = h, c
-            c = f * c + a * u
+            c = (f * c + a * u) * mask[:, i, None]
             tc = np.tanh(c)
             h = o * tc
             hs[:, i] = h
@@ -190,17 +198,17 @@ class Tagger:
         return hs, saved
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Score of each tag for each character of windows (n, t) of character classes."""
+        """Score of each tag for each character of windows (n, t) of character classes, 0 for padding."""
         e = self.p["embed"][x]
-        h = np.concatenate([self._lstm(e, d, False)[0] for d in "fb"], axis=2)
+        h = np.concatenate([self._lstm(e, x > 0, d, False)[0] for d in "fb"], axis=2)
         return h @ self.p["out"] + self.p["bias"]
 
     def loss_and_gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray):
         """Negative log likelihood per window of tags ``y`` where ``mask`` holds, and its gradient."""
         p = self.p
         e = p["embed"][x]
-        hf, sf = self._lstm(e, "f", True)
-        hb, sb = self._lstm(e, "b", True)
+        hf, sf = self._lstm(e, mask, "f", True)
+        hb, sb = self._lstm(e, mask, "b", True)
         h = np.concatenate((hf, hb), axis=2)
         s = h @ p["out"] + p["bias"]
         trans = p["trans"] + _allowed()
@@ -227,8 +235,9 @@ class Tagger:
             w = p[f"w{d}"]
             gw, gc0, dh, dc = np.zeros_like(w), np.zeros(4 * HIDDEN), np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
             for i, a, f, o, u, c_before, tc, before in reversed(saved):
-                dh = dh + part[:, i]
-                dc = dc + dh * o * (1 - tc**2)
+                m = mask[:, i, None]
+                dh = (dh + part[:, i]) * m
+                dc = (dc + dh * o * (1 - tc**2)) * m
                 dz = np.concatenate((dc * u * a * (1 - a), dc * c_before * f * (1 - f), dh * tc * o * (1 - o), dc * a * (1 - u**2)), axis=1)
                 gw[:EMBED] += e[:, i].T @ dz
                 gw[EMBED:] += before.T @ dz
@@ -260,52 +269,88 @@ class Tagger:
                     self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
-        """The tagger's spans of each text: all windows scored, averaged where they overlap, decoded once per stretch."""
-        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        jobs = [(i, a, b) for i, text in enumerate(texts) if text for a, b in stretches(text)]
-        jobs.sort(key=lambda j: j[2] - j[1])
-        at = 0
-        while at < len(jobs):
-            part, width = [], 0
-            while at < len(jobs) and (not part or (len(part) < 512 and (len(part) + 1) * (jobs[at][2] - jobs[at][1]) <= 65_536)):
-                part.append(jobs[at])
-                width = jobs[at][2] - jobs[at][1]
-                at += 1
-            self._decode(texts, part, width, out)
-        return [sorted(s) for s in out]
-
-    def _decode(self, texts, part, width, out) -> None:
-        width = max(width, 1)
-        pad = -(-max(width, WINDOW) // STRIDE) * STRIDE
-        x = np.zeros((len(part), pad), dtype=np.int64)
-        for r, (i, a, b) in enumerate(part):
-            x[r, : b - a] = classes_of(texts[i][a:b])
-        begins = list(range(0, pad - WINDOW + 1, STRIDE)) or [0]
-        near = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])
-        total, weight = np.zeros((len(part), pad, len(TAGS))), np.zeros(pad)
-        for begin in begins:
-            total[:, begin : begin + WINDOW] += self.scores(x[:, begin : begin + WINDOW]) * near[None, :, None]
-            weight[begin : begin + WINDOW] += near
-        s = total / weight[None, :, None]
-        mask = x > 0
+    def decode(self, pieces: list[str]) -> list[list[tuple[str, int, int, float]]]:
+        """(kind, start, end, posterior) of the spans in each of some short texts, each decoded on its own."""
+        out: list[list[tuple[str, int, int, float]]] = [[] for _ in pieces]
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
         trans = self.p["trans"] + _allowed()
-        log_a, log_b, z = _forward_backward(s, trans, mask)
-        post = np.exp(np.minimum(log_a + log_b - z[:, None, None], 0))
-        path = _viterbi(s, trans, mask)
-        for r, (i, a, b) in enumerate(part):
-            t, n = 0, b - a
-            while t < n:
-                tag = path[r, t]
-                if tag and tag % 2:
+        for at in range(0, len(order), AT_ONCE):
+            part = [i for i in order[at : at + AT_ONCE] if pieces[i]]
+            if not part:
+                continue
+            x = np.zeros((len(part), len(pieces[part[-1]])), dtype=np.int64)
+            for r, i in enumerate(part):
+                x[r, : len(pieces[i])] = classes_of(pieces[i])
+            s = np.round(self.scores(x), 9)  # sums of a batch may differ in the last bits by its size
+            path = _viterbi(s, trans, x > 0)
+            told = np.flatnonzero(path.any(axis=1))
+            if not len(told):
+                continue
+            log_a, log_b, z = _forward_backward(s[told], trans, x[told] > 0)
+            post = np.exp(np.minimum(log_a + log_b - z[:, None, None], 0))
+            for q, r in enumerate(told.tolist()):
+                begin = np.flatnonzero(path[r] % 2 == 1)
+                for t in begin.tolist():
                     end = t + 1
-                    while end < n and path[r, end] == tag + 1:
+                    while end < x.shape[1] and path[r, end] == path[r, t] + 1:
                         end += 1
-                    if post[r, np.arange(t, end), path[r, t:end]].min() >= MIN_POSTERIOR:
-                        out[i].append((KINDS[(tag - 1) // 2], a + t, a + end))
-                    t = end
-                else:
-                    t += 1
+                    least = post[q, np.arange(t, end), path[r, t:end]].min()
+                    out[part[r]].append((KINDS[(path[r, t] - 1) // 2], t, end, round(float(least), 6)))
+        return out
+
+    def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+        """The tagger's spans of each text: all windows decoded, then reconciled over the whole text."""
+        jobs = [(i, a, b) for i, text in enumerate(texts) if text for a, b in windows_of(text)]
+        # A window is decoded once however often its characters stand in these texts.
+        pieces = [texts[i][a:b] for i, a, b in jobs]
+        distinct = list(dict.fromkeys(pieces))
+        found = dict(zip(distinct, self.decode(distinct)))
+        held: list[dict[tuple[str, int, int], float]] = [{} for _ in texts]
+        windows: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for (i, a, b), piece in zip(jobs, pieces):
+            windows[i].append((a, b))
+            for kind, s, e, p in found[piece]:
+                # What touches an end at which the text goes on may be cut.
+                if (s or not a) and (a + e < b or b == len(texts[i])):
+                    key = (kind, a + s, a + e)
+                    held[i][key] = held[i].get(key, 0.0) + p
+        return [_reconciled(h, w, len(t or "")) for h, w, t in zip(held, windows, texts)]
+
+
+def _reconciled(found: dict, windows: list[tuple[int, int]], size: int) -> list[tuple[str, int, int]]:
+    """Of (kind, start, end) with summed posteriors those of the largest total weight that don't overlap.
+
+    A span's mean is over all windows that hold it with a margin of a character, or to an end of
+    the text; its weight is that times its length.
+    """
+    if not found:
+        return []
+    begins = [a for a, _ in windows]
+    spans = []
+    for (kind, a, b), total in found.items():
+        k, among = bisect_right(begins, a) - 1, 0
+        while k >= 0 and begins[k] > a - WINDOW:
+            x, y = windows[k]
+            among += (x < a or not x) and (b < y or y == size)
+            k -= 1
+        if total >= MIN_POSTERIOR * among:
+            spans.append((b, a, kind, total / among * (b - a)))
+    spans.sort()
+    ends = [b for b, _, _, _ in spans]
+    best, chosen = [0.0], []
+    for i, (b, a, _, weight) in enumerate(spans):
+        with_it = best[bisect_right(ends, a, 0, i)] + weight
+        chosen.append(with_it > best[-1])
+        best.append(max(best[-1], with_it))
+    out, i = [], len(spans)
+    while i:
+        b, a, kind, _ = spans[i - 1]
+        if chosen[i - 1]:
+            out.append((kind, a, b))
+            i = bisect_right(ends, a, 0, i - 1)
+        else:
+            i -= 1
+    return out[::-1]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -347,39 +392,55 @@ def _viterbi(s: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return path
 
 
-def written_variants(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Windows with spans as people write them, and numbers that are none, labelled by how they are made."""
-    r = np.random.default_rng(seed)
+_NONE = ("d", "dd", "dddd", "ddddd", "ddddddd", "dddddddddddddddd", "dddd-dd-dd", "dd.dd.dddd", "dd:dd", "ddd,ddd", "vd.d", "wddd", "@w", "dd%", "(dddd)", "ddd-ddd", "dd w", "w d.d", "wdwdddw", "dwdwwddwd", "ddd w ddd", "d, dd, ddd")
+
+
+def _item(r: np.random.Generator, kind: str) -> str:
+    """Something of a kind as people write it; of kind none, something else with digits or an at sign."""
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     word = lambda a=2, b=9: "".join(r.choice(letters, r.integers(a, b)))
     digits = lambda k: "".join(map(str, r.integers(0, 10, k)))
     pick = lambda *x: x[r.integers(len(x))]
+    if kind == "email":
+        user = word() + pick("", "", digits(2), "." + word(), "_" + word())
+        host, top = word() + pick("", digits(1)), pick("com", "org", "net", "de", "info")
+        o, c = pick("()", "[]", "{}")
+        at, dot = pick("at", "AT", "At"), pick(".", ".", f"{o}dot{c}", f" {o}dot{c} ")
+        gap = pick("", " ")
+        return pick(f"{user}@{host}.{top}", *[f"{user}{gap}{o}{at}{c}{gap}{host}{dot}{top}"] * 3, f"{user} @ {host}.{top}")
+    if kind == "ip":
+        dot = pick(".", "[.]", "(.)", " . ", "[.]")
+        return dot.join(str(r.integers(0, 256)) for _ in range(4))
+    if kind == "card":
+        body = pick("4", "5", "2") + digits(14)
+        item = next(body + str(d) for d in range(10) if luhn(body + str(d)))
+        return pick("", " ", "-", ".", "_", "/", "  ").join(item[j : j + 4] for j in range(0, 16, 4))
+    if kind == "phone":
+        a, b, c = digits(3), digits(3), digits(4)
+        return pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b}{c}")
+    return "".join(digits(1) if ch == "d" else word() if ch == "w" else ch for ch in pick(*_NONE))
+
+
+def written_variants(n: int, seed: int = 11, carriers: list[str] = ()) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Windows with spans as people write them, and numbers that are none, labelled by how they are made.
+
+    They stand in ``carriers``, stretches of plain text, or among made-up words where there are none.
+    """
+    r = np.random.default_rng(seed)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    prose = lambda: " ".join("".join(r.choice(letters, r.integers(2, 9))) for _ in range(r.integers(0, 6)))
     out = []
-    for i in range(n):
-        kind = pick("email", "email", "ip", "card", "phone", "phone", "none", "none", "none")
-        if kind == "email":
-            user, host, top = word() + pick("", ".", "_") + pick("", digits(2), word()), word() + pick("", "." + word()), pick("com", "org", "net", "de", "example.com")
-            user = user.strip("._")
-            item = pick(f"{user}@{host}.{top}", f"{user} (at) {host}.{top}", f"{user}(at){host}.{top}", f"{user} @ {host}.{top}", f"{user}+{word()}@{host}.{top}")
-        elif kind == "ip":
-            item = ".".join(str(r.integers(0, 256)) for _ in range(4))
-        elif kind == "card":
-            body = pick("4", "5") + digits(14)
-            item = next(body + str(d) for d in range(10) if luhn(body + str(d)))
-            sep = pick("", "", " ", "-")
-            item = sep.join(item[j : j + 4] for j in range(0, 16, 4))
-        elif kind == "phone":
-            a, b, c = digits(3), digits(3), digits(4)
-            item = pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+{digits(2)}{a}{b}{c}", f"+1-{a}-{b}-{c}")
-        else:
-            item = pick(digits(1), digits(2), digits(4), digits(5), digits(7), digits(16) + word(), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(2)}:{digits(2)}", f"{digits(3)},{digits(3)}", f"v{digits(1)}.{digits(1)}", f"{word()}{digits(3)}", f"@{word()}", f"{digits(2)}%", f"({digits(4)})", f"{digits(3)}-{digits(3)}")
-        before = " ".join(word() for _ in range(r.integers(0, 4)))
-        after = " ".join(word() for _ in range(r.integers(0, 4)))
-        before += pick(" ", " ", ", ", ": ") if before else ""
-        text = (before + item + pick(" ", " ", ". ", ", ") + after)[-WINDOW:] if r.random() < 0.5 else (before + item + pick(" ", ".", "") + after)[:WINDOW]
-        start = text.find(item)
-        if start >= 0:
-            out.append((text, [(kind, start, start + len(item))] if kind != "none" else []))
+    for _ in range(n):
+        kind = ("email", "ip", "card", "phone", "none", "none")[r.integers(6)]
+        item = _item(r, kind)
+        around = carriers[r.integers(len(carriers))] if len(carriers) else f"{prose()} {prose()}"
+        cut = int(r.integers(0, len(around) + 1))
+        cut = around.find(" ", cut) if around.find(" ", cut) >= 0 else len(around)
+        lead = around[:cut] + ("", " ", ", ", ": ")[r.integers(1, 4)] if around[:cut] else ""
+        text = lead + item + (" ", ". ", ", ", "\n", "")[r.integers(5)] + around[cut:].lstrip()
+        begin = max(0, len(lead) - int(r.integers(0, WINDOW - len(item))))
+        start = len(lead) - begin
+        out.append((text[begin : begin + WINDOW], [(kind, start, start + len(item))] if kind != "none" else []))
     return out
 
 
@@ -395,54 +456,96 @@ def training_arrays(windows: list[tuple[str, list[tuple[str, int, int]]]]):
     return x, y, x > 0
 
 
-def sample_windows(text: str | None, limit: int = 4) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Windows of a text around its digits and at signs that cut no base span, with the base spans in them."""
-    spans = [s for s in base_spans(text)]
+def sample_windows(text: str | None, limit: int = EACH) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """At most ``limit`` windows of a text, with the base spans in them: those with the smallest hashes.
+
+    Windows that cut a base span, or that meet a match which failed its test because it ran
+    into other numbers, are left out: their labels would be wrong.
+    """
+    spans = base_spans(text)
+    doubtful = [m.span() for m in _PHONE.finditer(text or "") if len(_NO_DIGIT.sub("", m[0])) > 15]
+    doubtful += [m.span() for m in _CARD.finditer(text or "") if not m[0].isdigit() and len(_NO_DIGIT.sub("", m[0])) > 16]
+    doubtful = [d for d in doubtful if not any(d == (a, b) for _, a, b in spans)]
     out = []
-    for a, b in stretches(text or "")[:limit]:
-        b = min(b, a + WINDOW)
-        if any(s < a < e or s < b < e for _, s, e in spans):
+    for a, b in windows_of(text or ""):
+        if any(s < a < e or s < b < e for _, s, e in spans) or any(s < b and a < e for s, e in doubtful):
             continue
         inside = sorted(((k, s - a, e - a) for k, s, e in spans if a <= s and e <= b), key=lambda z: z[1])
         if any(p[2] > q[1] for p, q in zip(inside, inside[1:])):
             continue
         out.append((text[a:b], inside))
-    return out
+    return sorted(out, key=lambda w: (zlib.crc32(w[0].encode("utf-8", "replace")), w[0]))[:limit]
+
+
+def plain_stretch(text: str | None) -> str | None:
+    """The first stretch of WINDOW characters of a text without a digit or an at sign, to set variants into."""
+    at = 0
+    for m in _TRIGGER.finditer(text or ""):
+        if m.start() - at >= WINDOW:
+            break
+        at = m.end()
+    return text[at : at + WINDOW] if text and len(text) - at >= WINDOW and not _TRIGGER.search(text[at : at + WINDOW]) else None
 
 
 def fit_tagger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    """A tagger from the windows of at most FIT_DOCS documents (those with the smallest hashes) and as many written variants.
+    """A tagger from the windows of at most FIT_DOCS documents (those with the smallest hashes) and twice as many written variants.
 
-    The bound keeps the fit's cost the same at every size; an empty table leaves the variants.
+    EACH windows of a document are looked at, FIT_WINDOWS in all. The bound keeps the fit's
+    cost the same at every size; nothing else is bounded. Null ids aren't sampled, null and
+    empty texts have no windows, repeated rows count again; an empty table leaves variants
+    among made-up words; other columns are not read.
     """
+    spent: list[str] = []
     ids = df.select(F.col(id_col).cast("long").alias("lid")).where("lid is not null")
-    ids = materialize(ids.orderBy(F.xxhash64("lid"), "lid").limit(FIT_DOCS).distinct(), "pii-ids")
+    ids = materialize(ids.orderBy(F.xxhash64("lid"), "lid").limit(FIT_DOCS).distinct(), "pii-ids", spent=spent)
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in in_slices(batches):
-            rows = [(t, [f"{k}:{a}:{b}" for k, a, b in s]) for x in batch.column(0).to_pylist() for t, s in sample_windows(x)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["text", "spans"]
-            )
-
-    found = narrow.join(F.broadcast(ids), F.col("id") == F.col("lid")).select("text").mapInArrow(run, "text string, spans array<string>")
-    rows = found.orderBy(F.size("spans") == 0, F.xxhash64("text"), "text").limit(FIT_WINDOWS).collect()
+            rows = []
+            for x in batch.column(0).to_pylist():
+                rows += [(t, [f"{k}:{a}:{b}" for k, a, b in s], False) for t, s in sample_windows(x)]
+                plain = plain_stretch(x)
+                rows += [(plain, [], True)] if plain else []
+            cols = list(zip(*rows)) or [(), (), ()]
+            kinds = (pa.string(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["text", "spans", "plain"])
+
+    found = narrow.join(F.broadcast(ids), F.col("id") == F.col("lid")).select("text").mapInArrow(run, "text string, spans array<string>, plain boolean")
+    found = materialize(found, "pii-windows", spent=spent)
+    rows = found.where("not plain").orderBy(F.size("spans") == 0, F.xxhash64("text"), "text").limit(FIT_WINDOWS).collect()
+    carriers = [r["text"] for r in found.where("plain").orderBy(F.xxhash64("text"), "text").limit(FIT_WINDOWS).collect()]
+    clear(df.sparkSession, spent)
     windows = [(r["text"], [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r["spans"])]) for r in rows]
-    return Tagger.new().fit(*training_arrays(windows + written_variants(FIT_WINDOWS)))
+    return Tagger.new().fit(*training_arrays(windows + written_variants(2 * FIT_WINDOWS, carriers=carriers)))
+
+
+def plausible(kind: str, item: str) -> bool:
+    """Whether what the tagger found passes the test of its kind: that of the base patterns on its digits, and no letters but an address's."""
+    digits = _NO_DIGIT.sub("", item)
+    if kind == "email":
+        return bool(re.fullmatch(r"(?is)[^\W_][^@]*(@|[(\[{]\s?at\s?[)\]}]).*[^\W\d_]", item))
+    if any(c.isalpha() for c in item):
+        return False
+    if kind == "ip":
+        parts = [p for p in _NO_DIGIT.split(item) if p]
+        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
+    return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
 def all_spans(texts: list[str | None], tagger: Tagger) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text; the tagger's spans count where they touch no base span."""
+    """(base spans, all spans) of each text; the tagger's spans count where they touch no base span and are plausible."""
     out = []
+    order = {k: i for i, k in enumerate(KINDS)}
     for text, more in zip(texts, tagger.spans(texts)):
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)
+        begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         extra = []
         for k, a, b in more:
-            if all(b <= s or e <= a for s, e in taken) and b - a > 5 and re.search(r"[0-9@]|\(at\)", text[a:b]):
+            before = bisect_left(begins, b)  # base spans that begin before this one ends
+            if (not before or reach[before - 1] <= a) and plausible(k, text[a:b]):
                 extra.append((k, a, b))
-        order = {k: i for i, k in enumerate(KINDS)}
         out.append((base, sorted(base + extra, key=lambda s: (order[s[0]], s[1], s[2]))))
     return out
 
@@ -491,8 +594,29 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+def mask_all(texts: list[str | None], tagger: Tagger) -> list[str | None]:
+    """The texts with all spans masked; once more where a mask parts numbers that ran into each other, so that a pattern fits now."""
+    out, todo = list(texts), list(range(len(texts)))
+    while todo:
+        found = all_spans([out[i] for i in todo], tagger)
+        again = []
+        for i, (_, spans) in zip(todo, found):
+            if spans:
+                out[i] = masked(out[i], spans)
+                if base_spans(out[i]):
+                    again.append(i)
+        todo = again
+    return out
+
+
 def mask_pii(df: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The rows of ``df``, same columns, with personal data masked; the length column, if there is one, follows the new text."""
+    """The rows of ``df``, same columns, with personal data masked; the length column, if there is one, follows the new text.
+
+    Defined results: null and empty texts, and texts without a span, stay as they are, their
+    length column too; every row is kept, repeated ones and null ids included; an empty table
+    gives an empty one; other columns, of whatever name, are passed on. One map-only pass;
+    memory follows the longest text.
+    """
 
     def run(batches):
         for batch in batches:
@@ -500,7 +624,7 @@ def mask_pii(df: DataFrame, tagger: Tagger, text_col: str = "text", chars_col: s
             for j in range(0, batch.num_rows, 256):
                 part = batch.slice(j, 256)
                 texts = part.column(i).to_pylist()
-                new = [masked(t, s) if s else t for t, (_, s) in zip(texts, all_spans(texts, tagger))]
+                new = mask_all(texts, tagger)
                 part = part.set_column(i, part.schema.field(i), pa.array(new, part.schema.field(i).type))
                 c = part.schema.get_field_index(chars_col) if chars_col else -1
                 if c >= 0:
