@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import in_slices, materialize
+from millrace.llm._common import clear, in_slices, materialize
 from millrace.llm._shingles import mix, shingle_sets
 
-#: Bounds of the sample the model is fitted on: toxic and other rows, and terms of the lexicon.
-FIT_TOXIC, FIT_OTHER, MAX_TERMS = 1500, 4500, 1000
+#: Bounds of the sample the model is fitted on: toxic and other rows. All terms that the sample supports are taken.
+FIT_TOXIC, FIT_OTHER = 1500, 4500
 #: A term must stand in so many toxic texts that chance gives that with at most this probability, in this many at least, and this share of its texts must be toxic.
 MAX_CHANCE, MIN_TEXTS, MIN_SHARE = 2e-5, 4, 0.92
 #: A stem must stand in so many times the toxic texts of any one term that begins with it.
 STEM_GAIN = 1.25
-#: Letters of the shortest stem, and words on each side of a hit that make its window.
-MIN_STEM, WINDOW = 4, 6
+#: Letters of the shortest and longest stem, and words on each side of a hit that make its window.
+MIN_STEM, MAX_STEM, WINDOW = 4, 9, 6
 #: Words each Python worker remembers the lexicon's answer for.
 KNOWN_WORDS = 300_000
 
@@ -287,9 +287,9 @@ def _counts(sample: DataFrame, stems: bool) -> DataFrame:
         for batch in in_slices(batches):
             got: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {w for w in WORD.findall((text or "").lower()) if MIN_STEM <= len(w) <= 40}
+                found = set(WORD.findall((text or "").lower()))
                 if stems:
-                    found = {w[:n] for w in found for n in range(MIN_STEM, min(len(w), 10))}
+                    found = {w[:n] for w in found for n in range(MIN_STEM, min(len(w), MAX_STEM + 1))}
                 for w in found:
                     got.setdefault(w, [0, 0])[1 - label] += 1
             yield pa.RecordBatch.from_arrays(
@@ -303,9 +303,13 @@ def _counts(sample: DataFrame, stems: bool) -> DataFrame:
 
 
 def _chosen(counts: DataFrame, least: int) -> dict[str, int]:
-    """The terms that tell toxic texts from others, with the toxic texts of each."""
+    """The terms that tell toxic texts from others, with the toxic texts of each.
+
+    Each stands in ``least`` of the sample's toxic texts at least, which bounds them by the
+    words of FIT_TOXIC texts.
+    """
     good = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("other"))))
-    return {r["term"]: r["toxic"] for r in good.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()}
+    return {r["term"]: r["toxic"] for r in good.orderBy(F.desc("toxic"), "term").collect()}
 
 
 def fit_toxicity(
@@ -313,22 +317,25 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """A model from at most FIT_TOXIC + FIT_OTHER rows of ``labels`` for which ``learnable`` holds.
 
-    The rows with the smallest hashes are taken. Without any labelled row the model is the
-    prior with an empty lexicon. Rows with null ids or labels are not used.
+    The rows with the smallest hashes are taken. Without any labelled row, or with empty
+    tables, the model is the prior with an empty lexicon. Rows with null ids or labels are not
+    used; null and empty texts have no words; an id that repeats in ``labels`` counts once, as
+    toxic if any row says so, and one that repeats in ``docs`` for each text; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, spent = docs.sparkSession, []
     known = labels.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).cast("long").alias("lid"), F.col(label_col).cast("int").alias("label")
     )
+    known = known.groupBy("lid").agg(F.max("label").alias("label"))
     share = known.agg(F.avg("label")).first()[0]
     if share is None:
         return ToxicityModel()
     pick = lambda v, n: known.where(F.col("label") == v).orderBy(F.xxhash64("lid"), "lid").limit(n)
-    ids = materialize(pick(1, FIT_TOXIC).unionByName(pick(0, FIT_OTHER)).dropDuplicates(["lid"]), "toxicity-ids")
+    ids = materialize(pick(1, FIT_TOXIC).unionByName(pick(0, FIT_OTHER)), "toxicity-ids", spent=spent)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = materialize(narrow.join(F.broadcast(ids), F.col("id") == F.col("lid")).select("id", "text", "label"), "toxicity-sample")
+    sample = materialize(narrow.join(F.broadcast(ids), F.col("id") == F.col("lid")).select("id", "text", "label"), "toxicity-sample", spent=spent)
     kept = spark.createDataFrame([(i,) for i in _distinct_rows(spark, sample)], "kid long")
-    distinct = materialize(sample.join(F.broadcast(kept), F.col("id") == F.col("kid")).select("text", "label"), "toxicity-distinct")
+    distinct = materialize(sample.join(F.broadcast(kept), F.col("id") == F.col("kid")).select("text", "label"), "toxicity-distinct", spent=spent)
     base = distinct.agg(F.avg("label")).first()[0] or 0.5
     least = max(MIN_TEXTS, int(np.ceil(np.log(MAX_CHANCE) / np.log(min(max(base, 1e-3), 0.9)))))
     whole = _chosen(_counts(distinct, stems=False), least)
@@ -346,8 +353,9 @@ def fit_toxicity(
             found = {w for t in batch.column(0).to_pylist() for w in WORD.findall((t or "").lower())}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(w for w in found if trie.kind(w) == "misspelled"), pa.string())], names=["word"])
 
-    harmless = distinct.where("label = 0").select("text").mapInArrow(near, "word string").distinct().orderBy("word").limit(100 * MAX_TERMS)
-    model = ToxicityModel(terms, stems, [r["word"] for r in harmless.collect()])
+    harmless = distinct.where("label = 0").select("text").mapInArrow(near, "word string").distinct()
+    # Bounded by the words of FIT_OTHER texts that are near a term.
+    model = ToxicityModel(terms, stems, sorted(r["word"] for r in harmless.collect()))
 
     def run(batches):
         scorer = model.scorer()
@@ -357,6 +365,7 @@ def fit_toxicity(
 
     rows = distinct.mapInArrow(run, "x array<double>, label int").collect()
     rows.sort(key=lambda r: (r["label"], r["x"]))
+    clear(spark, spent)
     if rows:
         model.weights = fit_weights(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows]), share)
     return model
@@ -383,7 +392,13 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
 
 
 def keep_clean(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text isn't predicted toxic; same columns."""
+    """The rows of ``df`` whose text isn't predicted toxic; same columns.
+
+    Defined results: null, empty and wordless texts have no hits and stay, unless the model's
+    bias alone says toxic; null ids and repeated rows are judged by their texts like any other;
+    an empty table gives an empty one; other columns, of whatever name, are passed on. One
+    map-only pass; memory follows the longest text.
+    """
     fields = df.schema
 
     def run(batches):

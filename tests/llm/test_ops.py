@@ -649,6 +649,21 @@ def test_misspellings_inside_a_stem_are_hits(spark):
     assert [trie.kind(w) for w in ("gr0bian", "gobian", "grabian")] == ["misspelled"] * 3
 
 
+def test_terms_of_any_number_and_length(spark):
+    rnd = random.Random(7)
+    terms = ["".join(rnd.choices("klmnopqrst", k=8)) for _ in range(1200)] + ["zz", "q" * 60]
+    rows = [(i, " ".join(rnd.sample(terms, len(terms)) if i % 2 else ["plain"]), i % 2) for i in range(160)]
+    # A spelling near a term that other texts use is harmless, the last of the alphabet too.
+    rows += [(1000 + i, "zzzzzzzzy", 0) for i in range(40)] + [(2000 + i, "zzzzzzzzz", 1) for i in range(100)]
+    rows = [(i, " ".join([*("".join(rnd.choices("abcdefgh", k=7)) for _ in range(4)), t]), y) for i, t, y in rows]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 0)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs_of(spark, [(i, t, "s") for i, t, _ in rows]), labels, F.lit(True))
+    assert model.harmless[-1] == "zzzzzzzzy"
+    known = set(model.terms)
+    assert {"zz", "q" * 60} <= known and len(known & set(terms)) > 1100
+    assert toxicity.keep_clean(docs_of(spark, [(1, "zz " + terms[5], "s"), (2, "plain", "s"), (None, None, None)]).where("false"), model).count() == 0
+
+
 def brute_url(u):
     host = path = ""
     if u and "://" in u:
