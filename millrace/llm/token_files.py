@@ -1,9 +1,12 @@
 """Token files: canonical length-limited Huffman coding of ids from global counts.
 
-A token file set is a table of independent blocks in ascending id order. A block holds whole
-documents: their ids, token counts, the Huffman bits of each document from a byte border on,
-and checkpoints, the bit offset of every CHECKPOINT-th token. Code lengths come from counts
-over all documents by package-merge, codes are canonical, so the lengths alone rebuild them.
+A token file set is a folder with three tables. ``blocks``: independent blocks in ascending
+id order, file after file. A block holds whole documents: their ids, token counts, the Huffman
+bits of each document from a byte border on, and checkpoints, the bit offset of every
+CHECKPOINT-th token. ``code``: the code length of each id in use. Lengths come from counts over
+all documents by package-merge, and codes are canonical, so the lengths alone rebuild them.
+``segments``: where each range of ids begins in the stream of all tokens. The folder is all that a
+reader needs.
 
 Decoding looks up the next ``bits`` bits in one table per step, for all checkpoints of a
 block at once. Blocks are rows that Spark's own writers commit, so a lost executor costs the
@@ -16,14 +19,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import _bpe
-from millrace.llm._common import in_slices, materialize
+from millrace.llm._common import clear, in_slices, materialize, shared_path
 
-#: Longest code, tokens of a block, tokens between checkpoints.
+#: Longest code (longer where so many ids are in use that they need it), tokens of a block, tokens between checkpoints.
 MAX_BITS, BLOCK_TOKENS, CHECKPOINT = 16, 1 << 18, 128
+#: Bits of the longest code that a step of the decoder can look up.
+MOST_BITS = 25
 #: Segments (ranges of ids) for each shuffle partition.
 SEGMENTS_EACH = 4
 _CHUNK = 1 << 20
@@ -168,26 +173,69 @@ class Code:
         return out
 
 
-def _bounds(ids: DataFrame, segments: int) -> list[int]:
-    if segments < 2:
-        return []
-    shares = [i / segments for i in range(1, segments)]
-    found = ids.agg(F.percentile_approx("doc_id", shares, 20 * segments).alias("b")).first()["b"]
-    return sorted(set(found or []))
+def longest_code(used: int, max_bits: int = MAX_BITS) -> int:
+    """The limit on code lengths for so many ids in use: ``max_bits``, or two bits more than they need at least."""
+    bits = max(max_bits, (used - 1).bit_length() + 2) if used > 1 << (max_bits - 1) else max_bits
+    if bits > MOST_BITS:
+        raise ValueError(f"{used} ids need codes of more than {MOST_BITS} bits")
+    return bits
+
+
+class Segments:
+    """Ranges of rows in the order of (id, text hash): between approximate quantiles of the ids, nulls first.
+
+    An id that holds several quantiles has as many segments, by ranges of the text hash; so a
+    third of all rows under one id, or under none, still spreads over a third of the segments.
+    """
+
+    def __init__(self, ids: DataFrame, segments: int):
+        shares = [i / segments for i in range(1, segments)]
+        found = ids.agg(
+            F.percentile_approx("doc_id", shares, 20 * segments).alias("b") if shares else F.lit(None).alias("b"),
+            F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+            F.count(F.lit(1)).alias("rows"),
+        ).first()
+        told = found["b"] or []
+        self.cuts = np.array(sorted(set(told)), dtype=np.int64)
+        times = [1 + int(found["nulls"] * segments // max(found["rows"], 1))]
+        for i, cut in enumerate(self.cuts.tolist()):
+            # Ids below the cut, then the cut itself.
+            times += [1, max(1, told.count(cut) - 1)]
+        times.append(1)
+        self.times = np.array(times, dtype=np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.times)))
+        self.number = int(self.first[-1])
+
+    def of(self, ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The segment of each row; ascending in (id, hash)."""
+        at = 1 + 2 * np.searchsorted(self.cuts, ids, side="left")
+        if len(self.cuts):
+            at += self.cuts[np.minimum((at - 1) // 2, len(self.cuts) - 1)] == ids
+        at[null] = 0
+        part = ((hashes >> 32) + (1 << 31)) * self.times[at] >> 32
+        return self.first[at] + part
 
 
 def write_token_files(
-    df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS
-) -> tuple[DataFrame, Code]:
-    """Encodes every text, appends ``end_id``, writes the blocks; returns the files read back and their code.
+    df: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_bits: int = MAX_BITS,
+    path: str | None = None,
+) -> str:
+    """Encodes every text, appends ``end_id``, writes a token file set; returns its folder, a new shared one unless ``path`` names it.
 
     Texts are encoded once. The ids wait in a compressed table while they are counted;
     only the Huffman bits are shuffled, into ranges of ids, and sorted there.
     """
-    spark = df.sparkSession
-    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    segments = SEGMENTS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_bounds(narrow.select("doc_id"), segments), dtype=np.int64)
+    spark, spent = df.sparkSession, []
+    path = path or shared_path(spark, "token-files")
+    text = F.col(text_col).cast("string")
+    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = Segments(narrow.select("doc_id"), SEGMENTS_EACH * partitions)
     wide = max(_bpe.ForcedCuts(tokenizer).library.get_vocab_size(), end_id + 1)
     kind = "<u2" if wide <= 1 << 16 else "<u4"
 
@@ -195,14 +243,15 @@ def write_token_files(
         coder = _bpe.encoder(tokenizer, kind)
         end = np.array([end_id], dtype=kind).tobytes()
         for batch in in_slices(batches, 1024):
-            ids = batch.column(0)
-            at = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")
+            ids, hashes = batch.column(0), batch.column(2)
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            at = segments.of(ids.fill_null(0).to_numpy(zero_copy_only=False), null, hashes.to_numpy(zero_copy_only=False))
+            coded = [x + end for x in coder.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), ids, pa.array([x + end for x in coder.encode_all(batch.column(1).to_pylist())], pa.binary())],
-                names=["segment", "doc_id", "ids"],
+                [pa.array(at, pa.int32()), ids, hashes, pa.array(coded, pa.binary())], names=["segment", "doc_id", "h", "ids"]
             )
 
-    encoded = materialize(narrow.mapInArrow(encode, "segment int, doc_id long, ids binary"), "token-ids")
+    encoded = materialize(narrow.mapInArrow(encode, "segment int, doc_id long, h long, ids binary"), "token-ids", spent=spent)
 
     def count(batches):
         total = np.zeros(wide, dtype=np.int64)
@@ -221,26 +270,41 @@ def write_token_files(
     counts = np.zeros(wide, dtype=np.int64)
     for r in told:
         counts[r["id"]] = r["n"]
-    code = Code(code_lengths(counts, max_bits))
+    code = Code(code_lengths(counts, longest_code(int((counts > 0).sum()), max_bits)))
+    used = np.flatnonzero(code.lengths)
+    lengths = spark.createDataFrame(list(zip(used.tolist(), code.lengths[used].tolist())), "id int, bits int")
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
 
     def pack(batches):
         for batch in in_slices(batches):
-            docs = [np.frombuffer(x, dtype=kind) for x in batch.column(2).to_pylist()]
+            docs = [np.frombuffer(x, dtype=kind) for x in batch.column(3).to_pylist()]
             payloads, checks = code.pack(docs)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *(batch.column(i) for i in range(3)),
                     pa.array([len(d) for d in docs], pa.int64()),
                     pa.array([c.astype("<u4").tobytes() for c in checks], pa.binary()),
                     pa.array(payloads, pa.binary()),
                 ],
-                names=["segment", "doc_id", "n", "checks", "payload"],
+                names=["segment", "doc_id", "h", "n", "checks", "payload"],
             )
 
-    packed = encoded.mapInArrow(pack, "segment int, doc_id long, n long, checks binary, payload binary")
-    dealt = packed.repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("doc_id"), "n", "payload")
-    return materialize(dealt.mapInArrow(_blocks, _BLOCKS), "token-files", "none"), code
+    packed = encoded.mapInArrow(pack, "segment int, doc_id long, h long, n long, checks binary, payload binary")
+    # Neighbouring segments go to one task, so that file after file the ids ascend.
+    files = min(partitions, segments.number)
+    file = F.floor(F.col("segment").cast("long") * files / segments.number).cast("int")
+    dealt = packed.withColumn("file", file).repartitionById(files, "file").drop("file")
+    dealt = dealt.sortWithinPartitions("segment", F.asc_nulls_first("doc_id"), "h", "n", "payload").drop("h")
+    dealt.mapInArrow(_blocks, _BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    # One row per segment, a bounded number.
+    tokens = F.col("before") + F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    at, starts = 0, []
+    for r in sorted(spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").groupBy("segment").agg(F.max(tokens).alias("n")).collect()):
+        starts.append((r["segment"], at, r["n"]))
+        at += r["n"]
+    spark.createDataFrame(starts, "segment int, start long, tokens long").coalesce(1).write.mode("overwrite").parquet(f"{path}/segments")
+    clear(spark, spent)
+    return path
 
 
 def _blocks(batches):
@@ -276,24 +340,28 @@ def _blocks(batches):
         yield block()
 
 
-def read_token_files(files: DataFrame, code: Code) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary of uint32) of every document of the files, decoded."""
-    return _read(files, code, "ids binary", lambda ids: ids.tobytes(), pa.binary())
+def read_code(spark: SparkSession, path: str) -> Code:
+    """The code of a token file set, from its lengths."""
+    rows = spark.read.schema("id int, bits int").parquet(f"{path}/code").collect()
+    lengths = np.zeros(1 + max((r["id"] for r in rows), default=0), dtype=np.uint8)
+    for r in rows:
+        lengths[r["id"]] = r["bits"]
+    return Code(lengths)
 
 
-def token_file_digests(files: DataFrame, code: Code) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document of the files, decoded."""
-    return _read(files, code, "ids_crc32 long", lambda ids: zlib.crc32(ids.tobytes()), pa.int64())
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary of uint32) of every document of the token file set at ``path``, decoded."""
+    return _read(spark, path, "ids binary", lambda ids: ids.tobytes(), pa.binary())
 
 
-def _read(files: DataFrame, code: Code, column: str, made, kind) -> DataFrame:
-    # One row per segment, a bounded number.
-    sums = files.groupBy("segment").agg(F.max(F.col("before") + F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    starts, at = {}, 0
-    for r in sorted(sums.collect(), key=lambda r: r["segment"]):
-        starts[r["segment"]] = at
-        at += r["n"]
-    lengths = code.lengths
+def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document of the token file set at ``path``, decoded."""
+    return _read(spark, path, "ids_crc32 long", lambda ids: zlib.crc32(ids.tobytes()), pa.int64())
+
+
+def _read(spark: SparkSession, path: str, column: str, made, kind) -> DataFrame:
+    starts = {r["segment"]: r["start"] for r in spark.read.schema("segment int, start long, tokens long").parquet(f"{path}/segments").collect()}
+    lengths = read_code(spark, path).lengths
 
     def run(batches):
         own = Code(lengths)
@@ -313,16 +381,15 @@ def _read(files: DataFrame, code: Code, column: str, made, kind) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", column.split()[0]],
                 )
 
-    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def token_files(df: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) as read back from the files of all texts.
 
     Defined results: a null or empty text has the end id alone; rows with a null id come
-    first, as one segment's beginning; rows that repeat an id follow one another by length,
-    then bits; an empty table gives no files and no rows; other columns are not read. Memory
+    first; rows that repeat an id follow one another by a hash of the text, then length and
+    bits; an empty table gives no blocks and no rows; other columns are not read. Memory
     follows the longest text.
     """
-    files, code = write_token_files(df, tokenizer, end_id, id_col, text_col)
-    return token_file_digests(files, code)
+    return token_file_digests(df.sparkSession, write_token_files(df, tokenizer, end_id, id_col, text_col))

@@ -151,11 +151,59 @@ def test_token_files(docs, empty, tokenizers, spark):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_files.token_files(empty, path).count() == 0
-    files, code = token_files.write_token_files(docs, path, 2)
-    whole = {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(files, code).collect()}
+    where = token_files.write_token_files(docs, path, 2)
+    whole = {r["doc_id"]: bytes(r["ids"]) for r in token_files.read_token_files(spark, where).collect()}
     assert np.frombuffer(whole[0], "<u4").tolist() == lib.encode(ROWS[0][1], add_special_tokens=False).ids + [2]
 
 
+def test_token_files_stand_alone_in_id_order(spark, tokenizers, tmp_path, monkeypatch):
+    """Another session reads the folder; file after file ids ascend; one id may hold most rows."""
+    import glob
+    import subprocess
+    import sys
+
+    import pyarrow.parquet as pq
+
+    path, lib = queries.tokenizer_path("byte_bpe_50k.json"), tokenizers["byte_bpe_50k.json"]
+    rnd = random.Random(5)
+    rows = [(rnd.choice([rnd.randrange(-500, 500), 77, None]), f"text {i} {'x ' * rnd.randrange(9)}", "s") for i in range(700)]
+    rows += [(i, t, "s") for i, t in enumerate(CANCELLING)]
+    where = token_files.write_token_files(docs_of(spark, rows).repartition(5), path, 2, path=f"file://{tmp_path}/set")
+    blocks = [r for f in sorted(glob.glob(f"{tmp_path}/set/blocks/part-*")) for r in pq.read_table(f).to_pylist()]
+    ids = [i for r in blocks for i in r["doc_ids"]]
+    assert ids == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    of_77 = collections.Counter(r["segment"] for r in blocks for i in r["doc_ids"] if i == 77)
+    assert len(of_77) > 2 and max(of_77.values()) < 150
+    script = f"""
+import sys, zlib
+sys.path[:0] = {sys.path!r}
+from pyspark.sql import SparkSession
+from millrace.llm import token_files
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for r in token_files.token_file_digests(spark, {where!r}).collect():
+    print(r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"])
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, check=True).stdout
+    got = sorted(tuple(None if x == "None" else int(x) for x in line.split()) for line in out.splitlines())
+    assert [g[1] for g in got] == ids and [g[0] for g in got] == np.cumsum([0, *(g[2] for g in got)])[:-1].tolist()
+    want = [lib.encode(t, add_special_tokens=False).ids + [2] for _, t, _ in rows]
+    want = collections.Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _, _), x in zip(rows, want))
+    assert collections.Counter(g[1:] for g in got) == want
+
+
+def test_codes_of_more_ids_than_two_to_the_sixteen():
+    n = 70_000
+    counts = np.random.default_rng(1).integers(1, 50, n)
+    bits = token_files.longest_code(n)
+    code = token_files.Code(token_files.code_lengths(counts, bits))
+    assert 17 <= bits <= token_files.MOST_BITS and code.bits <= bits and sum(2.0 ** -code.lengths.astype(float)) <= 1
+    docs = [np.random.default_rng(i).integers(0, n, 500).astype(np.uint32) for i in range(4)]
+    payloads, checks = code.pack(docs)
+    got = code.unpack(b"".join(payloads), np.full(4, 500), np.array([len(p) for p in payloads]), np.concatenate(checks))
+    assert got.tolist() == np.concatenate(docs).tolist()
+    assert token_files.longest_code(50_000) >= 16 and token_files.longest_code(10) == 16
+
+
 def huffman_cost(counts, limit):
     """Least total bits with codes of at most ``limit`` bits, by trying all length profiles of a few symbols."""
     import itertools
