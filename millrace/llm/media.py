@@ -1,11 +1,13 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A text's UTF-8 bytes, padded to a multiple of 64, become an 8-bit greyscale PNG image 64
-pixels wide: lossless, and the same bytes for the same text. Each task writes its images to
-tar shards in the shared folder, named by digest and once per shard; rows carry digest,
-shard, offset and length. A payload that stands in several shards has one address, the
-smallest, and every row points there, so a group of copies of any size costs one image per
-shard it occurs in and its payload is never shuffled.
+pixels wide: lossless, and the same bytes for the same text. Images stand in tar shards in the
+shared folder, named by digest, each digest once; rows carry digest, shard, offset and length.
+
+Which digests repeat is found first, from digests alone. A payload that stands once is stored
+by the task that reads it; of one that repeats, each task passes on a single copy and the one
+that stays is stored after a shuffle. So payloads that don't repeat aren't shuffled, and a group
+of copies of any size costs one image.
 
 Metadata columns come from range reads of the image headers alone, payloads from range reads
 of the members.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import materialize, shared_path
+from millrace.llm._common import clear, lookup, materialize, shared_path
 
 UNIT = 64
 #: A task begins a new shard beyond this size; level of the images' zlib stream.
@@ -34,6 +36,8 @@ SHARD_BYTES, LEVEL = 64 << 20, 6
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BANDS = 16
+#: Up to so many repeated digests are broadcast to part the rows; more go by a shuffled join.
+BROADCAST_DIGESTS = 500_000
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -120,47 +124,61 @@ class _Shard:
         self.out.close()
 
 
-def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, digest, shard, offset, length) of every row; the images are in the shards.
+def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, digest, text) of every row: the digest is that of the padded payload."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    n = F.octet_length("text").cast("long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    size = F.greatest(F.lit(UNIT), F.ceil(n / UNIT) * UNIT).cast("int")
+    payload = F.rpad(F.encode("text", "UTF-8"), size, F.lit(b"\0"))
+    return rows.select("doc_id", n.alias("n_bytes"), F.sha2(payload, 256).alias("digest"), "text")
+
+
+def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_bytes, digest) of every row, and (digest, shard, offset, length) of every payload; the images are in the shards.
 
     Shard names are unique to an attempt, so a task that runs again writes other files and
     its rows point to those.
+
+    Defined results: null and empty texts are a payload of 64 zero bytes; a null id stays
+    null; repeated rows each give a row, and one payload; an empty table writes no shard and
+    gives no rows; other columns are not read. Memory follows the longest text.
     """
-    base = shared_path(df.sparkSession, "media")
+    spark, spent = df.sparkSession, []
+    base = shared_path(spark, "media")
+    rows = media_rows(df, id_col, text_col)
 
     def run(batches):
         shard = None
         try:
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
-                    part, rows = batch.slice(i, 512), []
-                    for text in part.column(1).to_pylist():
-                        n, payload = padded(text)
+                    part, out = batch.slice(i, 512), []
+                    for digest, text in zip(*(c.to_pylist() for c in part.columns)):
                         if shard is None or shard.size > SHARD_BYTES:
                             if shard is not None:
                                 shard.close()
                             shard = _Shard(base)
-                        digest = hashlib.sha256(payload).hexdigest()
-                        rows.append((n, digest, *shard.put(digest, payload)))
-                    cols = list(zip(*rows))
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                        out.append((digest, *shard.put(digest, padded(text)[1])))
+                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                        names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
+                        [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["digest", "shard", "offset", "length"]
                     )
         finally:
             if shard is not None:
                 shard.close()
 
-    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = narrow.mapInArrow(run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
-    return materialize(rows, "media-rows")
-
-
-def addresses(rows: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): one address of each distinct payload."""
-    one = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a"))
-    return one.select("digest", "a.shard", "a.offset", "a.length")
+    told = materialize(rows.drop("text"), "media-rows")
+    again = told.groupBy(F.col("digest").alias("rdigest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rdigest")
+    again = materialize(again, "media-repeated", spent=spent)
+    again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
+    same = F.col("digest") == F.col("rdigest")
+    single = rows.join(again, same, "left_anti").select("digest", "text")
+    several = rows.join(again, same, "left_semi").select("digest", "text").dropDuplicates(["digest"])
+    where = single.unionByName(several).mapInArrow(run, "digest string, shard string, offset long, length long")
+    where = materialize(where, "media-addresses")
+    clear(spark, spent)
+    return told, where
 
 
 def _over_shards(where: DataFrame, made, schema: str) -> DataFrame:
@@ -197,17 +215,15 @@ def media_metadata(where: DataFrame) -> DataFrame:
 
 
 def media_contents(where: DataFrame) -> DataFrame:
-    """Header columns, and what the stored bytes of each image hold, read back.
+    """What the stored bytes of each image hold, read back.
 
-    (digest, width, height, bits, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
+    (digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
     """
 
     def made(file, offset, length):
-        header = png_header(file.read_at(HEADER_BYTES, offset))
         image = file.read_at(length, offset)
         payload = from_png(image)
         return (
-            *header,
             len(payload),
             hashlib.sha256(payload).hexdigest(),
             zlib.crc32(payload[-UNIT:]),
@@ -219,27 +235,31 @@ def media_contents(where: DataFrame) -> DataFrame:
     return _over_shards(
         where,
         made,
-        "digest string, width long, height long, bits long, payload_bytes long, payload_sha256 string, "
-        "tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
 
 
 def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as media and returns its row with what is read back from the shards.
+    """Stores every text as media and returns its row with its address and what is read back from the shards.
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, width, height)
+    feature, digest, shard, offset, length, width, height, bits); the last three come from
+    range reads of the headers alone.
 
-    Defined results: null and empty texts become 64 zero bytes, a 64 x 1 image; a null id
-    stays null; repeated rows each give a row, equal texts equal values; an empty table
-    writes no shard and gives no rows; other columns are not read. Memory follows the longest text.
+    Defined results: as of :func:`store_media`; an empty text is a 64 x 1 image; equal texts
+    have equal values, addresses included.
     """
-    rows = store_media(df, id_col, text_col)
-    contents = media_contents(addresses(rows)).withColumnRenamed("digest", "__digest")
-    both = rows.join(contents, F.col("digest") == F.col("__digest"))
-    return both.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
-    )
+    spent: list[str] = []
+    rows, where = store_media(df, id_col, text_col)
+    heads = materialize(media_metadata(where).withColumnRenamed("digest", "hdigest"), "media-heads", spent=spent)
+    contents = media_contents(where).withColumnRenamed("digest", "cdigest")
+    each = where.withColumnRenamed("digest", "adigest").join(heads, F.col("adigest") == F.col("hdigest"))
+    each = materialize(each.join(contents, F.col("adigest") == F.col("cdigest")).drop("hdigest", "cdigest"), "media-table")
+    clear(df.sparkSession, spent)
+    return lookup(rows, "digest", each, "adigest").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "digest", "shard", "offset", "length", "width", "height", "bits",
+    )
 
 
 def read_member(uri: str, name: str) -> bytes:

@@ -175,7 +175,7 @@ class Code:
 
 def longest_code(used: int, max_bits: int = MAX_BITS) -> int:
     """The limit on code lengths for so many ids in use: ``max_bits``, or two bits more than they need at least."""
-    bits = max(max_bits, (used - 1).bit_length() + 2) if used > 1 << (max_bits - 1) else max_bits
+    bits = max_bits if used <= 1 << max_bits else (used - 1).bit_length() + 2
     if bits > MOST_BITS:
         raise ValueError(f"{used} ids need codes of more than {MOST_BITS} bits")
     return bits

@@ -777,9 +777,23 @@ def test_media(docs, empty):
     assert len(got[5]) == 2 and media.media_table(empty).count() == 0
 
 
-def test_media_shards(docs):
-    rows = media.store_media(docs)
-    where = media.addresses(rows)
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_media_shards(docs, spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(media, "BROADCAST_DIGESTS", 0)
+    copies = docs.unionByName(docs_of(spark, [(5000 + i, ROWS[i % 3][1], "s") for i in range(200)]).repartition(3))
+    rows, where = media.store_media(copies)
+    assert rows.count() == copies.count() and where.count() == where.select("digest").distinct().count() == rows.select("digest").distinct().count()
+    # The shards hold each payload once, and nothing else.
+    names = collections.Counter()
+    for r in where.select("shard").distinct().collect():
+        store, path = media._store(r["shard"])
+        import io
+        import tarfile
+
+        with store.open_input_file(path) as f, tarfile.open(fileobj=io.BytesIO(f.read())) as tar:
+            names.update(tar.getnames())
+    assert names == collections.Counter(f"{r['digest']}.png" for r in where.collect())
     one = where.first()
     image = media.read_member(one["shard"], f"{one['digest']}.png")
     assert len(image) == one["length"] and hashlib.sha256(media.from_png(image)).hexdigest() == one["digest"]
@@ -787,6 +801,21 @@ def test_media_shards(docs):
     assert heads.count() == where.count() and heads.where("width <> 64 or bits <> 8").isEmpty()
     with pytest.raises(ValueError):
         media.png_header(image[:19] + b"\1" + image[20:40])
+    whole = media.media_table(copies)
+    assert whole.where("digest <> payload_sha256").isEmpty() and whole.groupBy("digest").agg(F.countDistinct("shard", "offset", "length").alias("n")).where("n > 1").isEmpty()
+
+
+def test_metadata_reads_headers_alone(docs, monkeypatch):
+    _, where = media.store_media(docs)
+    read = []
+
+    class File:
+        def read_at(self, n, at):
+            read.append((n, at))
+            return media.to_png(b"\0" * 64)[:n]
+
+    monkeypatch.setattr(media, "_over_shards", lambda w, made, schema: made(File(), 512, 10_000))
+    assert media.media_metadata(where) == (64, 1, 8) and read == [(media.HEADER_BYTES, 512)]
 
 
 def test_sql_of_top_k(spark):
