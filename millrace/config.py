@@ -19,7 +19,7 @@ class Params:
     min_sequence: int = 1  #: contiguous readings before a sensor's stream starts
 
 
-#: Configuration keys of the parameters.
+# Configuration keys of the parameters.
 KEYS = {
     "window.size": "window",
     "iterations.max": "iterations",

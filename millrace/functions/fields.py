@@ -54,6 +54,22 @@ def machine_type(line: Column) -> Column:
     return F.when(line.contains("#Molding"), "MOLDING").when(line.contains("#Assembly"), "ASSEMBLY")
 
 
-def bucket_of(columns: list[str], buckets: int) -> Column:
-    """The partition that hashing gives a key."""
-    return F.pmod(F.hash(*columns), F.lit(buckets))
+#: Spark's hash folds its arguments one after the other, from 42 on; this number's fold is 0, so what comes behind it is hashed from 0 on.
+_FROM_ZERO = -1693959553
+
+
+def key_hash(machine: Column, sensor: Column) -> Column:
+    """The 32-bit hash of a key of two whole numbers: 31 times the first plus the second, wrapped."""
+    wide = F.lit(31).cast("long") * machine.cast("long") + sensor.cast("long")
+    return (F.pmod(wide + (1 << 31), F.lit(1 << 32)) - (1 << 31)).cast("int")
+
+
+def key_group(hashed: Column, groups: int) -> Column:
+    """The group, from 0 to ``groups`` - 1, of a key by its hash: murmur3 of the hash from seed 0, its absolute value modulo ``groups``."""
+    mixed = F.hash(F.lit(_FROM_ZERO), hashed).cast("long")
+    return F.when(mixed == -(1 << 31), 0).otherwise(F.abs(mixed) % groups).cast("int")
+
+
+def operator_of(group: Column, parallelism: int, groups: int) -> Column:
+    """The parallel task that a key group belongs to: ranges of groups, as equal as can be."""
+    return F.floor(group.cast("long") * parallelism / groups).cast("int")

@@ -135,6 +135,22 @@ def labels_expr(values: Column, k: Column, params: Params) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(params.iterations)), start, step)["l"]
 
 
+def counts_expr(labels: Column, window: int) -> Column:
+    """(source, target, n, total) of each distinct transition of a window's labels."""
+    n = window - 1
+    pairs = F.arrays_zip(F.slice(labels, 1, n).alias("a"), F.slice(labels, 2, n).alias("b"))
+    count = lambda test: F.size(F.filter(pairs, test)).cast("long")
+    return F.transform(
+        F.array_distinct(pairs),
+        lambda t: F.struct(
+            t["a"].alias("source"),
+            t["b"].alias("target"),
+            count(lambda q: (q["a"] == t["a"]) & (q["b"] == t["b"])).alias("n"),
+            count(lambda q: q["a"] == t["a"]).alias("total"),
+        ),
+    )
+
+
 def transitions_expr(labels: Column, params: Params) -> Column:
     """(source, target, count, total) of each transition replayed, in order."""
     pairs = F.arrays_zip(F.slice(labels, 1, params.window - 1).alias("a"), F.slice(labels, 2, params.window - 1).alias("b"))

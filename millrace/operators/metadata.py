@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.schema import IOT, SSN, TYPE, WMD
 
@@ -49,7 +48,7 @@ def checked(metadata: DataFrame) -> DataFrame:
 
 
 def statistics(metadata: DataFrame) -> DataFrame:
-    """(name, value): rows (as a bag), machines, sensors, least threshold and the digits it needs, mean k, shares of the most and least frequent k."""
+    """(name, value): rows (as a bag), machines, sensors, least threshold and the digits it needs, mean k, shares of the most and least frequent k and sensor number."""
     plain = metadata.agg(
         F.count(F.lit(1)).cast("double").alias("rows"),
         F.countDistinct("machine").cast("double").alias("machines"),
@@ -58,16 +57,27 @@ def statistics(metadata: DataFrame) -> DataFrame:
         (1 - F.ceil(F.log10(F.min("pt")))).cast("double").alias("digits"),
         F.avg("k").alias("mean_k"),
     )
-    shares = histogram(metadata, "k").agg(F.max("share").alias("max_share"), F.min("share").alias("min_share"))
+    ends = lambda c, name: histogram(metadata, c).agg(F.max("share").alias(f"max_{name}"), F.min("share").alias(f"min_{name}"))
     long = lambda df: df.unpivot([], df.columns, "name", "value")
-    return long(plain).unionByName(long(shares))
+    return long(plain).unionByName(long(ends("k", "share"))).unionByName(long(ends("sensor", "sensor_share")))
 
 
 def histogram(metadata: DataFrame, column: str) -> DataFrame:
-    """(value, n, share): how often each value of a column stands. The total is over the distinct values, which are few."""
+    """(value, n, share): how often each value of a column stands among the rows."""
     counted = metadata.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counted.select("value", "n", (F.col("n") / total).alias("share"))
+    return counted.select("value", "n", (F.col("n") / F.lit(metadata.count())).alias("share"))
+
+
+def sensors_per_machine(metadata: DataFrame) -> DataFrame:
+    """(machine, sensors): the distinct sensors of each machine."""
+    return metadata.groupBy("machine").agg(F.countDistinct("sensor").alias("sensors"))
+
+
+def described(metadata: DataFrame) -> DataFrame:
+    """(machine, text): a line for each machine, its sensors with clusters and threshold in order."""
+    sensor = F.format_string("%04d(k=%02d,pt=%.4f)", "sensor", "k", "pt")
+    each = metadata.distinct().groupBy("machine").agg(F.array_sort(F.collect_list(sensor)).alias("all"))
+    return each.select("machine", F.concat(F.format_string("%04d: ", "machine"), F.array_join("all", " ")).alias("text"))
 
 
 def clusters_by_sensor(metadata: DataFrame) -> DataFrame:

@@ -77,6 +77,75 @@ def in_time_order(rows: DataFrame) -> DataFrame:
     )
 
 
+def count_sorted(rows: DataFrame, m: int = 1, parallelism: int = 1, delta: int = 1) -> DataFrame:
+    """(machine, sensor, ts, value, ordinal, flushed) of the sorter by counts, end of stream included.
+
+    Its warm-up waits for ``m`` contiguous times for each of ``parallelism`` parsers. At the
+    end a key that never started passes on its contiguous run from the smallest time
+    (``flushed``); nothing passes a gap even then.
+    """
+    fates = classify_arrivals(rows, m * parallelism, delta)
+    in_time = fates.where("fate = 'released'").select(*KEY, "ts", "value", F.lit(False).alias("flushed"))
+    last = fates.where("fate = 'waiting'").groupBy(*KEY, "ts").agg(F.max_by("value", "arrival").alias("value"))
+    by_time = Window.partitionBy(*KEY).orderBy("ts")
+    run = last.withColumn("in_run", F.col("ts") - F.min("ts").over(by_time) == (F.row_number().over(by_time) - 1) * delta)
+    out = in_time.unionByName(run.where("in_run").select(*KEY, "ts", "value", F.lit(True).alias("flushed")))
+    return out.withColumn("ordinal", (F.row_number().over(by_time) - 1).cast("long"))
+
+
+def count_sorter_ends(rows: DataFrame, m: int = 1, parallelism: int = 1, delta: int = 1) -> DataFrame:
+    """(machine, sensor, pending, passed): times left behind a gap at the end, and whether the end mark passes, as it does where none is."""
+    fates = classify_arrivals(rows, m * parallelism, delta)
+    there = fates.where("fate in ('blocked', 'waiting')").select(*KEY, "ts").distinct()
+    sent = count_sorted(rows, m, parallelism, delta).where("flushed").select(*KEY, "ts")
+    left = there.join(sent, [*KEY, "ts"], "left_anti").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    keys = rows.select(*KEY).distinct().join(left, list(KEY), "left")
+    return keys.select(*KEY, F.coalesce("n", F.lit(0)).cast("long").alias("pending"), F.col("n").isNull().alias("passed"))
+
+
+def time_sorted(rows: DataFrame, m: int = 1, delta: int = 1, delay: int = 0) -> DataFrame:
+    """(machine, sensor, ts, value, flushed, ordinal) of the sorter by time, for rows (machine, sensor, arrival, clock, ts, value).
+
+    ``clock`` is the wall clock at an arrival. A key starts at the first arrival that brings no
+    new smallest time, ``delay`` or more after the one that did, if the (m + 1)-th of the
+    times there is the smallest plus m * delta. From then on times are released one after the other.
+    Late rows aren't dropped: the first of them blocks all output until the end, when all that is
+    left is flushed in order of time, gaps and late rows included.
+    """
+    times = rows.groupBy(*KEY, "ts").agg(F.min("arrival").alias("came"), F.min_by("clock", "arrival").alias("clock"))
+    by_time = Window.partitionBy(*KEY).orderBy("ts")
+    near = times.withColumn("near", F.collect_list(F.struct("ts", "came")).over(by_time.rangeBetween(0, m * delta)))
+    came = lambda test: F.transform(F.filter("near", test), lambda x: x["came"])
+    before = F.array_sort(came(lambda x: x["ts"] < F.col("ts") + m * delta))
+    starts = near.select(
+        *KEY,
+        F.col("ts").alias("least"),
+        F.col("came").alias("least_came"),
+        (F.col("clock") + delay).alias("from_clock"),
+        # Exactly m times below the one that is waited for are there from ``lo`` on and before ``hi``.
+        F.greatest(F.get(came(lambda x: x["ts"] == F.col("ts") + m * delta), F.lit(0)), F.get(before, F.lit(m - 1))).alias("lo"),
+        F.get(before, F.lit(m)).alias("hi"),
+        (F.size(before) >= m).alias("enough"),
+        (F.array_max(F.col("near")["ts"]) == F.col("ts") + m * delta).alias("met"),
+    ).where("enough and met")
+    so_far = Window.partitionBy(*KEY).orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.select(*KEY, "arrival", "clock", F.min("ts").over(so_far).alias("least"), (F.count(F.lit(1)).over(so_far) == 1).alias("first"))
+    at = at.join(starts, [*KEY, "least"]).where("(arrival > least_came or first) and clock >= from_clock and arrival >= lo and (hi is null or arrival < hi)")
+    begun = at.groupBy(*KEY).agg(F.min(F.struct("arrival", "least")).alias("s")).select(*KEY, F.col("s.arrival").alias("warm"), F.col("s.least").alias("start_ts"))
+
+    run = times.join(begun, list(KEY)).where("ts >= start_ts").withColumn("place", F.row_number().over(by_time) - 1)
+    upto = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    run = run.where(F.col("ts") - F.col("start_ts") == F.col("place") * delta).select(*KEY, "ts", F.greatest(F.max("came").over(upto), "warm").alias("release"))
+    told = rows.join(run, [*KEY, "ts"], "left").join(begun, list(KEY), "left")
+    late = (F.col("arrival") > F.col("warm")) & ((F.col("ts") < F.col("start_ts")) | (F.col("arrival") > F.col("release")))
+    told = told.withColumn("blocked", F.min(F.when(late, F.col("arrival"))).over(Window.partitionBy(*KEY)))
+    sent = F.col("release").isNotNull() & (F.col("blocked").isNull() | (F.col("release") < F.col("blocked")))
+    told = told.withColumn("flushed", ~(sent & (F.col("arrival") <= F.col("release"))))
+    out = told.groupBy(*KEY, "ts", "flushed").agg(F.max_by("value", "arrival").alias("value"))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("flushed", "ts")) - 1
+    return out.select(*KEY, "ts", "value", "flushed", place.cast("long").alias("ordinal"))
+
+
 def dedup_messages(messages: DataFrame, id_col: str, order_col: str) -> DataFrame:
     """One row per message id, the first by ``order_col``; on a stream use dropDuplicates with a watermark."""
     first = messages.groupBy(id_col).agg(F.min(order_col).alias("__first"))

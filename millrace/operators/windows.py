@@ -2,33 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.sources.shared import materialize
+
 KEY = ("machine", "sensor")
 
 
-def global_index(df: DataFrame, first: str, order: list[str], name: str, parts: int | None = None) -> DataFrame:
-    """Adds the 0-based position of each row in the order of ``first`` (a whole number), then ``order``.
+def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the 0-based position of each row in the order of the columns ``order``, nulls first.
 
-    Rows are dealt by ranges of ``first``; only the range sizes, a few thousand rows at most,
-    meet in one task to become offsets. No task sorts the whole table.
+    Spark deals the rows into ranges of that order by a sample, so neither an outlier nor a
+    frequent value makes a range large; each range is sorted by itself and written once with
+    its number and the rows' places in it. Only the sizes of the ranges, a row each, come together.
     """
-    parts = parts or 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
-    lo, width = edges["lo"] or 0, max(1, -(-((edges["hi"] or 0) - (edges["lo"] or 0) + 1) // parts))
-    cut = df.withColumn("__range", F.floor((F.col(first) - lo) / width))
-    sizes = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__range").alias("__r"), "__n").select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(first, *order)) - 1
-    return (
-        cut.withColumn("__i", within)
-        .join(offsets, F.col("__range") == F.col("__r"))
-        .withColumn(name, (F.col("__i") + F.col("__before")).cast("long"))
-        .drop("__range", "__r", "__i", "__before")
-    )
+    spark = df.sparkSession
+    r, i, n, before = "__range", "__place", "__rows", "__before"
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id that Spark gives is the number of the partition, shifted, plus the place in it.
+    placed = dealt.withColumn(i, F.monotonically_increasing_id()).withColumn(r, F.shiftright(i, 33))
+    placed = materialize(placed.withColumn(i, F.col(i).bitwiseAND((1 << 33) - 1)), "index")
+    at, starts = 0, []
+    for row in sorted(placed.groupBy(r).agg(F.count(F.lit(1)).alias(n)).collect(), key=lambda x: x[r]):
+        starts.append((row[r], at))
+        at += row[n]
+    told = spark.createDataFrame(starts, f"__r long, {before} long")
+    joined = placed.join(F.broadcast(told), F.col(r) == F.col("__r"))
+    return joined.withColumn(name, F.col(i) + F.col(before)).drop(r, i, "__r", before)
 
 
 def sliding_windows(readings: DataFrame, size: int, order: str = "lts", full_only: bool = True) -> DataFrame:
@@ -36,7 +38,7 @@ def sliding_windows(readings: DataFrame, size: int, order: str = "lts", full_onl
 
     Readings whose value isn't a finite number are left out before windows are cut.
     """
-    clean = readings.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+    clean = readings.where(is_number(F.col("value")))
     by = Window.partitionBy(*KEY).orderBy(order)
     frame = by.rowsBetween(-(size - 1), 0)
     out = clean.select(
@@ -49,6 +51,10 @@ def sliding_windows(readings: DataFrame, size: int, order: str = "lts", full_onl
     return out.where(F.col("ordinal") >= size - 1) if full_only else out
 
 
+def is_number(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+
 def lag_pairs(readings: DataFrame, order: str = "lts") -> DataFrame:
     """Each reading with the one before it of its key, and whether their logical times follow one another."""
     by = Window.partitionBy(*KEY).orderBy(order)

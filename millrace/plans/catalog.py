@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from millrace.config import Params, settings_of_triples
 from millrace.functions import fields, markov
 from millrace.operators import detect, metadata, reorder, windows
-from millrace.schema import IOT, SSN, TYPE, WMD, XSD
+from millrace.schema import I40, IOT, RESOURCE, RESULT, SCORE, SSN, TYPE, WMD, XSD
 from millrace.sources import graph, tables
-from millrace.sources.shared import shared_path
+from millrace.sources.shared import materialize, shared_path
 from millrace.streaming import detector
 
 P = Params()
@@ -34,17 +34,23 @@ li AS (
     UNION ALL SELECT CAST(l_suppkey AS INTEGER), 3, lts, l_discount FROM li
     UNION ALL SELECT CAST(l_suppkey AS INTEGER), 4, lts, l_tax FROM li
 )"""
-_WINS = f"""{_READINGS}, wins AS (
+
+
+def _wins(source: str = "readings", k: str = str(K), join: str = "") -> str:
+    return f"""wins AS (
     SELECT * FROM (
         SELECT machine, sensor, first_value(lts) OVER w AS oldest_lts, lts AS newest_lts,
                row_number() OVER (PARTITION BY machine, sensor ORDER BY lts) - 1 AS ordinal, list(value) OVER w AS win
-        FROM readings WINDOW w AS (PARTITION BY machine, sensor ORDER BY lts ROWS BETWEEN {P.window - 1} PRECEDING AND CURRENT ROW)
+        FROM {source} WINDOW w AS (PARTITION BY machine, sensor ORDER BY lts ROWS BETWEEN {P.window - 1} PRECEDING AND CURRENT ROW)
     ) WHERE ordinal >= {P.window - 1}
 ), seeded AS (
-    SELECT *, list_sort(list_slice(list_filter(win, lambda x, i: list_position(win, x) = i), 1, {K})) AS seeds FROM wins
+    SELECT wins.*, list_sort(list_slice(list_filter(win, lambda x, i: list_position(win, x) = i), 1, {k})) AS seeds FROM wins {join}
 )"""
+
+
+_WINS = f"{_READINGS}, {_wins()}"
 _ASSIGN = "list_transform(win, lambda v: list_reduce(range(len({c})), lambda b, i: CASE WHEN abs({c}[i + 1] - v) <= abs({c}[b + 1] - v) THEN i ELSE b END))"
-_KMEANS = f"""{_WINS}, km AS (
+_CLUSTERED = f"""km AS (
     SELECT machine, sensor, oldest_lts, ordinal, win, seeds AS c, CAST([] AS BIGINT[]) AS lab, 0 AS rounds, false AS done FROM seeded
     UNION ALL
     SELECT machine, sensor, oldest_lts, ordinal, win, CASE WHEN empty THEN c ELSE means END, l, rounds + 1,
@@ -67,6 +73,7 @@ _KMEANS = f"""{_WINS}, km AS (
                / len(list_filter(range(1, {P.window}), lambda j: lab[j] = lab[i])))), lambda a, x: a * x) AS probability
     FROM labelled
 )"""
+_KMEANS = f"{_WINS}, {_CLUSTERED}"
 _META = f"""meta AS (
     SELECT DISTINCT CAST(l_suppkey AS INTEGER) AS machine, s.sensor AS sensor, CAST(2 + (l_suppkey + s.sensor) % 3 AS INTEGER) AS k,
            CAST(0.001 AS DOUBLE) * (1 + (l_suppkey * 7 + s.sensor) % 9) AS pt
@@ -141,13 +148,19 @@ def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.inline(each)).unionByName(rows.select("machine").distinct().select(F.inline(once)))
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rendered_groups(groups: DataFrame, ts, *keep: str) -> DataFrame:
     observed = F.array(*[F.struct(F.lit(i).alias("sensor"), F.col(c).alias("value")) for i, c in enumerate(tables.SENSORS, 1)])
-    return graph.render_groups(
-        tables.groups(spark, sf_dir).select(
-            F.col("lts").alias("group"), "machine", F.col("l_shipdate").alias("ts"), F.lit(0).alias("cycle"), observed.alias("observations")
-        )
-    )
+    rows = groups.select(*keep, F.col("lts").alias("group"), "machine", ts.alias("ts"), F.lit(0).alias("cycle"), observed.alias("observations"))
+    return graph.render_groups(rows, list(keep))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered_groups(tables.groups(spark, sf_dir), F.col("l_shipdate"))
+
+
+def _turned(messages: DataFrame) -> DataFrame:
+    """Messages with their lines in reverse order."""
+    return messages.withColumn("payload", F.array_join(F.reverse(F.split("payload", "\n")), "\n"))
 
 
 @_query("readings_unpivot", f"WITH {_READINGS} SELECT * FROM readings")
@@ -216,12 +229,9 @@ def kmeans_labels(spark, sf_dir):
            CAST(sum(n) OVER (PARTITION BY machine, sensor, ordinal, source) AS BIGINT) AS total FROM counted""",
 )
 def markov_transitions(spark, sf_dir):
-    """Transition counts and row totals, as relations."""
+    """Transition counts and row totals, as relations: counted within each window's own row, so nothing is shuffled for them."""
     labels = _windows(spark, sf_dir).select("machine", "sensor", "ordinal", markov.labels_udf(P)("win", "k").alias("lab"))
-    n = P.window - 1
-    pairs = labels.select("machine", "sensor", "ordinal", F.inline(F.arrays_zip(F.slice("lab", 1, n).alias("source"), F.slice("lab", 2, n).alias("target"))))
-    counted = pairs.groupBy("machine", "sensor", "ordinal", "source", "target").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("total", F.sum("n").over(Window.partitionBy("machine", "sensor", "ordinal", "source")))
+    return labels.select("machine", "sensor", "ordinal", F.inline(markov.counts_expr(F.col("lab"), P.window)))
 
 
 @_query("markov_prob", f"WITH RECURSIVE {_KMEANS} SELECT * FROM scores")
@@ -247,33 +257,112 @@ def complete_lts(spark, sf_dir):
     return detect.complete_times(_windows(spark, sf_dir), SENSORS)
 
 
-_EMIT = f"""{_KMEANS}, complete AS (SELECT oldest_lts AS t FROM scores GROUP BY oldest_lts HAVING count(*) = {SENSORS}
+def _emit(scores: str, complete: str) -> str:
+    return f"""{scores}, complete AS (SELECT oldest_lts AS t FROM {complete}
 ), prefix AS (SELECT t FROM (SELECT t, row_number() OVER (ORDER BY t) - 1 AS r FROM complete) WHERE t = r
 ), emitted AS (
-    SELECT *, CAST(row_number() OVER (ORDER BY oldest_lts, sensor) - 1 AS INTEGER) AS anomaly_id, ordinal - {P.transitions} AS "timestamp"
+    SELECT *, row_number() OVER (ORDER BY oldest_lts, sensor) - 1 AS anomaly_id, ordinal - {P.transitions} AS "timestamp"
     FROM scores WHERE probability < {P.theta} AND oldest_lts IN (SELECT t FROM prefix)
 )"""
 
 
+_EMIT = _emit(_KMEANS, f"scores GROUP BY oldest_lts HAVING count(*) = {SENSORS}")
+#: Known sensors alone, each with its own number of clusters; times complete by the sensors of their machines.
+_DETECT = _emit(
+    f"""{_READINGS}, {_META}, known AS (
+        SELECT r.* FROM readings r SEMI JOIN meta m ON r.machine = m.machine AND r.sensor = m.sensor
+    ), {_wins("known", "meta.k", "JOIN meta ON wins.machine = meta.machine AND wins.sensor = meta.sensor")}, {_CLUSTERED}""",
+    """scores JOIN (SELECT machine, count(DISTINCT sensor) AS sensors FROM meta GROUP BY machine) expected USING (machine)
+       GROUP BY oldest_lts, sensors HAVING count(*) = sensors""",
+)
+
+
+def _rendered(emitted: str) -> str:
+    about = f"'<{RESOURCE}Anomaly_' || anomaly_id || '> "
+    return f"""WITH RECURSIVE {emitted} SELECT anomaly_id,
+        {about}<{TYPE}> <{RESULT}Anomaly> .' AS line_1,
+        {about}<{I40}machine> <{WMD}Machine_' || machine || '> .' AS line_2,
+        {about}<{RESULT}inAbnormalDimension> <{WMD}_' || machine || '_' || sensor || '> .' AS line_3,
+        {about}<{RESULT}hasTimeStamp> <{RESOURCE}Timestamp_' || "timestamp" || '> .' AS line_4,
+        regexp_matches({about}<{RESULT}hasProbabilityOfObservedAbnormalSequence> "' || probability || '"^^<{XSD}double> .',
+            '> <[^>]*> "[0-9.eE-]+"\\^\\^<{XSD}double> [.]$') AS line_5_fits,
+        probability FROM emitted"""
+
+
+def _as_rendered(anomalies: DataFrame) -> DataFrame:
+    """The rendered lines; the last one's number as a number, since engines print doubles differently, and whether the line around it fits."""
+    out = graph.render_anomalies(anomalies, P.transitions).withColumn("l", F.split("ntriples", "\n"))
+    last = F.get("l", F.lit(4))
+    number = F.regexp_extract(last, r'"([^"]*)"', 1).cast("double").alias("probability")
+    about = F.concat(F.lit(f"<{RESOURCE}Anomaly_"), F.col("anomaly_id").cast("string"), F.lit(f"> <{RESULT}hasProbabilityOfObservedAbnormalSequence> "))
+    fits = last.startswith(about) & last.rlike(rf'> <[^>]*> "[0-9.eE-]+"\^\^<{XSD}double> [.]$') & (F.size("l") == 5)
+    return out.select("anomaly_id", *[F.get("l", F.lit(i)).alias(f"line_{i + 1}") for i in range(4)], fits.alias("line_5_fits"), number)
+
+
 @_query("emit_ordered", f"WITH RECURSIVE {_EMIT} SELECT * FROM emitted")
 def emit_ordered(spark, sf_dir):
     return detect.emit(_scores(spark, sf_dir), P, SENSORS)
 
 
+@_query("render_ntriples", _rendered(_EMIT))
+def render_ntriples(spark, sf_dir):
+    return _as_rendered(detect.emit(_scores(spark, sf_dir), P, SENSORS))
+
+
+@_query("detect_end_to_end", _rendered(_DETECT))
+def detect_end_to_end(spark, sf_dir):
+    """From messages and the metadata graph to rendered anomalies, as the detector is meant to run."""
+    known = metadata.checked(metadata.match_pattern(_triples(spark, sf_dir)))
+    readings = graph.parse_any_order(_turned(_messages(spark, sf_dir)), known=known)
+    return _as_rendered(detect.detect(readings, known, P))
+
+
+@_query("detect_live", _rendered(_DETECT))
+def detect_live(spark, sf_dir):
+    """The same from a stream of messages that come out of order in several batches: parser, keyed detector, barrier, numbered output.
+
+    A machine's messages are a second apart, and from its fifth on some come after their successors.
+    """
+    groups = tables.groups(spark, sf_dir)
+    nth = F.row_number().over(Window.partitionBy("machine").orderBy("lts")) - 1
+    groups = groups.withColumn("nth", nth).withColumn("arrival", F.col("lts") + F.when(F.col("nth") > 4, F.pmod(F.col("nth") * 7, F.lit(3)) * 150).otherwise(0))
+    messages = _rendered_groups(groups, F.timestamp_seconds(F.lit(1_483_228_800) + F.col("nth")), "arrival")
+    out = shared_path(spark, "live")
+    messages = materialize(messages, "messages")
+    last = messages.agg(F.max("arrival")).first()[0] or 0
+    for i in range(3):  # one write after the other, so that batches come in this order
+        part = messages.where(F.floor(F.col("arrival") * 3 / (last + 1)) == i)
+        part.repartition(2).write.mode("append").parquet(f"{out}/messages")
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", "2").parquet(f"{out}/messages")
+    known = materialize(metadata.match_pattern(_triples(spark, sf_dir)), "metadata")
+    return _as_rendered(detector.run_detection(stream, known, P, f"{out}/run"))
+
+
 @_query(
-    "render_ntriples",
-    f"""WITH RECURSIVE {_EMIT} SELECT anomaly_id,
-        '<http://project-hobbit.eu/resources/debs2017#Anomaly_' || anomaly_id || '> <{TYPE}> <http://www.agtinternational.com/ontologies/DEBSAnalyticResults#Anomaly> .' AS line_1,
-        '<http://project-hobbit.eu/resources/debs2017#Anomaly_' || anomaly_id || '> <http://www.agtinternational.com/ontologies/I4.0#machine> <{WMD}Machine_' || machine || '> .' AS line_2,
-        '<http://project-hobbit.eu/resources/debs2017#Anomaly_' || anomaly_id || '> <http://www.agtinternational.com/ontologies/DEBSAnalyticResults#inAbnormalDimension> <{WMD}_' || machine || '_' || sensor || '> .' AS line_3,
-        '<http://project-hobbit.eu/resources/debs2017#Anomaly_' || anomaly_id || '> <http://www.agtinternational.com/ontologies/DEBSAnalyticResults#hasTimeStamp> <http://project-hobbit.eu/resources/debs2017#Timestamp_' || "timestamp" || '> .' AS line_4,
-        probability FROM emitted""",
+    "emit_first_score",
+    f"""WITH RECURSIVE {_KMEANS}, first AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY oldest_lts ORDER BY sensor) = 1
+    ), placed AS (SELECT *, row_number() OVER (ORDER BY oldest_lts) - 1 AS r FROM first)
+    SELECT machine, sensor, oldest_lts, ordinal, probability, row_number() OVER (ORDER BY oldest_lts) - 1 AS anomaly_id
+    FROM placed WHERE r = oldest_lts AND probability < {P.theta}""",
 )
-def render_ntriples(spark, sf_dir):
-    """The rendered lines; the last one's number as a number, since engines print doubles differently."""
-    out = graph.render_anomalies(detect.emit(_scores(spark, sf_dir), P, SENSORS), P.transitions).withColumn("l", F.split("ntriples", "\n"))
-    number = F.regexp_extract(F.get("l", F.lit(4)), r'"([^"]*)"', 1).cast("double").alias("probability")
-    return out.select("anomaly_id", *[F.get("l", F.lit(i)).alias(f"line_{i + 1}") for i in range(4)], number)
+def emit_first_score(spark, sf_dir):
+    """The barrier that one score per logical time passes; scores arrive in the order of their sensors."""
+    scores = _scores(spark, sf_dir).withColumn("arrival", F.col("sensor"))
+    return detect.emit_single(scores, P.theta).drop("arrival")
+
+
+@_query(
+    "terminated_sensors",
+    f"""WITH {_META}, ends AS (SELECT CAST(user_id % 30 + 1 AS INTEGER) AS machine, CAST(event_id % 4 + 1 AS INTEGER) AS sensor FROM events WHERE event_id % 7 < 3),
+    came AS (SELECT machine, count(DISTINCT sensor) AS ended FROM ends GROUP BY machine),
+    expected AS (SELECT machine, count(DISTINCT sensor) AS sensors FROM meta GROUP BY machine)
+    SELECT machine, coalesce(ended, 0) AS ended, sensors, coalesce(ended, 0) = sensors AS done FROM expected LEFT JOIN came USING (machine)""",
+)
+def terminated_sensors(spark, sf_dir):
+    """Machines that are done, by end marks of sensors, some of them repeated and some of unknown machines."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 < 3")
+    ends = events.select((F.col("user_id") % 30 + 1).cast("int").alias("machine"), (F.col("event_id") % 4 + 1).cast("int").alias("sensor"))
+    return detect.terminated(ends, metadata.sensors_per_machine(_metadata(spark, sf_dir)))
 
 
 @_query("metadata_bgp", f"WITH {_META} SELECT machine, 'MOLDING' AS type, sensor, k, pt FROM meta")
@@ -283,11 +372,12 @@ def metadata_bgp(spark, sf_dir):
 
 @_query(
     "metadata_stats",
-    f"""WITH {_META}, h AS (SELECT k, count(*) AS n FROM meta GROUP BY k), one AS (SELECT count(*) AS rows, count(DISTINCT machine) AS machines,
+    f"""WITH {_META}, h AS (SELECT k, count(*) AS n FROM meta GROUP BY k), hs AS (SELECT sensor, count(*) AS n FROM meta GROUP BY sensor), one AS (SELECT count(*) AS rows, count(DISTINCT machine) AS machines,
         count(DISTINCT (machine, sensor)) AS sensors, min(pt) AS min_pt, 1 - ceil(log10(min(pt))) AS digits, avg(k) AS mean_k FROM meta)
     SELECT 'rows' AS name, CAST(rows AS DOUBLE) AS value FROM one UNION ALL SELECT 'machines', machines FROM one UNION ALL SELECT 'sensors', sensors FROM one
     UNION ALL SELECT 'min_pt', min_pt FROM one UNION ALL SELECT 'digits', digits FROM one UNION ALL SELECT 'mean_k', mean_k FROM one
-    UNION ALL SELECT 'max_share', max(n) / sum(n) FROM h UNION ALL SELECT 'min_share', min(n) / sum(n) FROM h""",
+    UNION ALL SELECT 'max_share', max(n) / sum(n) FROM h UNION ALL SELECT 'min_share', min(n) / sum(n) FROM h
+    UNION ALL SELECT 'max_sensor_share', max(n) / sum(n) FROM hs UNION ALL SELECT 'min_sensor_share', min(n) / sum(n) FROM hs""",
 )
 def metadata_stats(spark, sf_dir):
     return metadata.statistics(metadata.checked(metadata.match_pattern(_triples(spark, sf_dir))))
@@ -298,6 +388,25 @@ def metadata_histogram(spark, sf_dir):
     return metadata.histogram(_metadata(spark, sf_dir), "pt")
 
 
+@_query("metadata_sensor_histogram", f"WITH {_META} SELECT sensor AS value, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM meta GROUP BY sensor")
+def metadata_sensor_histogram(spark, sf_dir):
+    return metadata.histogram(_metadata(spark, sf_dir), "sensor")
+
+
+@_query("metadata_sensors", f"WITH {_META} SELECT machine, count(DISTINCT sensor) AS sensors FROM meta GROUP BY machine")
+def metadata_sensors(spark, sf_dir):
+    return metadata.sensors_per_machine(_metadata(spark, sf_dir))
+
+
+@_query(
+    "metadata_described",
+    f"""WITH {_META} SELECT machine, format('{{:04d}}: ', machine) || string_agg(format('{{:04d}}(k={{:02d}},pt={{:.4f}})', sensor, k, pt), ' ' ORDER BY sensor) AS text
+    FROM meta GROUP BY machine""",
+)
+def metadata_described(spark, sf_dir):
+    return metadata.described(_metadata(spark, sf_dir))
+
+
 @_query("metadata_clusters", f"WITH {_META} SELECT sensor, array_to_string(list_sort(list(DISTINCT k)), ',') AS ks FROM meta GROUP BY sensor")
 def metadata_clusters(spark, sf_dir):
     return metadata.clusters_by_sensor(_metadata(spark, sf_dir)).select("sensor", F.array_join(F.col("ks").cast("array<string>"), ",").alias("ks"))
@@ -326,8 +435,7 @@ _PARSED = f"WITH {_READINGS} SELECT r.machine, r.sensor, epoch_ms(li.l_shipdate)
 @_query("parse_oo", _PARSED)
 def parse_oo(spark, sf_dir):
     """Messages whose lines stand in reverse order."""
-    turned = _messages(spark, sf_dir).withColumn("payload", F.array_join(F.reverse(F.split("payload", "\n")), "\n"))
-    return graph.parse_any_order(turned)
+    return graph.parse_any_order(_turned(_messages(spark, sf_dir)))
 
 
 @_query("parse_io", _PARSED)
@@ -347,17 +455,72 @@ def _fates(gaps: str) -> str:
 _GAPS = "WHERE t % 37 <> 36"
 
 
-@_query("reorder_ideal", f"{_fates('')} SELECT machine, sensor, ts, value, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 AS ordinal FROM arrivals")
-def reorder_ideal(spark, sf_dir):
-    return reorder.in_time_order(tables.arrivals(spark, sf_dir))
-
-
-@_query("reorder_time", f"{_fates(_GAPS)} SELECT machine, sensor, ts, value, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 AS ordinal FROM arrivals")
-def reorder_time(spark, sf_dir):
+@_query("reorder_flush", f"{_fates(_GAPS)} SELECT machine, sensor, ts, value, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 AS ordinal FROM arrivals")
+def reorder_flush(spark, sf_dir):
     """What a flush at the end gives: everything in order, gaps included."""
     return reorder.in_time_order(tables.arrivals(spark, sf_dir, gaps=True))
 
 
+#: The sorter by counts with two parsers: a key starts once three times are there and the second follows the smallest.
+_COUNTED = f"""{_fates(_GAPS)}, seen AS (
+        SELECT a.machine, a.arrival, a.least, b.arrival AS came1 FROM (
+            SELECT machine, arrival, min(ts) OVER (PARTITION BY machine ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS least FROM arrivals
+        ) a JOIN arrivals b ON a.machine = b.machine AND b.ts = a.least + 1 WHERE a.arrival >= 2 AND b.arrival <= a.arrival
+    ), begun AS (SELECT machine, min(arrival) AS warm, arg_min(least, arrival) AS start_ts FROM seen GROUP BY machine
+    ), lined AS (
+        SELECT a.machine, a.ts, a.arrival, a.value, b.warm, coalesce(b.start_ts, min(a.ts) OVER (PARTITION BY a.machine)) AS start_ts
+        FROM arrivals a LEFT JOIN begun b ON a.machine = b.machine
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 = ts - start_ts AS in_run,
+               greatest(max(arrival) OVER (PARTITION BY machine ORDER BY ts ROWS UNBOUNDED PRECEDING), warm) AS release
+        FROM lined WHERE ts >= start_ts
+    ), counted AS (
+        SELECT machine, 0 AS sensor, ts, value, warm IS NULL AS flushed, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 AS ordinal
+        FROM placed WHERE in_run AND (warm IS NULL OR arrival <= release)
+    )"""
+
+
+@_query("count_sorter", f"{_COUNTED} SELECT * FROM counted")
+def count_sorter(spark, sf_dir):
+    return reorder.count_sorted(tables.arrivals(spark, sf_dir, gaps=True), 1, 2)
+
+
+@_query(
+    "count_sorter_ends",
+    f"""{_COUNTED} SELECT a.machine, 0 AS sensor, count(*) FILTER (WHERE p.machine IS NOT NULL AND NOT p.in_run) AS pending,
+        count(*) FILTER (WHERE p.machine IS NOT NULL AND NOT p.in_run) = 0 AS passed
+    FROM arrivals a LEFT JOIN placed p ON a.machine = p.machine AND a.ts = p.ts GROUP BY a.machine""",
+)
+def count_sorter_ends(spark, sf_dir):
+    return reorder.count_sorter_ends(tables.arrivals(spark, sf_dir, gaps=True), 1, 2)
+
+
+@_query(
+    "time_sorter",
+    f"""{_fates(_GAPS)}, seen AS (
+        SELECT machine, arrival, min(ts) OVER (PARTITION BY machine ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS least FROM arrivals
+    ), begun AS (
+        SELECT a.machine, min(a.arrival) AS warm, arg_min(a.least, a.arrival) AS start_ts
+        FROM seen a JOIN arrivals l ON l.machine = a.machine AND l.ts = a.least JOIN arrivals n ON n.machine = a.machine AND n.ts = a.least + 1
+        WHERE a.arrival > l.arrival AND n.arrival <= a.arrival AND a.arrival * 100 >= l.arrival * 100 + 150 GROUP BY a.machine
+    ), told AS (SELECT a.*, b.warm, b.start_ts AS begin_ts FROM arrivals a LEFT JOIN begun b ON a.machine = b.machine
+    ), placed AS (
+        SELECT machine, ts, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 = ts - begin_ts AS in_run,
+               greatest(max(arrival) OVER (PARTITION BY machine ORDER BY ts ROWS UNBOUNDED PRECEDING), warm) AS release
+        FROM told WHERE ts >= begin_ts
+    ), stopped AS (SELECT machine, min(arrival) FILTER (WHERE arrival > warm AND ts < begin_ts) AS blocked FROM told GROUP BY machine
+    ), sent AS (
+        SELECT t.machine, 0 AS sensor, t.ts, t.value, NOT coalesce(p.in_run AND (s.blocked IS NULL OR p.release < s.blocked), false) AS flushed
+        FROM told t JOIN stopped s ON t.machine = s.machine LEFT JOIN placed p ON p.machine = t.machine AND p.ts = t.ts
+    )
+    SELECT *, row_number() OVER (PARTITION BY machine ORDER BY flushed, ts) - 1 AS ordinal FROM sent""",
+)
+def time_sorter(spark, sf_dir):
+    """A reading comes every 100 ms of wall clock; a key waits for 150 ms after its smallest time."""
+    rows = tables.arrivals(spark, sf_dir, gaps=True).withColumn("clock", F.col("arrival") * 100)
+    return reorder.time_sorted(rows, 1, 1, 150)
+
+
 @_query(
     "reorder_arrival",
     f"{_fates('')} SELECT machine, sensor, ts, value, release, row_number() OVER (PARTITION BY machine ORDER BY ts) - 1 AS ordinal FROM fates WHERE fate = 'released'",
@@ -384,11 +547,66 @@ def dedup_messages(spark, sf_dir):
     return reorder.dedup_messages(twice, "event_id", "delivery").drop("delivery")
 
 
-@_query("key_partition")
+def _times_32(x: str, c: int) -> str:
+    """The product modulo 2 ** 32 in SQL of 64-bit numbers."""
+    return f"((({x} & 65535) * {c} + (((({x} >> 16) * {c}) & 65535) << 16)) & 4294967295)"
+
+
+def _turned_32(x: str, bits: int) -> str:
+    return f"((({x} << {bits}) | ({x} >> {32 - bits})) & 4294967295)"
+
+
+# The constants of murmur3 for 32 bits.
+_MURMUR_STEPS = [
+    _times_32("x", 0xCC9E2D51), _turned_32("x", 15), _times_32("x", 0x1B873593), _turned_32("x", 13), f"((x * 5 + {0xE6546B64}) & 4294967295)", "xor(x, 4)",
+    "xor(x, x >> 16)", _times_32("x", 0x85EBCA6B), "xor(x, x >> 13)", _times_32("x", 0xC2B2AE35), "xor(x, x >> 16)",
+]
+GROUPS, PARALLELISM = 128, 6
+
+
+def _murmur(source: str) -> str:
+    """``source``, whose column x is the hash of a key, with x folded step by step."""
+    for step in _MURMUR_STEPS:
+        source = f"SELECT * REPLACE ({step} AS x) FROM ({source})"
+    return source
+
+
+@_query(
+    "key_partition",
+    f"""WITH {_READINGS}, keys AS (SELECT machine, sensor, count(*) AS n, (31 * CAST(machine AS BIGINT) + sensor) & 4294967295 AS x FROM readings GROUP BY machine, sensor
+    ), mixed AS ({_murmur("SELECT * FROM keys")}
+    ), grouped AS (SELECT n, CASE WHEN x < 2147483648 THEN x WHEN x > 2147483648 THEN 4294967296 - x ELSE 0 END % {GROUPS} AS key_group FROM mixed)
+    SELECT CAST(key_group AS INTEGER) AS key_group, CAST(key_group * {PARALLELISM} // {GROUPS} AS INTEGER) AS operator, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_keys
+    FROM grouped GROUP BY key_group""",
+)
 def key_partition(spark, sf_dir):
-    """Rows and keys of each hash partition; engines hash differently."""
-    rows = tables.readings(spark, sf_dir).withColumn("bucket", fields.bucket_of(["machine", "sensor"], 16))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("machine", "sensor").alias("n_keys"))
+    """Rows and keys of each key group, and the parallel task it belongs to."""
+    group = fields.key_group(fields.key_hash(F.col("machine"), F.col("sensor")), GROUPS)
+    keys = tables.readings(spark, sf_dir).groupBy("machine", "sensor").agg(F.count(F.lit(1)).alias("n"))
+    per = keys.groupBy(group.alias("key_group")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_keys"))
+    return per.select("key_group", fields.operator_of(F.col("key_group"), PARALLELISM, GROUPS).alias("operator"), "n", "n_keys")
+
+
+@_query(
+    "message_lines",
+    """WITH one AS (SELECT p_partkey, p_name || chr(10) || p_brand || chr(10) || p_type AS payload FROM part)
+    SELECT p_partkey AS id, CAST(unnest(range(3)) AS INTEGER) AS seq, unnest(string_split(payload, chr(10))) AS line FROM one""",
+)
+def message_lines(spark, sf_dir):
+    """Lines of messages, numbered."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return graph.numbered_lines(parts.select("p_partkey", F.concat_ws("\n", "p_name", "p_brand", "p_type").alias("payload")), "p_partkey")
+
+
+@_query("stream_dedup", "SELECT DISTINCT event_id, user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    """Events that a stream delivers twice, once each: ids are held as long as its watermark says."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    twice = stream.withColumn("delivery", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = shared_path(spark, "dedup")
+    detector.run_dedup(twice.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "3650 days", out)
+    return spark.read.parquet(f"{out}/messages").select("event_id", "user_id")
 
 
 @_query(
@@ -408,18 +626,20 @@ def config_from_triples(spark, sf_dir):
     return settings_of_triples(told.unionByName(_triples(spark, sf_dir)), CONFIG_PREFIX)
 
 
-@_query("stream_scores")
+@_query(
+    "stream_scores",
+    f"""WITH RECURSIVE {_fates('')[5:]}, readings AS (SELECT machine, sensor, ts AS lts, value FROM fates WHERE fate = 'released'
+    ), {_wins()}, {_CLUSTERED} SELECT * FROM scores""",
+)
 def stream_scores(spark, sf_dir):
     """The streaming detector over the events of each user, run to the end of what is there; equals the batch scores of what the reordering releases."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    arrivals = events.select(
-        F.col("user_id").cast("int").alias("machine"), F.lit(0).alias("sensor"), F.col("event_id").alias("arrival"), seconds.alias("ts"), "value"
-    )
+    arrivals = events.select(F.col("user_id").cast("int").alias("machine"), F.lit(0).alias("sensor"), F.col("event_id").alias("arrival"), "value")
+    dense = _dense(spark, sf_dir, arrivals).withColumn("lts", F.col("ts")).withColumn("k", F.lit(K))
     out = shared_path(spark, "stream")
-    detector.run_available(_dense(spark, sf_dir, arrivals), Params(delta=1), K, out)
-    return spark.read.schema("machine int, sensor int, oldest_lts long, ordinal long, probability double").parquet(f"{out}/scores")
+    detector.run_available(dense, Params(delta=1), out)
+    return spark.read.schema(SCORE).parquet(f"{out}/scores")
 
 
 def _dense(spark, sf_dir, arrivals: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import fields
-from millrace.schema import I40, IOT, RESOURCE, RESULT, SSN, TYPE, WMD, XSD
+from millrace.schema import I40, IOT, RESOURCE, RESULT, SSN, TERMINATION, TYPE, WMD, XSD
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -21,8 +21,8 @@ def parse_triples(lines: DataFrame, column: str) -> DataFrame:
     return lines.where(F.col(column).rlike(pattern)).select(*parts)
 
 
-def render_groups(groups: DataFrame) -> DataFrame:
-    """(group, payload) of rows (group, machine, ts timestamp, cycle, observations array of struct(sensor, value))."""
+def render_groups(groups: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(group, payload), after the columns ``keep``, of rows (group, machine, ts timestamp, cycle, observations array of struct(sensor, value))."""
     g, ts = F.col("group").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     iri = lambda *x: F.concat(F.lit(f"<{RESOURCE}"), *[F.lit(y) if isinstance(y, str) else y for y in x], F.lit(">"))
     line = lambda s, p, o: F.concat(s, F.lit(f" <{p}> "), o, F.lit(" ."))
@@ -56,7 +56,7 @@ def render_groups(groups: DataFrame) -> DataFrame:
         )
 
     lines = F.concat(F.array(*head), F.flatten(F.transform("observations", body)))
-    return groups.select("group", F.array_join(lines, "\n").alias("payload"))
+    return groups.select(*keep, "group", F.array_join(lines, "\n").alias("payload"))
 
 
 def _data(messages: DataFrame, column: str) -> DataFrame:
@@ -68,53 +68,80 @@ def _needed(found: Column, what: str) -> Column:
     return F.coalesce(found, F.raise_error(F.lit(f"message without {what}")).cast("long"))
 
 
-def parse_any_order(messages: DataFrame, column: str = "payload", known: DataFrame | None = None) -> DataFrame:
-    """READING rows of messages whose lines may stand in any order; no shuffle, each message is parsed in its row.
+def _between(line: Column, before: str, after: str) -> Column:
+    """What stands between the last ``before`` of the part up to the first ``after``; cheaper than a pattern."""
+    return F.substring_index(F.substring_index(line, after, 1), before, -1)
 
-    A message without machine or time is an error; observations without a value, or whose
-    (machine, sensor) isn't in ``known``, are left out before values are parsed.
+
+def parse_any_order(messages: DataFrame, column: str = "payload", known: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
+    """READING rows of messages whose lines may stand in any order, after the columns ``keep``; no shuffle, each message is parsed in its row.
+
+    Each line is looked at once: values go into a map by their observation, and properties
+    look theirs up before anything is exploded. A message without machine or time is an error;
+    observations without a value, or whose (machine, sensor) isn't in ``known``, are left out
+    before values are parsed. Of several values of one observation the last counts.
     """
     data = _data(messages, column)
     one = lambda test: F.get(F.filter("lines", test), F.lit(0))
+    number = lambda x: _between(F.substring_index(x, " ", 1), "_", ">").try_cast("long")
+    prop = lambda x: F.struct(number(x).alias("obs"), _between(F.substring_index(x, "#_", -1), "_", ">").try_cast("int").alias("sensor"))
+    value = lambda x: F.struct(number(x).alias("obs"), _between(F.substring_index(x, '"', 2), '"', "\n").alias("text"))
     data = data.select(
+        *keep,
         fields.machine_number(one(lambda x: x.contains(f"<{I40}machine>"))).alias("machine"),
         one(lambda x: x.contains("#Timestamp_") & x.contains(f"<{IOT}valueLiteral>")).alias("time"),
-        F.filter("lines", lambda x: x.contains(f"<{SSN}observedProperty>")).alias("props"),
-        F.filter("lines", lambda x: x.startswith(f"<{RESOURCE}Value_") & x.contains(f"<{IOT}valueLiteral>")).alias("values"),
+        F.transform(F.filter("lines", lambda x: x.contains(f"<{SSN}observedProperty>")), prop).alias("props"),
+        F.transform(F.filter("lines", lambda x: x.startswith(f"<{RESOURCE}Value_") & x.contains(f"<{IOT}valueLiteral>")), value).alias("values"),
+    )
+    values = F.filter("values", lambda v: v["obs"].isNotNull())
+    keys = F.transform(values, lambda v: v["obs"])
+    last = F.filter(values, lambda v, i: ~F.exists(F.slice(values, i + 2, F.size(values)), lambda w: w["obs"] == v["obs"]))
+    entries = F.when(F.size(F.array_distinct(keys)) == F.size(keys), values).otherwise(last)
+    # Bound by a lambda, the map is made once per message and not once per look-up.
+    found = F.transform(
+        F.array(F.map_from_entries(entries)),
+        lambda m: F.transform("props", lambda p: F.struct(p["sensor"].alias("sensor"), F.try_element_at(m, p["obs"]).alias("text"))),
     )
     data = data.select(
+        *keep,
         _needed(F.col("machine"), "machine").cast("int").alias("machine"),
         _needed(fields.event_millis(F.col("time")), "time").alias("ts"),
         _needed(fields.logical_time(F.col("time")), "time").alias("lts"),
-        F.explode("props").alias("prop"),
-        "values",
-    )
-    obs = data.select("machine", fields.sensor_number(F.col("prop")).alias("sensor"), "ts", "lts", fields.observation_number(F.col("prop")).alias("obs"), "values")
+        F.inline(F.get(found, F.lit(0))),
+    ).where("sensor is not null and text is not null")
     if known is not None:
-        obs = obs.join(known.select("machine", "sensor").distinct(), ["machine", "sensor"], "left_semi")
-    own = F.filter("values", lambda x: fields.observation_number(x) == F.col("obs"))
-    found = obs.withColumn("line", F.try_element_at(own, F.lit(-1)))  # the last of several counts
-    return found.where(F.col("line").isNotNull()).select("machine", "sensor", "ts", "lts", fields.number_or_nan(F.col("line")).alias("value"))
+        data = data.join(known.select("machine", "sensor").distinct(), ["machine", "sensor"], "left_semi")
+    number = F.coalesce(F.col("text").try_cast("double"), F.lit(float("nan")))
+    return data.select(*keep, "machine", "sensor", "ts", "lts", number.alias("value"))
 
 
 def parse_in_order(messages: DataFrame, column: str = "payload") -> DataFrame:
-    """READING rows of messages whose lines stand in the usual order: 8 of the group, then 8 of each observation."""
+    """READING rows of messages whose lines stand in the usual order: 8 of the group, then 8 of each observation.
+
+    A message without machine or time in their places is an error, as in :func:`parse_any_order`.
+    """
     data = _data(messages, column).where(F.size("lines") >= 16)
-    at = F.explode(F.sequence(F.lit(8), F.size("lines") - 8, F.lit(8)))
-    rows = data.select("lines", at.alias("i"))
     line = lambda k: F.get("lines", k)
+    rows = data.select(
+        "lines",
+        _needed(fields.machine_number(line(F.lit(2))), "machine").cast("int").alias("machine"),
+        _needed(fields.event_millis(line(F.lit(7))), "time").alias("ts"),
+        _needed(fields.logical_time(line(F.lit(7))), "time").alias("lts"),
+        F.explode(F.sequence(F.lit(8), F.size("lines") - 8, F.lit(8))).alias("i"),
+    )
     return rows.select(
-        fields.machine_number(line(F.lit(2))).alias("machine"),
-        fields.sensor_number(line(F.col("i") + 3)).alias("sensor"),
-        fields.event_millis(line(F.lit(7))).alias("ts"),
-        fields.logical_time(line(F.lit(7))).alias("lts"),
-        fields.number_or_nan(line(F.col("i") + 7)).alias("value"),
+        "machine", fields.sensor_number(line(F.col("i") + 3)).alias("sensor"), "ts", "lts", fields.number_or_nan(line(F.col("i") + 7)).alias("value")
     )
 
 
+def numbered_lines(messages: DataFrame, id_col: str = "group", column: str = "payload") -> DataFrame:
+    """(id, seq, line) of each line of each message, in order from 0."""
+    return _data(messages, column).select(F.col(id_col).alias("id"), F.posexplode("lines").alias("seq", "line"))
+
+
 def triple_facts(messages: DataFrame, id_col: str = "group", column: str = "payload") -> DataFrame:
     """One sparse row (id, ts, machine, obs, sensor, value) per telling line: a time, a property or a value."""
-    lines = _data(messages, column).select(F.col(id_col).alias("id"), F.explode("lines").alias("line"))
+    lines = numbered_lines(messages, id_col, column)
     line = F.col("line")
     time = line.contains(f"<{SSN}observationResultTime>")
     prop = line.contains(f"<{SSN}observedProperty>")
@@ -153,7 +180,41 @@ def render_anomalies(anomalies: DataFrame, transitions: int, fixed: bool = False
     return anomalies.withColumn("ntriples", F.concat(text, F.lit("\n")) if fixed else text)
 
 
-def write_anomalies(anomalies: DataFrame, path: str, transitions: int) -> None:
-    """Anomalies as text files in order of their ids; Spark's success mark ends the output."""
-    lines = render_anomalies(anomalies, transitions).sort("anomaly_id").select("ntriples")
+def write_anomalies(anomalies: DataFrame, path: str, transitions: int, fixed: bool = False, end_mark: bool = False) -> None:
+    """Anomalies as text files in order of their ids; Spark's success mark ends the output, after ``TERMINATION`` if ``end_mark`` asks for it."""
+    lines = render_anomalies(anomalies, transitions, fixed).sort("anomaly_id").select("ntriples")
     lines.write.mode("overwrite").text(path)
+    if end_mark:
+        mark = anomalies.sparkSession.createDataFrame([(TERMINATION,)], "value string")
+        mark.coalesce(1).write.mode("append").text(path)
+
+
+def write_payloads(payloads: DataFrame, path: str, column: str = "payload", order: str | None = None) -> None:
+    """Payloads that are rendered already, text or bytes, as text files, in the order of a column if one is told."""
+    out = payloads.sort(order) if order else payloads
+    out.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
+
+
+def dump_by_sensor(rows: DataFrame, path: str) -> None:
+    """Rows as a folder for each machine and sensor, to look into single streams."""
+    rows.repartition("machine", "sensor").write.mode("overwrite").partitionBy("machine", "sensor").json(path)
+
+
+def queue_path(queue: str, options: dict[str, str] | None = None) -> str:
+    """Folder of a queue's messages: ``base`` / queue.session, where ``options`` tells them or the defaults stand."""
+    told = {"base": "queues", "session": "mySessionId"} | (options or {})
+    return f"{told['base'].rstrip('/')}/{queue}.{told['session']}"
+
+
+def read_messages(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
+    """A stream of (payload, file, arrival): a message is a text file, raw as it came; ``per_trigger`` bounds the files of a batch.
+
+    Spark's checkpoint acknowledges files once their batch is written. ``arrival`` is the
+    file's time of change in milliseconds.
+    """
+    reader = spark.readStream.format("text").option("wholetext", "true")
+    reader = reader.option("maxFilesPerTrigger", str(per_trigger)) if per_trigger else reader
+    found = reader.load(path)
+    return found.select(
+        F.col("value").alias("payload"), F.col("_metadata.file_name").alias("file"), F.unix_millis("_metadata.file_modification_time").alias("arrival")
+    )

@@ -1,128 +1,247 @@
 """The detector as a streaming query: keyed reordering and windows, and an ordered output barrier.
 
-State per (machine, sensor) is in Spark's state store, so it outlives failures. Each micro-batch's
-rows of a key are taken in the order of ``arrival``, since a shuffle keeps none.
+State per (machine, sensor) is in Spark's RocksDB state store: readings that wait are entries of
+a map by time, so a batch writes what it adds and removes, not all that waits. Each
+micro-batch's rows of a key are taken in the order of ``arrival``, since a shuffle keeps none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-import numpy as np
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from millrace.config import Params
 from millrace.functions.markov import label_windows, replay
-from millrace.operators import detect
+from millrace.operators import detect, metadata as meta
+from millrace.schema import SCORE
+from millrace.sources import graph
 
-_STATE = (
-    "steady boolean, current long, ordinal long, pending_ts array<long>, pending_value array<double>, "
-    "win array<double>, win_ts array<long>"
-)
-_OUT = "machine int, sensor int, oldest_lts long, ordinal long, probability double"
+_FLAGS = "steady boolean, current long, ordinal long, win array<double>, win_lts array<long>"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class KeyedDetector:
-    """The state machine of one key: warm-up, release in order of time, one score per full window."""
+    """The state machine of one key: warm-up, release in order of time, one score per full window.
+
+    A value that isn't a finite number releases its time like any other and is left out of
+    windows. ``pending`` is a dict, or what looks like one, of (value, lts) by time.
+    """
 
-    def __init__(self, params: Params, k: int, state=None):
+    def __init__(self, params: Params, k: int, flags=None, pending=None):
         self.params, self.k = params, k
-        steady, current, ordinal, ts, values, win, win_ts = state or (False, 0, -1, [], [], [], [])
-        self.steady, self.current, self.ordinal = steady, current, ordinal
-        self.pending = dict(zip(ts, values))
-        self.win, self.win_ts = list(win), list(win_ts)
+        self.steady, self.current, self.ordinal, win, win_lts = flags or (False, 0, -1, [], [])
+        self.win, self.win_lts = list(win), list(win_lts)
+        self.pending = {} if pending is None else pending
 
-    def state(self):
-        ts = sorted(self.pending)
-        return (self.steady, self.current, self.ordinal, ts, [self.pending[t] for t in ts], self.win, self.win_ts)
+    def flags(self):
+        return (self.steady, self.current, self.ordinal, self.win, self.win_lts)
 
-    def push(self, ts: int, value: float) -> list[tuple[int, int]]:
-        """Takes a reading; returns (time, ordinal) of what it releases, and fills the window."""
+    def push(self, ts: int, value: float, lts: int | None = None) -> list[tuple[int, float, int]]:
+        """Takes a reading; returns (time, value, logical time) of what it releases, in order of time."""
         if self.steady and ts < self.current:
             return []  # late
-        self.pending[ts] = value
-        m, delta = self.params.min_sequence, self.params.delta
+        pending, delta = self.pending, self.params.delta
+        pending[ts] = (value, ts if lts is None else lts)
         if not self.steady:
-            start = min(self.pending)
-            if len(self.pending) <= m or any(start + j * delta not in self.pending for j in range(m)):
+            m, start = self.params.min_sequence, min(pending)
+            if len(pending) <= m or any(start + j * delta not in pending for j in range(m)):
                 return []
             self.steady, self.current = True, start
         out = []
-        while self.current in self.pending:
-            self.ordinal += 1
-            self.win = [*self.win, self.pending.pop(self.current)][-self.params.window :]
-            self.win_ts = [*self.win_ts, self.current][-self.params.window :]
-            out.append((self.win_ts[0], self.ordinal, list(self.win)))
+        while self.current in pending:
+            out.append((self.current, *pending.pop(self.current)))
             self.current += delta
         return out
 
     def scores(self, rows) -> list[tuple[int, int, float]]:
-        full = [r for ts, value in rows if value == value for r in self.push(ts, value) if len(r[2]) == self.params.window]
-        if not full:
+        """(oldest logical time, ordinal, probability) of each window that the rows (ts, value, lts) fill."""
+        kept = [r for row in rows for r in self.push(*row) if np.isfinite(r[1])]
+        if not kept:
+            return []
+        size, old = self.params.window, len(self.win)
+        values = np.array([*self.win, *(v for _, v, _ in kept)])
+        times = [*self.win_lts, *(t for _, _, t in kept)]
+        first = self.ordinal + 1 - old  # ordinal of values[0]
+        self.ordinal += len(kept)
+        self.win, self.win_lts = values[-size:].tolist(), times[-size:]
+        begin = max(0, old - size + 1)
+        if len(values) - begin < size:
             return []
-        x = np.array([r[2] for r in full])
+        x = np.lib.stride_tricks.sliding_window_view(values[begin:], size)
         p = replay(label_windows(x, np.full(len(x), self.k), self.params), self.params)
-        return [(r[0], r[1], float(q)) for r, q in zip(full, p)]
+        return [(times[begin + i], first + begin + i + size - 1, float(q)) for i, q in enumerate(p)]
+
+
+class _Waiting:
+    """Readings that wait, as a dict over a map state: what a batch adds stays in memory until :meth:`store`."""
+
+    def __init__(self, state):
+        self.state, self.new = state, {}
+        self.old = state.exists()
 
+    def _held(self, ts: int) -> bool:
+        return self.old and self.state.containsKey((ts,))
 
-def stream_scores(arrivals: DataFrame, params: Params, k: int) -> DataFrame:
-    """SCORE rows of a stream of (machine, sensor, arrival, ts, value)."""
+    def __contains__(self, ts: int) -> bool:
+        return ts in self.new or self._held(ts)
 
-    def run(key, frames, state):
-        detector = KeyedDetector(params, k, state.get if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
-        found = detector.scores(zip(rows["ts"].tolist(), rows["value"].tolist()))
-        state.update(detector.state())
+    def __setitem__(self, ts: int, row: tuple) -> None:
+        self.new[ts] = row
+
+    def __iter__(self) -> Iterator[int]:
+        held = [k[0] for k in self.state.keys()] if self.old else []
+        return iter({*held, *self.new})
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def pop(self, ts: int) -> tuple:
+        held = self.state.getValue((ts,)) if self._held(ts) else None
+        if held is not None:
+            self.state.removeKey((ts,))
+        return self.new.pop(ts) if ts in self.new else tuple(held)
+
+    def store(self) -> None:
+        for ts, row in self.new.items():
+            self.state.updateValue((ts,), row)
+
+
+class _Processor(StatefulProcessor):
+    def __init__(self, params: Params):
+        self.params = params
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("flags", _FLAGS)
+        self.waiting = handle.getMapState("waiting", "ts long", "value double, lts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["arrival", "lts"], kind="stable")
+        waiting = _Waiting(self.waiting)
+        detector = KeyedDetector(self.params, int(frame["k"].iloc[0]), self.state.get() if self.state.exists() else None, waiting)
+        value = frame["value"].astype("float64").to_numpy()  # null: NaN
+        found = detector.scores(zip(frame["ts"].tolist(), value.tolist(), frame["lts"].tolist()))
+        waiting.store()
+        self.state.update(detector.flags())
+        oldest, ordinal, probability = zip(*found) if found else ((), (), ())
         yield pd.DataFrame(
             {
                 "machine": pd.Series([key[0]] * len(found), dtype="int32"),
                 "sensor": pd.Series([key[1]] * len(found), dtype="int32"),
-                "oldest_lts": pd.Series([f[0] for f in found], dtype="int64"),
-                "ordinal": pd.Series([f[1] for f in found], dtype="int64"),
-                "probability": pd.Series([f[2] for f in found], dtype="float64"),
+                "oldest_lts": pd.Series(oldest, dtype="int64"),
+                "ordinal": pd.Series(ordinal, dtype="int64"),
+                "probability": pd.Series(probability, dtype="float64"),
             }
         )
 
-    return arrivals.groupBy("machine", "sensor").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_scores(arrivals: DataFrame, params: Params) -> DataFrame:
+    """SCORE rows of a stream of (machine, sensor, arrival, ts, lts, value, k); ``k`` is its sensor's number of clusters."""
+    rows = arrivals.select("machine", "sensor", "arrival", "ts", "lts", "value", "k")
+    return rows.groupBy("machine", "sensor").transformWithStateInPandas(_Processor(params), SCORE, "append", "None")
 
 
 class OutputBarrier:
     """For foreachBatch: emits anomalies of a logical time once it and all before it are complete.
 
-    What waits and how far output has come are tables by epoch in ``path``, so an epoch that
-    runs again writes the same again.
+    ``sensors`` is as of :func:`millrace.operators.detect.complete_times`. Under ``path`` each
+    epoch writes the scores that came, once, then what it emits, then how far output has come
+    and which epochs still hold scores beyond that. So nothing that waits is written again, and
+    an epoch that runs again writes the same again.
     """
 
-    def __init__(self, path: str, params: Params, sensors: int):
+    def __init__(self, path: str, params: Params, sensors):
         self.path, self.params, self.sensors = path.rstrip("/"), params, sensors
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        waiting, cursor = batch, 0
+        batch.select(*[f.split()[0] for f in SCORE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/scores/{epoch}")
+        cursor, open_epochs = 0, []
         if epoch:
-            waiting = batch.unionByName(spark.read.schema(_OUT).parquet(f"{self.path}/waiting/{epoch - 1}"))
-            cursor = spark.read.parquet(f"{self.path}/cursor/{epoch - 1}").first()["cursor"]
-        waiting = waiting.where(F.col("oldest_lts") >= cursor)  # older ones are stale
+            before = spark.read.parquet(f"{self.path}/progress/{epoch - 1}").first()
+            cursor, open_epochs = before["cursor"], list(before["open_epochs"])
+        epochs = [*open_epochs, epoch]
+        read = spark.read.schema(SCORE)
+        waiting = read.parquet(*[f"{self.path}/scores/{e}" for e in epochs]).where(F.col("oldest_lts") >= cursor)  # older ones are stale
         gap = detect.first_gap(detect.complete_times(waiting, self.sensors), cursor)
         done = detect.below(waiting.where(F.col("oldest_lts") < gap), self.params.theta)
         done.write.mode("overwrite").parquet(f"{self.path}/emitted/{epoch}")
-        waiting.where(F.col("oldest_lts") >= gap).write.mode("overwrite").parquet(f"{self.path}/waiting/{epoch}")
-        spark.createDataFrame([(gap,)], "cursor long").write.mode("overwrite").parquet(f"{self.path}/cursor/{epoch}")
+        still = [e for e in epochs if not read.parquet(f"{self.path}/scores/{e}").where(F.col("oldest_lts") >= gap).isEmpty()]
+        spark.createDataFrame([(gap, still)], "cursor long, open_epochs array<long>").write.mode("overwrite").parquet(f"{self.path}/progress/{epoch}")
 
     def emitted(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(_OUT).parquet(f"{self.path}/emitted/*")
+        return spark.read.schema(SCORE).parquet(f"{self.path}/emitted/*")
 
 
-def run_available(arrivals: DataFrame, params: Params, k: int, out: str) -> None:
-    """Scores all that is there into a table at ``out`` and ends; a later call goes on from its checkpoint."""
-    query = (
-        stream_scores(arrivals, params, k)
-        .writeStream.format("parquet")
-        .option("path", f"{out}/scores")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+class Progress(StreamingQueryListener):
+    """Counts of a session's streams: batches, rows, and milliseconds that their batches took, with the mean per row."""
+
+    def __init__(self):
+        self.batches, self.rows, self.millis = 0, 0, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+        self.millis += event.progress.durationMs.get("triggerExecution", 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    @property
+    def mean(self) -> float:
+        return self.millis / self.rows if self.rows else 0.0
+
+
+def dedup_stream(messages: DataFrame, id_col: str, time_col: str, delay: str) -> DataFrame:
+    """The first of messages with one id that come within ``delay`` of one another; ids are forgotten after that."""
+    return messages.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([id_col])
+
+
+def _run(stream: DataFrame, out: str, add) -> None:
+    spark = stream.sparkSession
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        query = add(stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
     query.awaitTermination()
+
+
+def run_available(arrivals: DataFrame, params: Params, out: str) -> None:
+    """Scores all that is there into a table at ``out`` and ends; a later call goes on from its checkpoint."""
+    _run(stream_scores(arrivals, params), out, lambda w: w.format("parquet").option("path", f"{out}/scores"))
+
+
+def run_dedup(messages: DataFrame, id_col: str, time_col: str, delay: str, out: str) -> None:
+    """Writes the messages that are there, each id once, into a table at ``out`` and ends; a later call goes on from its checkpoint."""
+    _run(dedup_stream(messages, id_col, time_col, delay), out, lambda w: w.format("parquet").option("path", f"{out}/messages"))
+
+
+def run_detection(messages: DataFrame, metadata: DataFrame, params: Params, out: str) -> DataFrame:
+    """Detects on all messages (payload, arrival) that are there and ends; a later call goes on from its checkpoint.
+
+    Messages are parsed, known sensors scored with their own numbers of clusters, scores held
+    by the barrier until their logical times are complete; returns the numbered anomalies
+    emitted so far.
+    """
+    known = metadata.select("machine", "sensor", "k").distinct()
+    readings = graph.parse_any_order(messages, known=known, keep=["arrival"]).join(known, ["machine", "sensor"])
+    barrier = OutputBarrier(f"{out}/barrier", params, meta.sensors_per_machine(metadata))
+    _run(stream_scores(readings, params), out, lambda w: w.foreachBatch(barrier))
+    numbered = detect.number_anomalies(barrier.emitted(messages.sparkSession))
+    return numbered.withColumn("timestamp", F.col("ordinal") - params.transitions)

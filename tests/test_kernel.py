@@ -69,6 +69,15 @@ def test_batches_equal_single_windows(wins, k):
     assert ((p > 0) & (p <= 1)).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(-20, 20), min_size=6, max_size=6), st.integers(1, 5)), min_size=2, max_size=8))
+def test_each_window_has_its_own_number_of_clusters(rows):
+    params = Params(window=6, transitions=3)
+    x = np.array([w for w, _ in rows], float) / 4
+    got = markov.label_windows(x, np.array([k for _, k in rows]), params)
+    assert got.tolist() == [one_window(w.tolist(), k, params) for w, (_, k) in zip(x, rows)]
+
+
 def test_expression_form_agrees(spark):
     params = Params(window=8, transitions=4, iterations=6)
     rng = np.random.default_rng(3)
