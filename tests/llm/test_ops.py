@@ -392,7 +392,7 @@ def test_schedule_equals_heap():
         heap, loads = [0] * shards, [0] * shards
         for s in sorted((s for s, n in sizes.items() for _ in range(n)), reverse=True):
             heapq.heapreplace(heap, heap[0] + s)
-        for size, used, n in sharding.schedule(list(sizes.items()), shards):
+        for size, used, n in sharding.schedule(sorted(sizes.items(), reverse=True), shards):
             assert sum(n) == sizes[size]
             for u, k in zip(used, n):
                 loads[u] += size * k
