@@ -330,16 +330,20 @@ def test_ranks_are_gapless(spark):
     assert {r["k"]: r["r"] for r in got.collect()} == {None: list(range(5)), "a": list(range(300)), "b": [0]}
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("block,queries", [(8192, 2048), (16, 3)])
+def test_topk(spark, monkeypatch, block, queries):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "QUERY_ROWS", queries)
     rnd = np.random.default_rng(1)
     vecs = [(i, rnd.normal(0, 0.3, 8).astype(np.float32).tolist()) for i in range(400)]
     vecs += [(i, vecs[7][1]) for i in range(400, 430)]  # ties
-    bad = [(500, None), (600, [float("nan")] * 8), (700, [None] + [0.1] * 7), (800, [float("inf")] + [0.0] * 7), (900, [0.1] * 3), (None, [0.1] * 8)]
+    vecs += [(i, [0.0] * 8) for i in range(430, 470)]
+    bad = [(500, None), (600, [float("nan")] * 8), (700, [None] + [0.1] * 7), (800, [float("inf")] + [0.0] * 7), (900, [0.1] * 3), (920, []), (940, [0.2] * 3), (None, [0.1] * 8)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vecs + bad], "vec_id long, embedding array<float>, block int, score int").repartition(3)
     got = topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=10).collect()
     x = np.floor(1024 * np.array([v for _, v in vecs], dtype=np.float32).astype(np.float64)).astype(int)
-    want = []
-    for i in range(0, 430, 20):
+    want = [(900, 1, 940, 3 * 102 * 204), (940, 1, 900, 3 * 102 * 204)]
+    for i in range(0, 470, 20):
         s = x @ x[i]
         order = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != i][:10]
         want += [(i, r, int(j), int(s[j])) for r, j in enumerate(order, 1)]
@@ -347,19 +351,28 @@ def test_topk(spark):
     few = topk.exact_top_k(df.where("vec_id in (20, 40, 900)"), F.col("vec_id") % 20 == 0)
     assert {(r["query_id"], r["vec_id"]) for r in few.collect()} == {(20, 40), (40, 20)}
     assert topk.exact_top_k(df.where("false"), F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.25]), (3, [0.25, 0.5])], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(twice, F.col("vec_id") == 1, k=3)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 2**19), (1, 2, 3, 2**19), (1, 3, 2, 2**18)]
 
 
-def test_pivots_rule_candidates_out():
+def test_pivots_rule_candidates_and_blocks_out(spark, monkeypatch):
     rnd = np.random.default_rng(2)
     c = np.concatenate([rnd.integers(-50, 50, (500, 4)) + m for m in ([3000, 0, 0, 0], [-3000, 0, 0, 0])])
+    pivots = c[[0, 700]].astype(float)
     seen = []
     real = topk._exact_dot
-    try:
-        topk._exact_dot = lambda a, q: seen.append(len(a)) or real(a, q)
-        topk._search(np.arange(1000), c, np.array([5000]), c[:1], c[[0, 700]].astype(float), 5)
-    finally:
-        topk._exact_dot = real
+    monkeypatch.setattr(topk, "_exact_dot", lambda a, q: seen.append(len(a)) or real(a, q))
+    topk._search(np.arange(1000), c, topk._table(c, pivots), np.array([5000]), c[:1], topk._table(c[:1], pivots), [-np.inf], 5)
     assert sum(seen) < 700
+    # Queries of one of two far groups of vectors go to no block of the other.
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(c)], "vec_id long, embedding array<double>")
+    met = []
+    monkeypatch.setattr(topk, "_met", lambda vectors, asked, k, real=topk._met: met.append(asked) or real(vectors, asked, k))
+    got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, k=5).collect()
+    assert len(got) == 100 and all((r["vec_id"] < 500) == (r["query_id"] < 500) for r in got)
+    assert sum(a.count() for a in met) < 20 * 20 * 0.6
 
 
 def test_sharding(docs, empty, spark):
