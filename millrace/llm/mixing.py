@@ -13,9 +13,6 @@ blocks) over the sources: a line between the points where sources end, so releas
 deadline of any block are whole-number arithmetic on its number. The merge by deadlines runs
 in one task that holds one block of each source and writes slots as it goes; rows find theirs
 by a join. The driver holds one row per source, whatever the number of rows.
-
-Where a caller asks for ``units``, weights are rounded to multiples of 1/units instead, the
-schedule repeats after ``units`` slots, and the promise holds against the rounded weights.
 """
 
 from __future__ import annotations
@@ -30,80 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._common import gapless_rank, materialize
+from millrace.llm._common import clear, fresh, gapless_rank, materialize
 
-#: Rows of a block, units of a schedule that repeats, and cells that a source is dealt into for ranks.
-BLOCK_ROWS, UNITS, CHUNKS = 16, 1000, 512
+#: Rows of a block, and cells that a source is dealt into for ranks.
+BLOCK_ROWS, CHUNKS = 16, 512
 #: Bits behind the point of a square root that is a weight, and slots that are written at a time.
 ROOT_BITS, SLOTS_AT_ONCE = 32, 1 << 16
 
 
-def whole_weights(weights: dict, units: int = UNITS) -> dict:
-    """Weights as whole units that sum to ``units``: by largest remainder, one unit at least each."""
-    if len(weights) > units:
-        raise ValueError(f"{len(weights)} sources need more than {units} units")
-    total = sum(Fraction(w) for w in weights.values())
-    names = sorted(weights, key=lambda s: (s is None, s))
-    spare = units - len(names)
-    exact = {s: Fraction(weights[s]) / total * units for s in names}
-    got = {s: max(1, int(exact[s])) for s in names}
-    while sum(got.values()) > units:
-        s = max((x for x in names if got[x] > 1), key=lambda x: (got[x] - exact[x], got[x]))
-        got[s] -= 1
-    for s in sorted(names, key=lambda x: -(exact[x] - got[x])):
-        if sum(got.values()) == units:
-            break
-        got[s] += 1
-    assert sum(got.values()) == units and spare >= 0
-    return got
-
-
-def period(units_of: dict) -> list:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    units = sum(units_of.values())
-    names = list(units_of)
-    later = [(0, i, 0) for i in range(len(names))]  # release, source, block
-    heapq.heapify(later)
-    ready: list = []
-    slots = []
-    for t in range(units):
-        while later and later[0][0] <= t:
-            _, i, k = heapq.heappop(later)
-            w = units_of[names[i]]
-            heapq.heappush(ready, (-(-(k + 1) * units // w), i, k))
-        _, i, k = heapq.heappop(ready)
-        slots.append(names[i])
-        if k + 1 < units_of[names[i]]:
-            heapq.heappush(later, ((k + 1) * units // units_of[names[i]], i, k + 1))
-    return slots
-
-
-def phases(blocks_of: dict, weights: dict, units: int = UNITS) -> list[dict]:
-    """The schedule of all blocks. Each phase: first slot, units, and for each source its first block, blocks and slots in the period."""
-    left = {s: n for s, n in blocks_of.items() if n}
-    done = dict.fromkeys(left, 0)
-    at, out = 0, []
-    while left:
-        units_of = whole_weights({s: weights[s] for s in left}, units)
-        order = period(units_of)
-        slots: dict = {s: [] for s in left}
-        for t, s in enumerate(order):
-            slots[s].append(t)
-        # The slot at which each source's last block stands; the first of these ends the phase.
-        ends = {s: (n - 1) // units_of[s] * units + slots[s][(n - 1) % units_of[s]] for s, n in left.items()}
-        end = min(ends.values()) + 1
-        whole, part = divmod(end, units)
-        took = {s: whole * units_of[s] + int(np.searchsorted(slots[s], part)) for s in left}
-        out.append(
-            {"at": at, "units": units, "sources": {s: (done[s], took[s], slots[s]) for s in left if took[s]}}
-        )
-        for s in took:
-            done[s] += took[s]
-        at += end
-        left = {s: n - took[s] for s, n in left.items() if n > took[s]}
-    return out
-
-
 def root_weight(n: int) -> Fraction:
     """The square root of ``n`` down to 2 ** -ROOT_BITS."""
     return Fraction(isqrt(n << (2 * ROOT_BITS)), 1 << ROOT_BITS)
@@ -194,33 +125,12 @@ def _exact_slots(spark, blocks_of: dict, weights: dict) -> DataFrame:
     return materialize(told, "mix-slots")
 
 
-def _repeating_slots(ranked: DataFrame, blocks_of: dict, weights: dict, units: int) -> DataFrame:
-    """``ranked`` with the phase and slot of each row's block, by arithmetic on periods."""
-    cells = []
-    for i, phase in enumerate(phases(blocks_of, weights, units)):
-        for s, (first, took, slots) in phase["sources"].items():
-            cells.append((s, i, phase["at"], phase["units"], first, first + took, slots))
-    told = ranked.sparkSession.createDataFrame(cells, "psource string, phase int, at long, units int, lo long, hi long, slots array<int>")
-    told = told.groupBy("psource").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "hi", "phase", "at", "units", "slots"))).alias("told")
-    )
-    # At most ``units`` sources times phases, each with a period: a bounded table.
-    placed = ranked.join(F.broadcast(told), F.col("source").eqNullSafe(F.col("psource"))).withColumn(
-        "cell", F.expr("filter(told, c -> c.lo <= block and block < c.hi)[0]")
-    )
-    k = F.col("block") - F.col("cell.lo")
-    each = F.size("cell.slots")
-    slot = F.col("cell.at") + F.floor(k / each) * F.col("cell.units") + F.element_at("cell.slots", (F.pmod(k, each) + 1).cast("int"))
-    return placed.withColumn("phase", F.col("cell.phase")).withColumn("slot", slot.cast("long"))
-
-
 def mix_sources(
     df: DataFrame,
     weights: dict | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
-    units: int | None = None,
     chunks: int = CHUNKS,
 ) -> DataFrame:
     """(doc_id, source, block, phase, slot, position) of every row.
@@ -229,41 +139,60 @@ def mix_sources(
     mixture: slot * block_rows plus the place within the block. Sorting by ``position`` gives
     the mixture. ``weights`` are relative and taken exactly; a source without one, and every
     source where it is None, gets the square root of its row count (the usual tempering). Any
-    number of sources is possible, unless ``units`` is given: then weights are rounded to
-    1/units and more sources than that are an error.
+    number of sources is possible.
 
     Defined results: a null source is a source of its own; null ids are mixed like others;
     repeated rows each get a place; an empty table gives no rows; no row is dropped or
     repeated; other columns are not read.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    rows = materialize(rows, "mix-rows")
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    n_of = {r["source"]: r["n"] for r in (counts.limit(units + 1) if units else counts).collect()}
+    order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
+    return _mixed(materialize(rows, "mix-rows"), order, F.xxhash64("doc_id", F.lit(11)), weights, block_rows, chunks).select(
+        "doc_id", "source", "block", "phase", "slot", "position"
+    )
+
+
+def _mixed(rows: DataFrame, order: list, salt, weights: dict | None, block_rows: int, chunks: int) -> DataFrame:
+    """``rows``, a table with a column source, with block, phase, slot and position."""
+    n_of = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     given = weights or {}
     full = {s: given.get(s, root_weight(n)) for s, n in n_of.items()}
     blocks_of = {s: -(-n // block_rows) for s, n in n_of.items()}
-    ranked = gapless_rank(rows, F.col("source"), [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")], F.xxhash64("doc_id", F.lit(11)), chunks, "nth")
+    ranked = gapless_rank(rows, F.col("source"), order, salt, chunks, "nth")
     ranked = ranked.withColumn("block", F.floor(F.col("nth") / block_rows).cast("long"))
-    if units:
-        placed = _repeating_slots(ranked, blocks_of, full, units)
-    else:
-        told = _exact_slots(spark, blocks_of, full)
-        # A block has at most ``block_rows`` rows, so no key of this join is large.
-        placed = ranked.join(told, F.col("source").eqNullSafe(F.col("psource")) & (F.col("block") == F.col("pblock")))
-    return placed.select(
-        "doc_id", "source", "block", "phase", "slot", (F.col("slot") * block_rows + F.col("nth") % block_rows).alias("position")
-    )
+    told = _exact_slots(rows.sparkSession, blocks_of, full)
+    # A block has at most ``block_rows`` rows, so no key of this join is large.
+    placed = ranked.join(told, F.col("source").eqNullSafe(F.col("psource")) & (F.col("block") == F.col("pblock")))
+    return placed.withColumn("position", F.col("slot") * block_rows + F.col("nth") % block_rows)
 
 
-def in_mixture_order(df: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", **more) -> DataFrame:
+def in_mixture_order(
+    df: DataFrame,
+    weights: dict | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    block_rows: int = BLOCK_ROWS,
+    chunks: int = CHUNKS,
+) -> DataFrame:
     """The rows of ``df``, same columns, in the order of the mixture: partitions are ranges of ``position``.
 
-    Rows that repeat an id keep together at one of their places.
+    Positions are found on narrow rows, told apart by id, source and a digest of the text; whole
+    rows move once to meet theirs (where copies of one row are many, the adaptive planner splits
+    their partition) and once into their order.
+
+    Defined results: null sources, ids and texts are values like others; rows that agree in id,
+    source and text keep together at the first of their places; an empty table gives an empty
+    one; other columns, of whatever name, are passed on.
     """
-    placed = mix_sources(df, weights, id_col, source_col, **more)
-    first = placed.groupBy("doc_id").agg(F.min("position").alias("__position")).withColumnRenamed("doc_id", "__doc")
-    joined = df.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")))
-    joined = materialize(joined.drop("__doc"), "mix-joined")
-    return joined.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+    spent: list[str] = []
+    part = lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-"))
+    words = [F.col(id_col).cast("string"), F.col(source_col).cast("string"), F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8"))]
+    key = F.unhex(F.md5(F.encode(F.concat_ws("\n", *map(part, words)), "UTF-8")))
+    rows = materialize(df.select(key.alias("key"), F.col(source_col).cast("string").alias("source")), "mix-rows", spent=spent)
+    placed = _mixed(rows, [F.col("key")], F.xxhash64("key"), weights, block_rows, chunks)
+    k, position = fresh(df, "__key", "__position")
+    first = placed.groupBy(F.col("key").alias(k)).agg(F.min("position").alias(position))
+    joined = materialize(df.join(first, key == F.col(k)).drop(k), "mix-joined")
+    clear(df.sparkSession, spent)
+    return joined.repartitionByRange(position).sortWithinPartitions(position).drop(position)

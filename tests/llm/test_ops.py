@@ -412,37 +412,82 @@ def test_schedule_equals_heap():
         assert sorted(loads) == sorted(heap)
 
 
-def test_mixing(docs, empty):
-    got = mixing.mix_sources(docs, {"s0": 3, "s1": 1, "s2": 2, "s3": 4, None: 1}, block_rows=2, units=50).collect()
-    assert len(got) == len(ROWS) and len({r["position"] for r in got}) == len(got)
-    blocks = collections.Counter((r["source"], r["block"]) for r in got)
-    assert all(n <= 2 for n in blocks.values())
-    slots = {r["slot"] for r in got}
-    assert slots == set(range(len(slots))) and len(slots) == len(blocks)
+def ideal_ends(blocks, weights):
+    """(start, rate, live) of the stretches between which sources end in the ideal mixture, in blocks by weight and in slots."""
+    v, at, out = Fraction(0), Fraction(0), []
+    live = {s for s, n in blocks.items() if n}
+    while live:
+        rate = sum(Fraction(weights[s]) for s in live)
+        end = min(Fraction(blocks[s]) / weights[s] for s in live)
+        out.append((v, end, at, rate))
+        at += (end - v) * rate
+        v, live = end, {s for s in live if Fraction(blocks[s]) / weights[s] > end}
+    return out
+
+
+def brute_schedule(blocks, weights):
+    """Earliest deadline first over all blocks, slot by slot, each release and deadline from the ideal mixture itself."""
+    ends = ideal_ends(blocks, weights)
+
+    def slot_of(v):
+        lo, _, at, rate = next(e for e in ends if v <= e[1])
+        return at + (v - lo) * rate
+
+    todo = []
+    for s in sorted(blocks, key=lambda s: (s is None, s or "")):
+        for k in range(blocks[s]):
+            begin, end = Fraction(k) / weights[s], Fraction(k + 1) / weights[s]
+            lo, _, at, rate = next(e for e in ends if e[0] <= begin < e[1])
+            due = slot_of(end)
+            todo.append((int(at + (begin - lo) * rate), -(-due.numerator // due.denominator), s, k))
+    place = {s: i for i, s in enumerate(sorted(blocks, key=lambda s: (s is None, s or "")))}
+    out = []
+    for t in range(len(todo)):
+        ready = [x for x in todo if x[0] <= t]
+        best = min(ready, key=lambda x: (x[1], place[x[2]], x[3]))
+        assert best[1] > t
+        todo.remove(best)
+        out.append((best[2], best[3]))
+    return out
+
+
+def test_mixing(spark, docs, empty):
+    for weights in ({"s0": 3, "s1": 1, "s2": 2, "s3": 4, None: 1}, {"s0": 9995, "s1": 5, "s2": Fraction(1, 3), "s3": 7, None: 2}, None):
+        got = mixing.mix_sources(docs, weights, block_rows=2).collect()
+        assert len(got) == len(ROWS) and len({r["position"] for r in got}) == len(got)
+        n = collections.Counter(r["source"] for r in got)
+        told = weights or {s: mixing.root_weight(c) for s, c in n.items()}
+        want = {x: t for t, x in enumerate(brute_schedule({s: -(-c // 2) for s, c in n.items()}, told))}
+        assert {(r["source"], r["block"]): r["slot"] for r in got} == want
+        places = collections.defaultdict(set)
+        for r in got:
+            assert r["position"] // 2 == r["slot"]
+            places[r["source"], r["block"]].add(r["position"] % 2)
+        assert all(p == set(range(len(p))) for p in places.values())
     assert mixing.mix_sources(empty).count() == 0
-    ordered = mixing.in_mixture_order(docs)
-    assert ordered.columns == docs.columns and ordered.count() == len(ROWS)
 
 
-def test_periods_deviate_by_less_than_a_block():
-    rnd = random.Random(6)
+def test_mixture_order_of_whole_rows(spark, docs, empty):
+    ordered = mixing.in_mixture_order(docs, block_rows=2)
+    assert ordered.columns == docs.columns
+    key = lambda rows: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+    assert key(ordered.collect()) == key(docs.collect())
+    odd = spark.createDataFrame([(None, "a", "x", 1), (None, "b", "x", 2), (None, None, None, 3), (1, "a", None, 4), (1, "c", "x", 5), (1, "c", "x", 5)], "doc_id long, text string, source string, __key int")
+    rows = mixing.in_mixture_order(odd, block_rows=1).collect()
+    assert sorted(r["__key"] for r in rows) == [1, 2, 3, 4, 5, 5]
+    none = mixing.in_mixture_order(empty)
+    assert none.columns == docs.columns and none.count() == 0
+    even = docs_of(spark, [(i, f"t{i}", "ab"[i % 2]) for i in range(400)])
+    told = [r["source"] for r in mixing.in_mixture_order(even, {"a": 1, "b": 1}, block_rows=1).collect()]
+    assert all(abs(told[:t].count("a") - t / 2) < 1 for t in range(401))
+
+
+def test_schedule_equals_earliest_deadline_first():
+    rnd = random.Random(12)
     for _ in range(60):
-        weights = {f"s{i}": rnd.randint(1, 100) for i in range(rnd.randint(1, 12))}
-        units = mixing.whole_weights(weights, 200)
-        done = collections.Counter()
-        for t, s in enumerate(mixing.period(units), 1):
-            done[s] += 1
-            assert all(abs(done[x] - t * u / 200) < 1 for x, u in units.items())
-        left = {s: rnd.randint(0, 2000) for s in weights}
-        seen, took = [], collections.Counter()
-        for p in mixing.phases(left, weights, 200):
-            for s, (first, n, slots) in p["sources"].items():
-                assert first == took[s]
-                took[s] += n
-                seen += [p["at"] + k // len(slots) * p["units"] + slots[k % len(slots)] for k in range(n)]
-        assert sorted(seen) == list(range(sum(left.values()))) and all(took[s] == n for s, n in left.items())
-    with pytest.raises(ValueError):
-        mixing.whole_weights({str(i): 1 for i in range(11)}, 10)
+        blocks = {f"s{i}": rnd.randint(1, 25) for i in range(rnd.randint(1, 6))}
+        weights = {s: Fraction(rnd.randint(1, 40), rnd.randint(1, 9)) for s in blocks}
+        assert [x[:2] for x in mixing.schedule(blocks, weights)] == brute_schedule(blocks, weights)
 
 
 def test_schedule_keeps_to_exact_weights():
