@@ -26,6 +26,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system, where the C library can: a reused worker keeps it from stage to stage else."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_slices(batches, rows: int = 512):
     """Arrow batches in slices, so that what Python makes of one stays small; buffers are shared, not copied."""
     import pyarrow as pa
@@ -35,6 +46,7 @@ def in_slices(batches, rows: int = 512):
             yield batch.slice(i, rows)
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def gapless_rank(df: DataFrame, key: Column, order: list[Column], salt: Column, chunks: int, name: str) -> DataFrame:
@@ -54,7 +66,7 @@ def gapless_rank(df: DataFrame, key: Column, order: list[Column], salt: Column,
     return joined.withColumn(name, (F.col(r) + F.col(before)).cast("long")).drop(k, c, r, ok, oc, before)
 
 
-def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "components", spent: list[str] | None = None) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the smallest id reachable.
 
     Rounds of hooking each component to its smallest neighbour, then pointer jumping until
@@ -62,36 +74,43 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     or an equi-join on a table that shrinks; links never leave the executors. In a large
     component many rows point to one hub; its partition of a join is one that the adaptive
     planner splits, as no step after the join needs its order. Tables of past rounds are deleted.
+    The table of the result goes to the caller's ``spent``.
     """
     spark = edges.sparkSession
-    spent: list[str] = []
+    past: list[str] = []  # what the next round reads last
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    live = materialize(ordered(edges), label, spent=spent)
+    live = materialize(ordered(edges), label, spent=past)
+    of_found: list[str] = []
     found = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id"))).distinct()
-    found = materialize(found.select("id", F.col("id").alias("component")), label, spent=spent)
+    found = materialize(found.select("id", F.col("id").alias("component")), label, spent=of_found)
     while not live.isEmpty():
         # Each component points at its smallest neighbour, if that is smaller.
-        hooks = materialize(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), label, spent=spent)
+        hooks = materialize(live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), label, spent=past)
         while True:
             up = hooks.select(F.col("id").alias("uid"), F.col("to").alias("uto"))
             jumped = hooks.join(up, F.col("to") == F.col("uid"), "left").select(
                 "id", F.coalesce("uto", "to").alias("to"), F.col("uto").isNotNull().alias("moved")
             )
-            jumped = materialize(jumped, label, spent=spent)
+            jumped = materialize(jumped, label, spent=past)
             hooks = jumped.select("id", "to")
             if jumped.where("moved").isEmpty():
                 break
-        past = list(spent)
         found = (
             found.join(hooks.select(F.col("id").alias("hid"), "to"), F.col("component") == F.col("hid"), "left")
             .select("id", F.coalesce("to", "component").alias("component"))
         )
-        spent = []
-        found = materialize(found, label, spent=spent)
+        past += of_found
+        of_found = []
+        found = materialize(found, label, spent=of_found)
         ends = live
         for end in ("a", "b"):
             to = hooks.select(F.col("id").alias("hid"), F.col("to").alias("hto"))
             ends = ends.join(to, F.col(end) == F.col("hid"), "left").withColumn(end, F.coalesce("hto", end)).select("a", "b")
-        live = materialize(ordered(ends), label, spent=spent)
+        left: list[str] = []
+        live = materialize(ordered(ends), label, spent=left)
         clear(spark, past)
+        past = left
+    clear(spark, past)
+    if spent is not None:
+        spent += of_found
     return found.select("id", "component")

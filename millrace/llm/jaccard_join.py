@@ -117,14 +117,14 @@ def _hot_tokens(postings: DataFrame, classes: int) -> DataFrame:
     return some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TOKEN).select(F.col("token").alias("hot"))
 
 
-def _shared(postings: DataFrame, hot: DataFrame) -> DataFrame:
+def _shared(postings: DataFrame, hot: DataFrame, spent: list[str]) -> DataFrame:
     """(token, id) of the tokens that two classes or more have. ``hot``: tokens that many have, a bounded number.
 
     Tokens come together by one shuffle, hot ones dealt over several tasks by class, and are
     read as a sorted stream: a row is told by its neighbours, so memory is bounded by a batch
     however long a run is. Hot tokens have many classes as it is.
     """
-    hot = materialize(hot, "jaccard-hot")
+    hot = materialize(hot, "jaccard-hot", spent=spent)
     marked = postings.join(F.broadcast(hot), F.col("token") == F.col("hot"), "left")
     salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(TOKEN_SALTS))).otherwise(0).cast("int")
     dealt = marked.select("token", "id", salt.alias("salt"), F.col("hot").isNotNull().alias("many"))
@@ -161,18 +161,24 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _parts(blocks: DataFrame, size: str) -> DataFrame:
-    """(block, parts): how many tasks the rows (block, n, ...) of a block are dealt to."""
+def _parts(blocks: DataFrame) -> DataFrame:
+    """(pblock, parts): how many tasks the rows (block, n, ...) of a block are dealt to, where there are more than one.
+
+    That is one row for BLOCK_MEMBERS or BLOCK_SHINGLES at most, so the table is small against the
+    rows, and Spark broadcasts it up to its own threshold; beyond, the adaptive planner splits
+    the partitions of hot blocks.
+    """
     much = F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)
-    return blocks.groupBy("block").agg(F.ceil(much).cast("int").alias(size))
+    return blocks.groupBy(F.col("block").alias("pblock")).agg(F.ceil(much).cast("int").alias("parts")).where("parts > 1")
 
 
-def _star_links(sets: DataFrame, stars: DataFrame, num: int, den: int, spent: list[str]) -> DataFrame:
+def _star_links(sets: DataFrame, stars: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) among the stars (block, id, n): of a leader, whose id is the block's, and a member."""
-    parts = materialize(_parts(stars, "parts"), "jaccard-parts", spent=spent)
-    told = lookup(stars, "block", parts.withColumnRenamed("block", "pblock"), "pblock")
-    member = told.select("block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
-    leader = parts.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("id"))
+    parts = _parts(stars)
+    with_parts = lambda df: df.join(parts, F.col("block") == F.col("pblock"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    member = with_parts(stars).select("block", F.expr("pmod(xxhash64(id), parts)").cast("int").alias("part"), "id")
+    leader = with_parts(stars.select("block").distinct())
+    leader = leader.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("id"))
     rows = member.unionByName(leader).join(sets.select("id", "shingles"), "id")
 
     def run(key, frame):
@@ -256,17 +262,18 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     filled = profiles.where("n > 0 and id is not null")
     # The smallest (id, tid) of a class names the text that stands for it.
     classes = filled.groupBy(F.col("digest").alias("hd")).agg(
-        F.min(F.struct("id", "tid")).alias("one"), F.first("n").alias("n"), F.first("probes").alias("probes"), F.count(F.lit(1)).alias("rows")
+        F.min(F.struct("id", "tid")).alias("one"), F.first("n").alias("n"), F.first("probes").alias("probes")
     )
-    classes = classes.select("hd", F.col("one.id").alias("head"), F.col("one.tid").alias("htid"), "n", "probes", "rows", F.monotonically_increasing_id().alias("cls"))
+    classes = classes.select("hd", F.col("one.id").alias("head"), F.col("one.tid").alias("htid"), "n", "probes", F.monotonically_increasing_id().alias("cls"))
     classes = materialize(classes, "jaccard-classes", "lz4", spent)
     linked = _class_components(docs, classes, width, num, den, spent).select(F.col("id").alias("cid"), F.col("component").alias("root"))
-    heads = classes.select("hd", "head", "cls", "rows")
-    told = materialize(linked.join(heads, F.col("cid") == F.col("cls")).select("hd", "head", "rows", "root"), "jaccard-linked", spent=spent)
-    least = told.groupBy(F.col("root").alias("lroot")).agg(F.min("head").alias("label"))
-    told = lookup(told, "root", materialize(least, "jaccard-least", spent=spent), "lroot").select("hd", "rows", "root", "label")
-    alone = heads.join(linked, F.col("cls") == F.col("cid"), "left_anti").select("hd", "rows", F.col("cls").alias("root"), F.col("head").alias("label"))
-    labels = materialize(told.unionByName(alone).select("hd", "root", "label"), "jaccard-labels")
+    heads = classes.select("hd", "head", "cls")
+    told = heads.join(linked, F.col("cls") == F.col("cid"), "left").select("hd", "head", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "cls").alias("root"))
+    told = materialize(told, "jaccard-roots", spent=spent)
+    # Classes of a large component are many rows of one key here, which the adaptive planner splits.
+    least = told.where("linked").groupBy(F.col("root").alias("lroot")).agg(F.min("head").alias("label"))
+    labels = told.join(least, F.col("root") == F.col("lroot"), "left").select("hd", "root", F.coalesce("label", "head").alias("label"))
+    labels = materialize(labels, "jaccard-labels")
     rows = lookup(filled.select("id", "tid", "n", "digest"), "digest", labels, "hd")
     clear(spark, spent)
     others = profiles.where("n = 0 or id is null").select("id", "n")
@@ -300,7 +307,7 @@ def jaccard_components(
 def _class_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int, spent: list[str]) -> DataFrame:
     """(id, component) of the classes that link with another, by their numbers."""
     postings = _postings(classes.select(F.col("cls").alias("id"), "probes"))
-    shared = materialize(_shared(postings, _hot_tokens(postings, classes.count())).distinct(), "jaccard-shared", "lz4", spent)
+    shared = materialize(_shared(postings, _hot_tokens(postings, classes.count()), spent).distinct(), "jaccard-shared", "lz4", spent)
     ids = materialize(shared.select("id").distinct(), "jaccard-ids", spent=spent)
     # Each class's text is found by a hash of (id, tid) and told by its digest.
     wanted = classes.join(ids, F.col("cls") == F.col("id"), "left_semi").select(F.xxhash64("head", "htid").alias("at"), "cls", "hd")
@@ -312,20 +319,19 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, num: int,
         sets = materialize(sets.dropDuplicates(["id"]), "jaccard-sets", "lz4", spent)
 
     # Similar classes share leaders; each goes by the one of the smallest hash among its tokens'.
+    # A token that many classes have is a large key of this join, whose partition the adaptive planner splits.
     leader = shared.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("leader"))
-    leader = materialize(leader.withColumnRenamed("token", "ltoken"), "jaccard-leaders", spent=spent)
-    cluster = lookup(shared, "token", leader, "ltoken").groupBy("id").agg(F.min_by("leader", F.xxhash64("leader")).alias("block"))
+    cluster = shared.join(leader, "token").groupBy("id").agg(F.min_by("leader", F.xxhash64("leader")).alias("block"))
     cluster = materialize(cluster.join(sets.select("id", "n"), "id"), "jaccard-clusters", spent=spent)
-    first = materialize(_star_links(sets, cluster.where("id <> block"), num, den, spent), "jaccard-links", spent=spent)
-    grouped = connected_components(first, "jaccard-groups")
+    first = materialize(_star_links(sets, cluster.where("id <> block"), num, den), "jaccard-links", spent=spent)
+    grouped = connected_components(first, "jaccard-groups", spent)
 
-    blocked = materialize(_into_blocks(cluster, grouped, spent), "jaccard-blocks", spent=spent)
+    blocked = materialize(_into_blocks(cluster, grouped), "jaccard-blocks", spent=spent)
     extent = blocked.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # Cells of the matrix; tokens that stand in one group only can tell nothing new.
-    cells = materialize(shared.join(blocked, "id").select("token", "block", "own", "grp"), "jaccard-cells", "lz4", spent)
-    several = cells.groupBy(F.col("token").alias("stoken")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("stoken")
-    cells = lookup(cells, "token", materialize(several, "jaccard-several", spent=spent), "stoken").select("token", "block", "own").distinct()
-    matrix = materialize(cells, "jaccard-matrix", "lz4", spent)
+    cells = shared.join(blocked, "id")
+    several = cells.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
+    matrix = materialize(cells.join(several, "token").select("token", "block", "own").distinct(), "jaccard-matrix", "lz4", spent)
     other = matrix.select("token", F.col("block").alias("qblock"), F.col("own").alias("qown"))
     pairs = matrix.join(other, "token").where("qblock <= block and (own is null or qown is null or own <> qown)")
     pairs = pairs.select("qblock", "block").distinct().join(extent, "block")
@@ -336,10 +342,11 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, num: int,
     return connected_components(
         grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second),
         "jaccard-components",
+        spent,
     )
 
 
-def _into_blocks(cluster: DataFrame, grouped: DataFrame, spent: list[str]) -> DataFrame:
+def _into_blocks(cluster: DataFrame, grouped: DataFrame) -> DataFrame:
     """(id, n, grp, own, block): blocks of similar classes, of BLOCK_MEMBERS and BLOCK_SHINGLES at most on average.
 
     A large group fills blocks of its own (``own`` is its id); small groups and classes
@@ -348,17 +355,13 @@ def _into_blocks(cluster: DataFrame, grouped: DataFrame, spent: list[str]) -> Da
     go by 64-bit hashes; two meet with probability 2**-64, and then both are compared together.
     """
     group = cluster.join(grouped, "id", "left").select("id", "n", "block", F.coalesce("component", "id").alias("grp"))
-    group = materialize(group, "jaccard-grouped", spent=spent)
-    sizes = group.groupBy(F.col("grp").alias("sgrp")).agg(F.count(F.lit(1)).alias("members"))
-    own = F.when(F.col("members") >= BLOCK_MEMBERS // 4, F.col("grp"))
-    block = F.when(own.isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group")))
-    out = lookup(group, "grp", materialize(sizes, "jaccard-sizes", spent=spent), "sgrp").select("id", "n", "grp", own.alias("own"), block.alias("block"))
+    large = group.groupBy(F.col("grp").alias("own")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= BLOCK_MEMBERS // 4).select("own")
+    block = F.when(F.col("own").isNull(), F.xxhash64("block", F.lit("cluster"))).otherwise(F.xxhash64("grp", F.lit("group")))
+    out = group.join(large, F.col("grp") == F.col("own"), "left").select("id", "n", "grp", "own", block.alias("block"))
     band = F.floor(F.log(F.col("n")) / math.log(SIZE_BAND))
     for cut in (band, F.pmod(F.xxhash64("id"), F.col("parts"))):
-        out = materialize(out, "jaccard-cuts", spent=spent)
-        parts = materialize(_parts(out, "parts").withColumnRenamed("block", "pblock"), "jaccard-parts", spent=spent)
-        split = F.when(F.col("parts") > 1, F.xxhash64("block", cut)).otherwise(F.col("block"))
-        out = lookup(out, "block", parts, "pblock").select("id", "n", "grp", "own", split.alias("block"))
+        split = F.when(F.col("parts").isNotNull(), F.xxhash64("block", cut)).otherwise(F.col("block"))
+        out = out.join(_parts(out), F.col("block") == F.col("pblock"), "left").select("id", "n", "grp", "own", split.alias("block"))
     return out
 
 
@@ -373,9 +376,9 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, _ = _labelled(df, id_col, text_col, width, num, den)
     each = rows.groupBy("root", "id", "tid").agg(F.count(F.lit(1)).alias("times"))
     each = materialize(each, "jaccard-each")
-    kept = materialize(each.groupBy(F.col("root").alias("kroot")).agg(F.min(F.struct("id", "tid")).alias("one")), "jaccard-kept")
+    kept = each.groupBy(F.col("root").alias("kroot")).agg(F.min(F.struct("id", "tid")).alias("one"))
     gone, i, t = fresh(df, "__gone", "__id", "__tid")
-    told = lookup(each, "root", kept, "kroot").withColumn(gone, F.struct("id", "tid") != F.col("one"))
+    told = each.join(kept, F.col("root") == F.col("kroot")).withColumn(gone, F.struct("id", "tid") != F.col("one"))
     told = told.where(F.col(gone) | (F.col("times") > 1)).select(F.col("id").alias(i), F.col("tid").alias(t), gone)
     told = materialize(told, "jaccard-told")
     same = (F.col(id_col).cast("long") == F.col(i)) & (_tid(F.col(text_col).cast("string")) == F.col(t))

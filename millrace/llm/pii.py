@@ -49,7 +49,7 @@ WINDOW, STRIDE = 96, 48
 #: A span counts when its mean posterior probability reaches this.
 MIN_POSTERIOR = 0.75
 #: Windows that are scored at once.
-AT_ONCE = 512
+AT_ONCE = 256
 HIDDEN, EMBED, EPOCHS, BATCH, RATE = 16, 8, 16, 50, 0.04
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 _MARKS = "@.-+() _%\n,:/[]{}"

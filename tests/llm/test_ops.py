@@ -906,3 +906,61 @@ def test_pipeline(spark, tokenizers):
     assert all(r["n_tokens"] == len(lib.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids) for r in last.collect())
     whole = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in whole} == set(text)
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, some):
+    """Nulls in any column, empty and long texts, repeated rows and ids, other columns whose names stages use; or no rows at all."""
+    import corpus_pipeline
+
+    rows = [r for r in ROWS if len(r[1] or "") < 10_000] + [(7, "another text under a known id, told of here", "s1"), (8, "long " * 5000, None)]
+    odd = docs_of(spark, rows).withColumns({"n_chars": F.length("text").cast("long"), "__gone": F.lit(1), "__key": F.lit("k"), "__position": F.lit(2), "label": F.lit(9)})
+    odd = odd if some else odd.where("false")
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(0, 1, 1), (1, None, None), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    (labels if some else labels.where("false")).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    ids = lambda df: collections.Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    if not some:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+        return
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = ids(docs), stage(spark, docs, str(tmp_path)).cache()
+        after = ids(docs)
+        assert docs.columns == columns and not after - before, name
+        if name in ("personal_data", "mixing"):
+            assert after == before
+        if name == "near_duplicates":
+            assert after[7] == 2 and after[5] == 1 and after[None] == 1
+    assert ids(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))) == ids(docs)
+
+
+def test_only_what_the_result_reads_is_left(spark, tmp_path, monkeypatch):
+    import pathlib
+
+    from millrace.sources import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    small = docs_of(spark, ROWS[:40])
+    left = lambda: sorted(x.name.rsplit("-", 1)[0] for x in pathlib.Path(tmp_path).iterdir())
+    got = jaccard_join.jaccard_components(small)
+    assert left() == ["jaccard-labels", "jaccard-profiles"] and got.count() == 40
+    sharding.shard_documents(small)
+    assert left()[2:] == ["shard-rows"]
+    toxicity.fit_toxicity(small, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"), F.lit(True))
+    pii.fit_tagger(small)
+    assert len(left()) == 3
+
+
+def test_clusters_must_name_a_shared_folder(spark):
+    from millrace.sources import shared
+
+    class Context:
+        master, applicationId = "spark://host:7077", "a"
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session)
