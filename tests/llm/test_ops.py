@@ -770,6 +770,34 @@ def test_terms_of_any_number_and_length(spark):
     assert toxicity.keep_clean(docs_of(spark, [(1, "zz " + terms[5], "s"), (2, "plain", "s"), (None, None, None)]).where("false"), model).count() == 0
 
 
+def test_terms_and_weights_against_plain_counting(spark):
+    rnd = random.Random(21)
+    rows = []
+    for i in range(500):
+        w = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(30)]
+        w += rnd.choices(["grimmig", "zwackel", "rüpel", "maybe", "often"], [2, 2, 1, 2, 1] if i % 3 == 0 else [0, 0, 0, 2, 1], k=2)
+        rows.append((i, " ".join(rnd.sample(w, len(w))), int(i % 3 == 0)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs_of(spark, [(i, t, "s") for i, t, _ in rows]), labels, F.lit(True))
+    in_toxic, in_other = collections.Counter(), collections.Counter()
+    for _, t, y in rows:
+        (in_toxic if y else in_other).update(set(t.split()))
+    share = sum(y for _, _, y in rows) / len(rows)
+    least = max(toxicity.MIN_TEXTS, int(np.ceil(np.log(toxicity.MAX_CHANCE) / np.log(share))))
+    assert set(model.terms) == {w for w, n in in_toxic.items() if n >= least and n >= toxicity.MIN_SHARE * (n + in_other[w])} >= {"grimmig", "zwackel"}
+    # The weights are where the penalized likelihood is largest.
+    x = np.array([model.scorer().features(t) for _, t, _ in rows])
+    y = np.array([y for _, _, y in rows])
+
+    def goal(beta):
+        z = beta[0] + x @ beta[1:]
+        return float((y * z - np.logaddexp(0, z)).sum() - (((beta - toxicity._PRIOR) / toxicity._PRIOR_SD) ** 2).sum() / 2)
+
+    best = np.array(toxicity.fit_weights(x, y, y.mean()))
+    for _ in range(200):
+        assert goal(best) >= goal(best + np.random.default_rng(rnd.randrange(10**6)).normal(0, 0.01, len(best))) - 1e-9
+
+
 def brute_url(u):
     host = path = ""
     if u and "://" in u:
@@ -805,6 +833,65 @@ def test_urls(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_boost(rows, bias):
+    """Boosted trees of (bins, y) in plain Python, row by row: for each tree a function from bins to its value."""
+    trees = []
+
+    def margin(bins):
+        return bias + sum(t(bins) for t in trees)
+
+    def sums(part):
+        return tuple(sum(x[i] for x in part) for i in (1, 2))
+
+    def gain(g, h):
+        return (g / 1e6) ** 2 / (h / 1e6 + url_filter.L2)
+
+    def grow(part, depth):
+        g, h = sums(part)
+        best = None
+        if depth < url_filter.DEPTH:
+            for f in url_filter.FEATURES:
+                for b in sorted({x[0][f] for x in part}):
+                    left = [x for x in part if x[0][f] <= b]
+                    if min(len(left), len(part) - len(left)) < url_filter.MIN_ROWS:
+                        continue
+                    lg, lh = sums(left)
+                    won = gain(lg, lh) + gain(g - lg, h - lh) - gain(g, h)
+                    if won > 1e-6 and (best is None or won > best[0]):
+                        best = (won, f, b)
+        if best is None:
+            value = url_filter.RATE * (g / 1e6) / (h / 1e6 + url_filter.L2)
+            return lambda bins: value
+        _, f, b = best
+        low, high = (grow([x for x in part if (x[0][f] <= b) == side], depth + 1) for side in (True, False))
+        return lambda bins: low(bins) if bins[f] <= b else high(bins)
+
+    for _ in range(url_filter.TREES):
+        graded = []
+        for bins, y in rows:
+            p = url_filter.probability(margin(bins))
+            graded.append((bins, round((y - p) * 1_000_000), round(p * (1 - p) * 1_000_000)))
+        trees.append(grow(graded, 0))
+    return margin
+
+
+def test_trees_equal_boosting_row_by_row(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(500):
+        u = f"http://{rnd.choice(['a', 'bb', 'c-c'])}.{rnd.choice(['com', 'org', 'net'])}/{'x/' * rnd.randrange(4)}{rnd.randrange(10 ** rnd.randrange(1, 7))}?{'k=1&' * rnd.randrange(3)}"
+        rows.append((i, u, int(("c-c" in u) ^ (u.count("/") > 4) ^ (rnd.random() < 0.1))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int")
+    model = url_filter.fit_url_model(pages)
+    host = url_filter.host_of(F.col("url"))
+    found = url_filter.features(F.col("url"), host, url_filter.path_of(F.col("url")), model.suffix_bin(host))
+    bins = {r["page_id"]: r.asDict() for r in pages.select("page_id", *[c.alias(f) for f, c in found.items()]).collect()}
+    margin = brute_boost([(bins[i], y) for i, _, y in rows], model.bias)
+    assert len(model.trees) == url_filter.TREES
+    for i, _, _ in rows:
+        assert abs(url_filter.predict_in_python(model, bins[i]) - margin(bins[i])) < 1e-9
+
+
 def test_every_suffix_has_its_statistics(spark, monkeypatch):
     # 400 suffixes of equal size and alike in all else; the label is the suffix's.
     label = {i: random.Random(i).randrange(2) for i in range(100, 500)}
