@@ -169,10 +169,10 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 shard.close()
 
     told = materialize(rows.drop("text"), "media-rows")
-    again = told.groupBy(F.col("digest").alias("rdigest")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rdigest")
+    again = told.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.unhex("digest").alias("rdigest"))
     again = materialize(again, "media-repeated", spent=spent)
     again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
-    same = F.col("digest") == F.col("rdigest")
+    same = F.unhex("digest") == F.col("rdigest")
     single = rows.join(again, same, "left_anti").select("digest", "text")
     several = rows.join(again, same, "left_semi").select("digest", "text").dropDuplicates(["digest"])
     where = single.unionByName(several).mapInArrow(run, "digest string, shard string, offset long, length long")
