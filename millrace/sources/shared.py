@@ -63,8 +63,14 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, tkey: str, how: str = "i
 
     Rows of the hot keys, HOT at most by arithmetic, meet a broadcast of the table's rows for
     those; all others are joined by a shuffle. The names of both sides must differ. ``total``
-    is the number of rows, counted if it isn't told.
+    is the number of rows, counted if it isn't told. Rows with a null key meet nothing; in a left
+    join, where they stay, they aren't shuffled.
     """
+    if how == "left":
+        apart = rows.where(F.col(key).isNull())
+        for field in table.schema:
+            apart = apart.withColumn(field.name, F.lit(None).cast(field.dataType))
+        return lookup(rows.where(F.col(key).isNotNull()), key, table, tkey, "left_outer", total).unionByName(apart)
     total = rows.count() if total is None else total
     counts = rows.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
     hot = counts.where(F.col("__hot").isNotNull() & (F.col("__n") * HOT >= total)).select("__hot")
