@@ -251,10 +251,9 @@ def _block_links(sets: DataFrame, blocked: DataFrame, pairs: DataFrame, num: int
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(id, tid, n, root, component) of every document with shingles and an id, and (id, n) of all others.
+    """(id, tid, n, component, first_tid) of every document with shingles and an id, and (id, n) of all others.
 
-    ``root`` numbers the component; ``component`` is its smallest id, which may be that of
-    another component too where ids repeat.
+    (component, first_tid) is the smallest (id, tid) of the document's component.
     """
     spark, spent = df.sparkSession, []
     docs = _documents(df, id_col, text_col)
@@ -267,17 +266,18 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     classes = classes.select("hd", F.col("one.id").alias("head"), F.col("one.tid").alias("htid"), "n", "probes", F.monotonically_increasing_id().alias("cls"))
     classes = materialize(classes, "jaccard-classes", "lz4", spent)
     linked = _class_components(docs, classes, width, num, den, spent).select(F.col("id").alias("cid"), F.col("component").alias("root"))
-    heads = classes.select("hd", "head", "cls")
-    told = heads.join(linked, F.col("cls") == F.col("cid"), "left").select("hd", "head", F.col("root").isNotNull().alias("linked"), F.coalesce("root", "cls").alias("root"))
-    told = materialize(told, "jaccard-roots", spent=spent)
-    # Classes of a large component are many rows of one key here, which the adaptive planner splits.
-    least = told.where("linked").groupBy(F.col("root").alias("lroot")).agg(F.min("head").alias("label"))
-    labels = told.join(least, F.col("root") == F.col("lroot"), "left").select("hd", "root", F.coalesce("label", "head").alias("label"))
-    labels = materialize(labels, "jaccard-labels")
+    heads = classes.select("hd", F.struct("head", "htid").alias("own"), "cls")
+    told = materialize(heads.join(linked, F.col("cls") == F.col("cid"), "left").select("hd", "own", "root"), "jaccard-roots", spent=spent)
+    in_some = told.where("root is not null")
+    least = in_some.groupBy(F.col("root").alias("lroot")).agg(F.min("own").alias("first"))
+    least = materialize(least, "jaccard-least", spent=spent)
+    labels = lookup(in_some, "root", least, "lroot").select("hd", "first")
+    labels = labels.unionByName(told.where("root is null").select("hd", F.col("own").alias("first")))
+    labels = materialize(labels.select("hd", F.col("first.head").alias("component"), F.col("first.htid").alias("first_tid")), "jaccard-labels")
     rows = lookup(filled.select("id", "tid", "n", "digest"), "digest", labels, "hd")
     clear(spark, spent)
     others = profiles.where("n = 0 or id is null").select("id", "n")
-    return rows.select("id", "tid", "n", "root", F.col("label").alias("component")), others
+    return rows.select("id", "tid", "n", "component", "first_tid"), others
 
 
 def jaccard_components(
@@ -374,11 +374,9 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty one; other columns, of whatever name, are passed on.
     """
     rows, _ = _labelled(df, id_col, text_col, width, num, den)
-    each = rows.groupBy("root", "id", "tid").agg(F.count(F.lit(1)).alias("times"))
-    each = materialize(each, "jaccard-each")
-    kept = each.groupBy(F.col("root").alias("kroot")).agg(F.min(F.struct("id", "tid")).alias("one"))
     gone, i, t = fresh(df, "__gone", "__id", "__tid")
-    told = each.join(kept, F.col("root") == F.col("kroot")).withColumn(gone, F.struct("id", "tid") != F.col("one"))
+    other = (F.col("id") != F.col("component")) | (F.col("tid") != F.col("first_tid"))
+    told = rows.groupBy("id", "tid", other.alias(gone)).agg(F.count(F.lit(1)).alias("times"))
     told = told.where(F.col(gone) | (F.col("times") > 1)).select(F.col("id").alias(i), F.col("tid").alias(t), gone)
     told = materialize(told, "jaccard-told")
     same = (F.col(id_col).cast("long") == F.col(i)) & (_tid(F.col(text_col).cast("string")) == F.col(t))
