@@ -149,7 +149,7 @@ def _met(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     def run(queries, candidates):
         if not len(queries) or not len(candidates):
             return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        matrix = lambda frame, col, kind: np.array(frame[col].tolist(), dtype=kind).reshape(len(frame), -1)
+        matrix = lambda frame, col, kind: np.concatenate(frame[col].to_numpy()).astype(kind, copy=False).reshape(len(frame), -1)
         found = _search(
             candidates["id"].to_numpy(), matrix(candidates, "v", np.int64), matrix(candidates, "pt", np.float64),
             queries["id"].to_numpy(), matrix(queries, "v", np.int64), matrix(queries, "pt", np.float64), queries["least"].to_numpy(), k,
