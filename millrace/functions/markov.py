@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,6 +80,35 @@ def replay(labels: np.ndarray, params: Params) -> np.ndarray:
     return p
 
 
+def count_transitions(labels: np.ndarray):
+    """(window, source, target, n, total) of each distinct transition of each window: how often it stands, and how often its source does."""
+    a, b = labels[:, :-1], labels[:, 1:]
+    same_source = a[:, :, None] == a[:, None, :]
+    same = same_source & (b[:, :, None] == b[:, None, :])
+    window, place = np.nonzero(same.argmax(axis=2) == np.arange(a.shape[1]))  # the first of its like
+    return window, a[window, place], b[window, place], same.sum(axis=2)[window, place], same_source.sum(axis=2)[window, place]
+
+
+def transition_rows(wins, params: Params):
+    """(machine, sensor, ordinal, source, target, n, total) of windows (machine, sensor, ordinal, win, k); no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                x = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                labels = label_windows(x, part.column(4).to_numpy(zero_copy_only=False), params)
+                window, *told = count_transitions(labels)
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                keys = [part.column(i).take(pa.array(window)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, *(pa.array(c, k) for c, k in zip(told, kinds))], names=["machine", "sensor", "ordinal", "source", "target", "n", "total"]
+                )
+
+    schema = "machine int, sensor int, ordinal long, source int, target int, n long, total long"
+    return wins.select("machine", "sensor", "ordinal", "win", "k").mapInArrow(run, schema)
+
+
 def _windows(values: pd.Series) -> np.ndarray:
     return np.array(values.tolist(), dtype=np.float64).reshape(len(values), -1)
 
@@ -135,22 +165,6 @@ def labels_expr(values: Column, k: Column, params: Params) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(params.iterations)), start, step)["l"]
 
 
-def counts_expr(labels: Column, window: int) -> Column:
-    """(source, target, n, total) of each distinct transition of a window's labels."""
-    n = window - 1
-    pairs = F.arrays_zip(F.slice(labels, 1, n).alias("a"), F.slice(labels, 2, n).alias("b"))
-    count = lambda test: F.size(F.filter(pairs, test)).cast("long")
-    return F.transform(
-        F.array_distinct(pairs),
-        lambda t: F.struct(
-            t["a"].alias("source"),
-            t["b"].alias("target"),
-            count(lambda q: (q["a"] == t["a"]) & (q["b"] == t["b"])).alias("n"),
-            count(lambda q: q["a"] == t["a"]).alias("total"),
-        ),
-    )
-
-
 def transitions_expr(labels: Column, params: Params) -> Column:
     """(source, target, count, total) of each transition replayed, in order."""
     pairs = F.arrays_zip(F.slice(labels, 1, params.window - 1).alias("a"), F.slice(labels, 2, params.window - 1).alias("b"))

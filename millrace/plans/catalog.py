@@ -230,8 +230,7 @@ def kmeans_labels(spark, sf_dir):
 )
 def markov_transitions(spark, sf_dir):
     """Transition counts and row totals, as relations: counted within each window's own row, so nothing is shuffled for them."""
-    labels = _windows(spark, sf_dir).select("machine", "sensor", "ordinal", markov.labels_udf(P)("win", "k").alias("lab"))
-    return labels.select("machine", "sensor", "ordinal", F.inline(markov.counts_expr(F.col("lab"), P.window)))
+    return markov.transition_rows(_windows(spark, sf_dir), P)
 
 
 @_query("markov_prob", f"WITH RECURSIVE {_KMEANS} SELECT * FROM scores")
@@ -312,7 +311,7 @@ def render_ntriples(spark, sf_dir):
 @_query("detect_end_to_end", _rendered(_DETECT))
 def detect_end_to_end(spark, sf_dir):
     """From messages and the metadata graph to rendered anomalies, as the detector is meant to run."""
-    known = metadata.checked(metadata.match_pattern(_triples(spark, sf_dir)))
+    known = metadata.checked(materialize(metadata.match_pattern(_triples(spark, sf_dir)), "metadata"))
     readings = graph.parse_any_order(_turned(_messages(spark, sf_dir)), known=known)
     return _as_rendered(detect.detect(readings, known, P))
 
