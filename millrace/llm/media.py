@@ -32,6 +32,8 @@ from millrace.llm._common import clear, lookup, materialize, shared_path
 UNIT = 64
 #: A task begins a new shard beyond this size; level of the images' zlib stream.
 SHARD_BYTES, LEVEL = 64 << 20, 6
+#: Bytes of a shard that are read together.
+READ_BYTES = 1 << 20
 #: Bytes of an image up to the end of its IHDR chunk.
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -201,7 +203,7 @@ def _over_shards(where: DataFrame, made, schema: str) -> DataFrame:
             file.close()
 
     names = [c.split()[0] for c in schema.split(", ")]
-    spread = where.repartition("shard", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("shard", "offset")
+    spread = where.repartition("shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
     return spread.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
 
 
