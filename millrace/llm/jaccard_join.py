@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._common import clear, connected_components, fresh, in_slices, lookup, materialize
-from millrace.llm._shingles import Buckets, shingle_sets
+from millrace.llm._shingles import Buckets, mix, shingle_sets
 
 #: Members of a block and their shingles, on average at most; groups have as many blocks as they need.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
@@ -94,62 +94,67 @@ def _sets(met: DataFrame, width: int) -> DataFrame:
     return met.mapInArrow(run, "id long, n int, shingles binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(token, id) for each probe of each class."""
+def _postings(classes: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(token, id, salt) for each probe of each class; ``salt`` deals the classes of the tokens in ``hot``, sorted, and is 0 for others."""
 
     def run(batches):
         for batch in in_slices(batches):
             tokens = [np.frombuffer(p, dtype=np.int64) for p in batch.column(1).to_pylist()]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t in tokens])
             all_tokens = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
+            salt = np.where(_among(all_tokens, hot), mix(ids.astype(np.uint64)) % np.uint64(TOKEN_SALTS), np.uint64(0)).astype(np.int32)
             for i in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(all_tokens[i : i + 100_000]), pa.array(ids[i : i + 100_000], pa.int64())], names=["token", "id"]
-                )
+                cols = (x[i : i + 100_000] for x in (all_tokens, ids, salt))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32()))], names=["token", "id", "salt"])
 
-    return classes.select("id", "probes").mapInArrow(run, "token long, id long")
+    return classes.select("id", "probes").mapInArrow(run, "token long, id long, salt int")
 
 
-def _hot_tokens(postings: DataFrame, classes: int) -> DataFrame:
-    """Tokens that stand at least HOT_TOKEN times among about LOOKED_AT of the classes: how rows are dealt, never what comes out."""
-    every = max(1, classes // LOOKED_AT)
-    some = postings.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
-    return some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TOKEN).select(F.col("token").alias("hot"))
+def _among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether each of ``x`` is in ``few``, which is sorted."""
+    return few[np.minimum(np.searchsorted(few, x), len(few) - 1)] == x if len(few) else np.zeros(len(x), dtype=bool)
 
 
-def _shared(postings: DataFrame, hot: DataFrame, spent: list[str]) -> DataFrame:
-    """(token, id) of the tokens that two classes or more have. ``hot``: tokens that many have, a bounded number.
+def _hot_tokens(classes: DataFrame, number: int) -> np.ndarray:
+    """Tokens that stand at least HOT_TOKEN times among about LOOKED_AT of the classes, sorted: how rows are dealt, never what comes out.
+
+    They are bounded by the probes of that many classes over HOT_TOKEN.
+    """
+    every = max(1, number // LOOKED_AT)
+    some = _postings(classes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), np.empty(0, np.int64))
+    found = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TOKEN).select("token").collect()
+    return np.sort(np.array([r["token"] for r in found], dtype=np.int64))
+
+
+def _shared(postings: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(token, id) of the postings whose token two classes or more have.
 
     Tokens come together by one shuffle, hot ones dealt over several tasks by class, and are
     read as a sorted stream: a row is told by its neighbours, so memory is bounded by a batch
     however long a run is. Hot tokens have many classes as it is.
     """
-    hot = materialize(hot, "jaccard-hot", spent=spent)
-    marked = postings.join(F.broadcast(hot), F.col("token") == F.col("hot"), "left")
-    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(TOKEN_SALTS))).otherwise(0).cast("int")
-    dealt = marked.select("token", "id", salt.alias("salt"), F.col("hot").isNotNull().alias("many"))
-    dealt = dealt.repartition("token", "salt").sortWithinPartitions("token", "id")
+    dealt = postings.repartition("token", "salt").select("token", "id").sortWithinPartitions("token", "id")
 
     def run(batches):
         before, held = None, None  # token of the row before the held one; the held row
 
-        def told(token, ids, many, last_next):
+        def told(token, ids, last_next):
             same_next = np.concatenate((token[1:] == token[:-1], [last_next]))
             same_prev = np.concatenate(([before is not None and before == token[0]], token[1:] == token[:-1]))
-            keep = same_next | same_prev | many
+            keep = same_next | same_prev | _among(token, hot)
             return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ids[keep])], names=["token", "id"])
 
         for batch in batches:
-            token, ids, many = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            token, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if held is not None:
-                token, ids, many = (np.concatenate(([h], x)) for h, x in zip(held, (token, ids, many)))
+                token, ids = np.concatenate(([held[0]], token)), np.concatenate(([held[1]], ids))
             if len(token) > 1:
-                yield told(token[:-1], ids[:-1], many[:-1], token[-1] == token[-2])
+                yield told(token[:-1], ids[:-1], token[-1] == token[-2])
                 before = token[-2]
             if len(token):
-                held = (token[-1], ids[-1], many[-1])
+                held = (token[-1], ids[-1])
         if held is not None:
-            yield told(*(np.array([h]) for h in held), False)
+            yield told(np.array([held[0]], np.int64), np.array([held[1]], np.int64), False)
 
     return dealt.mapInArrow(run, "token long, id long")
 
@@ -306,8 +311,9 @@ def jaccard_components(
 
 def _class_components(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int, spent: list[str]) -> DataFrame:
     """(id, component) of the classes that link with another, by their numbers."""
-    postings = _postings(classes.select(F.col("cls").alias("id"), "probes"))
-    shared = materialize(_shared(postings, _hot_tokens(postings, classes.count()), spent).distinct(), "jaccard-shared", "lz4", spent)
+    probed = classes.select(F.col("cls").alias("id"), "probes")
+    hot = _hot_tokens(probed, classes.count())
+    shared = materialize(_shared(_postings(probed, hot), hot).distinct(), "jaccard-shared", "lz4", spent)
     ids = materialize(shared.select("id").distinct(), "jaccard-ids", spent=spent)
     # Each class's text is found by a hash of (id, tid) and told by its digest.
     wanted = classes.join(ids, F.col("cls") == F.col("id"), "left_semi").select(F.xxhash64("head", "htid").alias("at"), "cls", "hd")
