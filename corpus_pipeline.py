@@ -86,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, spent = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         past, spent = spent, []
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", spent=spent)
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", "zstd", spent)
         clear(spark, past)
     return STAGES[-1][1](spark, docs, sf_dir)

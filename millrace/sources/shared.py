@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd", spent: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "lz4", spent: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs only the tasks that ran on it, never the chain
@@ -50,12 +51,18 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd", spent: lis
 
 
 def clear(spark: SparkSession, spent: list[str]) -> None:
-    """Deletes the tables at these paths and empties the list."""
+    """Deletes the tables at these paths, empties the list, and lets Spark forget what was made from them.
+
+    Executors keep broadcasts and shuffle files until the driver's collector finds that nothing
+    refers to them any more; a driver with little garbage of its own hardly ever looks.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in spent:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
     spent.clear()
+    gc.collect()
+    jvm.java.lang.System.gc()
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, tkey: str, how: str = "inner", total: int | None = None) -> DataFrame:
