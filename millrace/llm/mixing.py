@@ -193,6 +193,6 @@ def in_mixture_order(
     placed = _mixed(rows, [F.col("key")], F.xxhash64("key"), weights, block_rows, chunks)
     k, position = fresh(df, "__key", "__position")
     first = placed.groupBy(F.col("key").alias(k)).agg(F.min("position").alias(position))
-    joined = materialize(df.join(first, key == F.col(k)).drop(k), "mix-joined")
+    joined = materialize(df.join(first, key == F.col(k)).drop(k), "mix-joined", "zstd")
     clear(df.sparkSession, spent)
     return joined.repartitionByRange(position).sortWithinPartitions(position).drop(position)

@@ -251,7 +251,7 @@ def write_token_files(
                 [pa.array(at, pa.int32()), ids, hashes, pa.array(coded, pa.binary())], names=["segment", "doc_id", "h", "ids"]
             )
 
-    encoded = materialize(narrow.mapInArrow(encode, "segment int, doc_id long, h long, ids binary"), "token-ids", spent=spent)
+    encoded = materialize(narrow.mapInArrow(encode, "segment int, doc_id long, h long, ids binary"), "token-ids", "zstd", spent)
 
     def count(batches):
         total = np.zeros(wide, dtype=np.int64)
