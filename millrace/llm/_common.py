@@ -8,10 +8,22 @@ from pyspark.sql.window import Window
 
 from millrace.sources.shared import clear, lookup, materialize, shared_path
 
-__all__ = ["clear", "connected_components", "fresh", "gapless_rank", "in_slices", "lookup", "materialize", "read_table", "shared_path"]
+__all__ = ["bound_batches", "clear", "connected_components", "fresh", "gapless_rank", "in_slices", "lookup", "materialize", "read_table", "shared_path"]
+
+
+#: Rows of an Arrow batch at most: whole texts travel in them, and both sides hold a batch in memory.
+ARROW_ROWS = 4096
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_ROWS rows where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
