@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, jaccard_join, mixing, pii, toxicity
-from millrace.llm._common import clear, materialize, read_table
+from millrace.llm._common import bound_batches, clear, materialize, read_table
 from millrace.llm.queries import tokenizer_path
 
 
@@ -39,6 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts stands for several documents; of a row that repeats one stays; an empty table stays
     empty. Other columns are passed on.
     """
+    bound_batches(spark)
     return jaccard_join.keep_one_of_each(docs, width=5, num=80, den=100)
 
 
@@ -48,6 +49,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Every row stays, null and empty texts as they are; an empty table stays empty. Other
     columns are passed on.
     """
+    bound_batches(spark)
     return pii.mask_pii(docs, pii.fit_tagger(docs))
 
 
@@ -57,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays; rows that agree in id, source and text keep together; an empty table
     stays empty. Other columns are passed on.
     """
+    bound_batches(spark)
     return mixing.in_mixture_order(docs)
 
 
@@ -66,6 +69,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens; null ids stay null; repeated rows each give a row; an
     empty table gives none.
     """
+    bound_batches(spark)
     return bpe.bpe_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
