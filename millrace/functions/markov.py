@@ -16,70 +16,113 @@ from pyspark.sql import functions as F
 from millrace.config import Params
 
 
+#: Windows that the kernel takes at once, so that what it holds of them stays in a core's cache.
+CHUNK = 2048
+
+
+def _kind(*sizes: int):
+    return np.int8 if max(sizes) < 127 else np.int32
+
+
 def seed_centres(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The first k distinct values of each window in order, ascending; missing ones are inf."""
-    n, w = x.shape
+    """The first k distinct values of each window (a column of ``x``) in order, ascending; missing ones are inf."""
+    w, n = x.shape
     top = int(k.max(initial=1))
-    out, have = np.full((n, top), np.inf), np.zeros(n, dtype=np.int64)
+    out, have = np.full((top, n), np.inf), np.zeros(n, dtype=np.int64)
     for i in range(w):
-        new = (have < k) & ~(out == x[:, i : i + 1]).any(axis=1)
-        out[new, have[new]] = x[new, i]
-        have += new
-    return np.sort(out, axis=1)
+        new = have < k
+        for j in range(min(i, top)):
+            new &= out[j] != x[i]
+        at = np.flatnonzero(new)
+        out[have[at], at] = x[i, at]
+        have[at] += 1
+    return np.sort(out, axis=0)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The label of the nearest centre of each value; of two as near, the higher."""
-    top = centres.shape[1]
-    distance = np.abs(x[:, :, None] - centres[:, None, ::-1])
-    return top - 1 - distance.argmin(axis=2)
+    """The label of the nearest centre of each value, windows and their centres in columns; of two as near, the higher."""
+    kind = _kind(len(centres), len(x))
+    labels, least = np.zeros(x.shape, dtype=kind), np.abs(x - centres[0])
+    for j in range(1, len(centres)):
+        distance = np.abs(x - centres[j])
+        np.maximum(labels, (distance <= least).astype(kind) * kind(j), out=labels)
+        np.minimum(least, distance, out=least)
+    return labels
 
 
-def label_windows(x: np.ndarray, k: np.ndarray, params: Params) -> np.ndarray:
-    """Labels of the last assignment of each window. A round that leaves a cluster empty ends a window's rounds before its centres move."""
-    n, w = x.shape
-    labels = np.zeros((n, w), dtype=np.int64)
-    if not n:
-        return labels
+def _label_columns(x: np.ndarray, k: np.ndarray, params: Params) -> np.ndarray:
+    """Labels of the last assignment of each window, windows in columns. A round that leaves a cluster empty ends a window's rounds before its centres move."""
+    w, n = x.shape
     if not np.isfinite(x).all():
         raise ValueError("a window holds a value that is not a number; drop those before windowing")
-    centres = seed_centres(x, k)
-    live = np.arange(n)
-    for _ in range(params.iterations):
-        if not len(live):
+    centres, live = seed_centres(x, k), np.arange(n)
+    labels = np.zeros((w, n), dtype=_kind(len(centres), w))
+    for left in reversed(range(params.iterations)):
+        lab = nearest(x, centres)
+        means, moved, full = np.empty_like(centres), np.zeros(len(live)), np.ones(len(live), dtype=bool)
+        for j, centre in enumerate(centres):
+            own, total, real = lab == j, np.zeros(len(live)), np.isfinite(centre)
+            counts = np.add.reduce(own, axis=0, dtype=labels.dtype)
+            for row in np.where(own, x, 0.0):  # in window order
+                total += row
+            full &= ~real | (counts > 0)
+            means[j] = np.where(real, total / np.maximum(counts, 1), np.inf)
+            moved += np.abs(np.where(real, means[j], 0) - np.where(real, centre, 0))
+        go_on = full & (moved > params.epsilon) & (left > 0)
+        labels[:, live[~go_on]] = np.compress(~go_on, lab, axis=1)
+        if not go_on.any():
             break
-        c, v = centres[live], x[live]
-        lab = nearest(v, c)
-        labels[live] = lab
-        sums, counts, rows = np.zeros_like(c), np.zeros_like(c), np.arange(len(live))
-        for i in range(w):
-            sums[rows, lab[:, i]] += v[:, i]
-            counts[rows, lab[:, i]] += 1
-        real = np.isfinite(c)
-        full = ~(real & (counts == 0)).any(axis=1)
-        means = np.where(real, sums / np.where(counts == 0, 1, counts), np.inf)
-        moved = np.zeros(len(live))
-        for j in range(c.shape[1]):
-            moved += np.where(real[:, j], np.abs(np.where(real[:, j], means[:, j], 0) - np.where(real[:, j], c[:, j], 0)), 0)
-        go_on = full & (moved > params.epsilon)
-        centres[live[full]] = means[full]
-        live = live[go_on]
+        live, x, centres = live[go_on], np.compress(go_on, x, axis=1), np.compress(go_on, means, axis=1)
     return labels
 
 
-def replay(labels: np.ndarray, params: Params) -> np.ndarray:
-    """Product of the probabilities of the last transitions under the window's own transition counts; 1 where there are too few."""
-    n, w = labels.shape
+def label_windows(x: np.ndarray, k: np.ndarray, params: Params) -> np.ndarray:
+    """Labels of each window (a row of ``x``)."""
+    labels = np.zeros(x.shape, dtype=np.int64)
+    for at in range(0, len(x), CHUNK):
+        labels[at : at + CHUNK] = _label_columns(np.ascontiguousarray(x[at : at + CHUNK].T), k[at : at + CHUNK], params).T
+    return labels
+
+
+def _replay_columns(labels: np.ndarray, params: Params) -> np.ndarray:
+    w, n = labels.shape
     p = np.ones(n)
     if params.transitions >= w:
         return p
-    a, b = labels[:, :-1], labels[:, 1:]
+    a, b = labels[:-1], labels[1:]
+    count = lambda flags: np.add.reduce(flags, axis=0, dtype=_kind(w)).astype(np.float64)
     for i in range(w - params.transitions, w):
-        start = a == labels[:, i - 1 : i]
-        p *= (start & (b == labels[:, i : i + 1])).sum(axis=1) / start.sum(axis=1)
+        start = a == labels[i - 1]
+        p *= count(start & (b == labels[i])) / count(start)
     return p
 
 
+def replay(labels: np.ndarray, params: Params) -> np.ndarray:
+    """Product of the probabilities of the last transitions under the window's own transition counts; 1 where there are too few."""
+    return _replay_columns(np.ascontiguousarray(labels.T), params)
+
+
+def score_columns(params: Params):
+    """For :func:`millrace.operators.windows.map_windows`: the probabilities of windows in columns."""
+    return lambda x, k: pa.array(_replay_columns(_label_columns(x, k, params), params))
+
+
+def text_of_labels(labels: np.ndarray) -> pa.Array:
+    """The labels of each window, a column, as text, with commas between."""
+    w, n = labels.shape
+    if labels.max(initial=0) > 9:
+        return pa.array([",".join(map(str, column)) for column in labels.T.tolist()], pa.string())
+    text = np.full((n, 2 * w - 1), ord(","), dtype=np.uint8)
+    text[:, ::2] = labels.T + ord("0")
+    ends = np.arange(n + 1, dtype=np.int32) * (2 * w - 1)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(text))
+
+
+def first_labels(x: np.ndarray, k: np.ndarray) -> pa.Array:
+    """For :func:`millrace.operators.windows.map_windows`: the labels of the first assignment, as text."""
+    return text_of_labels(nearest(x, seed_centres(x, k)))
+
+
 def count_transitions(labels: np.ndarray):
     """(window, source, target, n, total) of each distinct transition of each window: how often it stands, and how often its source does."""
     a, b = labels[:, :-1], labels[:, 1:]

@@ -9,17 +9,16 @@ from pyspark.sql.window import Window
 from millrace.config import Params
 from millrace.functions import markov
 from millrace.operators.metadata import sensors_per_machine
-from millrace.operators.windows import KEY, global_index, sliding_windows
+from millrace.operators.windows import KEY, global_index, map_windows, sliding_windows
 from millrace.sources.shared import materialize
 
 
 def score(readings: DataFrame, params: Params, k: Column, native: bool = False) -> DataFrame:
-    """SCORE rows of all full windows; ``native`` scores by expression instead of Arrow."""
+    """SCORE rows of all full windows; ``k`` is told by the key. ``native`` scores by expression instead of Arrow."""
+    if not native:
+        return map_windows(readings.withColumn("k", k), params.window, markov.score_columns(params), "probability", "double")
     wins = sliding_windows(readings, params.window).withColumn("k", k)
-    if native:
-        p = markov.probability_expr(markov.labels_expr(F.col("win"), F.col("k"), params), params)
-    else:
-        p = markov.probability_udf(params)("win", "k")
+    p = markov.probability_expr(markov.labels_expr(F.col("win"), F.col("k"), params), params)
     return wins.select(*KEY, "oldest_lts", "ordinal", p.alias("probability"))
 
 
@@ -111,8 +110,7 @@ def terminated(ends: DataFrame, expected: DataFrame) -> DataFrame:
 def score_known(readings: DataFrame, metadata: DataFrame, params: Params) -> DataFrame:
     """SCORE rows of the sensors that ``metadata`` (machine, sensor, k, ...) knows, each with its own number of clusters."""
     own = metadata.select("machine", "sensor", "k").distinct()
-    wins = sliding_windows(readings.join(own.select("machine", "sensor"), ["machine", "sensor"], "left_semi"), params.window)
-    return wins.join(own, ["machine", "sensor"]).select(*KEY, "oldest_lts", "ordinal", markov.probability_udf(params)("win", "k").alias("probability"))
+    return score(readings.join(own, ["machine", "sensor"]), params, F.col("k"))
 
 
 def detect(readings: DataFrame, metadata: DataFrame, params: Params) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.sources.shared import materialize
+from millrace.functions.markov import CHUNK
+from millrace.sources.shared import clear, materialize
 
 KEY = ("machine", "sensor")
 
@@ -24,6 +27,7 @@ def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     # The id that Spark gives is the number of the partition, shifted, plus the place in it.
     placed = dealt.withColumn(i, F.monotonically_increasing_id()).withColumn(r, F.shiftright(i, 33))
     placed = materialize(placed.withColumn(i, F.col(i).bitwiseAND((1 << 33) - 1)), "index")
+    clear(spark, [])  # the shuffle's files
     at, starts = 0, []
     for row in sorted(placed.groupBy(r).agg(F.count(F.lit(1)).alias(n)).collect(), key=lambda x: x[r]):
         starts.append((row[r], at))
@@ -51,6 +55,51 @@ def sliding_windows(readings: DataFrame, size: int, order: str = "lts", full_onl
     return out.where(F.col("ordinal") >= size - 1) if full_only else out
 
 
+def map_windows(readings: DataFrame, size: int, made, name: str, kind: str, order: str = "lts") -> DataFrame:
+    """(machine, sensor, oldest_lts, ordinal, ``name``) of each full window of ``size`` readings, by an Arrow kernel.
+
+    ``made(x, k)`` gives an Arrow array for windows in the columns of ``x``; ``k`` is a column of
+    ``readings``, and a sensor told with several has windows for each. Readings, not windows, go to Python: they are
+    dealt by key and sorted once, and a batch takes the last readings of the one before along.
+    Readings whose value isn't a finite number are left out before windows are cut.
+    """
+    names = ["machine", "sensor", "oldest_lts", "ordinal", name]
+
+    def run(batches):
+        tail, before = None, 0  # the last readings, and the place of the first of them in its key
+        for batch in batches:
+            old = 0 if tail is None else tail.num_rows
+            rows = batch if not old else pa.concat_batches([tail, batch])
+            if not batch.num_rows:
+                continue
+            fresh = np.ones(rows.num_rows, dtype=bool)
+            fresh[1:] = False
+            for c in (rows.column(0), rows.column(1), rows.column(4)):
+                known, key = c.is_valid().to_numpy(zero_copy_only=False), c.fill_null(0).to_numpy(zero_copy_only=False)
+                fresh[1:] |= (key[1:] != key[:-1]) | (known[1:] != known[:-1])
+            at = np.arange(rows.num_rows)
+            start = np.maximum.accumulate(np.where(fresh, at, 0))
+            ends = np.flatnonzero((at - start >= size - 1) & (at >= old))
+            value, k = rows.column(3).to_numpy(zero_copy_only=False), rows.column(4).to_numpy(zero_copy_only=False)
+            for i in range(0, len(ends), CHUNK):
+                e = ends[i : i + CHUNK]
+                first = e - (size - 1)
+                x = value[first + np.arange(size)[:, None]]
+                ordinal = e - start[e] + np.where(start[e] == 0, before, 0)
+                keys = [rows.column(0).take(pa.array(e)), rows.column(1).take(pa.array(e)), rows.column(2).take(pa.array(first))]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(ordinal, pa.int64()), made(x, k[e])], names=names)
+            left = max(start[-1], rows.num_rows - max(size - 1, 1))
+            before = left - start[-1] + (before if start[-1] == 0 else 0)
+            tail = rows.slice(left)
+
+    clean = readings.where(is_number(F.col("value"))).select(
+        *[F.col(c).cast("int").alias(c) for c in KEY], F.col("lts").cast("long").alias("lts"), F.col("value").cast("double").alias("value"),
+        F.col("k").cast("int").alias("k"), *([order] if order != "lts" else []),
+    )
+    dealt = clean.repartition(*KEY).sortWithinPartitions(*KEY, "k", order).select(*KEY, "lts", "value", "k")
+    return dealt.mapInArrow(run, f"machine int, sensor int, oldest_lts long, ordinal long, {name} {kind}")
+
+
 def is_number(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 

@@ -209,9 +209,9 @@ def kmeans_seed(spark, sf_dir):
 
 @_query("kmeans_assign", f"WITH {_WINS} SELECT machine, sensor, ordinal, array_to_string({_ASSIGN.format(c='seeds')}, ',') AS labels FROM seeded")
 def kmeans_assign(spark, sf_dir):
-    """The first assignment, by the expression form."""
-    labels = markov.assign_expr(F.col("win"), markov.seeds_expr(F.col("win"), F.lit(K)))
-    return _windows(spark, sf_dir).select("machine", "sensor", "ordinal", F.array_join(labels.cast("array<string>"), ",").alias("labels"))
+    """The first assignment."""
+    readings = tables.readings(spark, sf_dir).withColumn("k", F.lit(K))
+    return windows.map_windows(readings, P.window, markov.first_labels, "labels", "string").drop("oldest_lts")
 
 
 @_query("kmeans_labels", f"WITH RECURSIVE {_KMEANS} SELECT machine, sensor, ordinal, array_to_string(lab, ',') AS labels FROM labelled")
