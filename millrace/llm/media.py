@@ -170,7 +170,7 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             if shard is not None:
                 shard.close()
 
-    told = materialize(rows.drop("text"), "media-rows")
+    told = materialize(rows.drop("text"), "media-rows", "zstd")
     again = told.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.unhex("digest").alias("rdigest"))
     again = materialize(again, "media-repeated", spent=spent)
     again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
@@ -178,48 +178,53 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     single = rows.join(again, same, "left_anti").select("digest", "text")
     several = rows.join(again, same, "left_semi").select("digest", "text").dropDuplicates(["digest"])
     where = single.unionByName(several).mapInArrow(run, "digest string, shard string, offset long, length long")
-    where = materialize(where, "media-addresses")
+    where = materialize(where, "media-addresses", "zstd")
     clear(spark, spent)
     return told, where
 
 
 def _over_shards(where: DataFrame, made, schema: str) -> DataFrame:
-    """Runs ``made(file, digest, offset, length) -> row`` over members in the order in which they stand in their shards."""
+    """``where`` with the columns of ``made(file, offset, length)`` behind its own, over members in the order in which they stand in their shards.
+
+    What is known of a member travels with its address, so reads that follow one another need no joins.
+    """
 
     def run(batches):
         uri, file = None, None
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 rows = []
-                for digest, shard, offset, length in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns)):
+                part = batch.slice(i, 512)
+                for shard, offset, length in zip(*(part.column(c).to_pylist() for c in ("shard", "offset", "length"))):
                     if shard != uri:
                         if file is not None:
                             file.close()
                         store, path = _store(shard)
                         uri, file = shard, store.open_input_file(path)
-                    rows.append((digest, *made(file, offset, length)))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                    rows.append(made(file, offset, length))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in zip(*rows))], names=names)
         if file is not None:
             file.close()
 
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = where.columns + [c.split()[0] for c in schema.split(", ")]
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in where.schema)
     spread = where.repartition("shard", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("shard", "offset")
-    return spread.select("digest", "shard", "offset", "length").mapInArrow(run, schema)
+    return spread.mapInArrow(run, f"{kept}, {schema}")
 
 
 def media_metadata(where: DataFrame) -> DataFrame:
-    """(digest, width, height, bits) by reading the header of each image alone."""
+    """``where`` with (width, height, bits), by reading the header of each image alone."""
 
     def made(file, offset, length):
         return png_header(file.read_at(HEADER_BYTES, offset))
 
-    return _over_shards(where, made, "digest string, width long, height long, bits long")
+    return _over_shards(where, made, "width long, height long, bits long")
 
 
 def media_contents(where: DataFrame) -> DataFrame:
-    """What the stored bytes of each image hold, read back.
+    """``where`` with what the stored bytes of each image hold, read back.
 
-    (digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
+    (payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)
     """
 
     def made(file, offset, length):
@@ -237,7 +242,7 @@ def media_contents(where: DataFrame) -> DataFrame:
     return _over_shards(
         where,
         made,
-        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
 
 
@@ -253,10 +258,8 @@ def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spent: list[str] = []
     rows, where = store_media(df, id_col, text_col)
-    heads = materialize(media_metadata(where).withColumnRenamed("digest", "hdigest"), "media-heads", spent=spent)
-    contents = media_contents(where).withColumnRenamed("digest", "cdigest")
-    each = where.withColumnRenamed("digest", "adigest").join(heads, F.col("adigest") == F.col("hdigest"))
-    each = materialize(each.join(contents, F.col("adigest") == F.col("cdigest")).drop("hdigest", "cdigest"), "media-table")
+    heads = materialize(media_metadata(where), "media-heads", "zstd", spent)
+    each = materialize(media_contents(heads).withColumnRenamed("digest", "adigest"), "media-table", "zstd")
     clear(df.sparkSession, spent)
     return lookup(rows, "digest", each, "adigest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",

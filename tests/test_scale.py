@@ -53,3 +53,11 @@ def test_scores_of_readings_equal_those_of_windows(spark, readings):
     scored = detect.score_known(readings, told, params)
     assert scored.count() == want.count() > 0 and scored.exceptAll(want).isEmpty()
     assert "collect_list" not in plan_of(scored)
+
+
+def test_media_reads_need_no_joins(spark):
+    """op10: what the headers and the contents tell travels with the address."""
+    media = pytest.importorskip("millrace.llm.media")
+    where = media.store_media(spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string"))[1]
+    both = media.media_contents(media.media_metadata(where))
+    assert both.columns[:4] == where.columns and both.count() == 2 and "Join" not in plan_of(both)
