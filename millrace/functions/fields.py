@@ -45,8 +45,12 @@ def number_or_nan(line: Column) -> Column:
 
 
 def event_millis(line: Column) -> Column:
-    """Epoch milliseconds of a dateTime literal, its offset observed."""
-    return F.unix_millis(F.to_timestamp(literal(line), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    """Epoch milliseconds of a line's dateTime literal, its offset observed."""
+    return millis(literal(line))
+
+
+def millis(text: Column) -> Column:
+    return F.unix_millis(F.to_timestamp(text, "yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
 def machine_type(line: Column) -> Column:

@@ -10,7 +10,7 @@ from millrace.config import Params
 from millrace.functions import markov
 from millrace.operators.metadata import sensors_per_machine
 from millrace.operators.windows import KEY, global_index, map_windows, sliding_windows
-from millrace.sources.shared import materialize
+from millrace.sources.shared import few, materialize
 
 
 def score(readings: DataFrame, params: Params, k: Column, native: bool = False) -> DataFrame:
@@ -110,7 +110,7 @@ def terminated(ends: DataFrame, expected: DataFrame) -> DataFrame:
 def score_known(readings: DataFrame, metadata: DataFrame, params: Params) -> DataFrame:
     """SCORE rows of the sensors that ``metadata`` (machine, sensor, k, ...) knows, each with its own number of clusters."""
     own = metadata.select("machine", "sensor", "k").distinct()
-    return score(readings.join(own, ["machine", "sensor"]), params, F.col("k"))
+    return score(readings.join(few(own), ["machine", "sensor"]), params, F.col("k"))
 
 
 def detect(readings: DataFrame, metadata: DataFrame, params: Params) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import fields
+from millrace.functions import fields, lines
 from millrace.schema import I40, IOT, RESOURCE, RESULT, SSN, TERMINATION, TYPE, WMD, XSD
+from millrace.sources.shared import few
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -24,27 +25,27 @@ def parse_triples(lines: DataFrame, column: str) -> DataFrame:
 def render_groups(groups: DataFrame, keep: list[str] = ()) -> DataFrame:
     """(group, payload), after the columns ``keep``, of rows (group, machine, ts timestamp, cycle, observations array of struct(sensor, value))."""
     g, ts = F.col("group").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    iri = lambda *x: F.concat(F.lit(f"<{RESOURCE}"), *[F.lit(y) if isinstance(y, str) else y for y in x], F.lit(">"))
-    line = lambda s, p, o: F.concat(s, F.lit(f" <{p}> "), o, F.lit(" ."))
-    named = lambda n: F.lit(f"<{n}>")
-    typed = lambda v, kind: F.concat(F.lit('"'), v, F.lit(f'"^^<{XSD}{kind}>'))
+    # Lines are lists of text and columns, so that neighbouring text becomes one literal.
+    iri = lambda *x: [f"<{RESOURCE}", *x, ">"]
+    line = lambda s, p, o: [*s, f" <{p}> ", *o, " ."]
+    named = lambda n: [f"<{n}>"]
+    typed = lambda v, kind: ['"', *v, f'"^^<{XSD}{kind}>']
     group, time, cycle = iri("ObservationGroup_", g), iri("Timestamp_", g), iri("Cycle_", g)
     head = [
         line(group, TYPE, named(I40 + "MoldingMachineObservationGroup")),
         line(group, SSN + "observationResultTime", time),
-        line(group, I40 + "machine", F.concat(F.lit(f"<{WMD}Machine_"), F.col("machine").cast("string"), F.lit(">"))),
+        line(group, I40 + "machine", [f"<{WMD}Machine_", F.col("machine").cast("string"), ">"]),
         line(group, I40 + "observedCycle", cycle),
         line(cycle, TYPE, named(I40 + "Cycle")),
-        line(cycle, IOT + "valueLiteral", typed(F.col("cycle").cast("string"), "int")),
+        line(cycle, IOT + "valueLiteral", typed([F.col("cycle").cast("string")], "int")),
         line(time, TYPE, named(IOT + "Timestamp")),
-        line(time, IOT + "valueLiteral", typed(F.concat(ts, F.lit("+00:00")), "dateTime")),
+        line(time, IOT + "valueLiteral", typed([ts, "+00:00"], "dateTime")),
     ]
 
-    def body(o: Column, i: Column) -> Column:
-        n = (F.col("group") * 1000 + i).cast("string")
-        obs, out, val = iri("Observation_", n), iri("Output_", n), iri("Value_", n)
-        prop = F.concat(F.lit(f"<{WMD}_"), F.col("machine").cast("string"), F.lit("_"), o["sensor"].cast("string"), F.lit(">"))
-        return F.array(
+    def body(o: Column) -> list:
+        obs, out, val = iri("Observation_", o["n"]), iri("Output_", o["n"]), iri("Value_", o["n"])
+        prop = [f"<{WMD}_", F.col("machine").cast("string"), "_", o["sensor"], ">"]
+        return [
             line(group, I40 + "contains", obs),
             line(obs, TYPE, named(I40 + "MoldingMachineObservation")),
             line(obs, SSN + "observationResult", out),
@@ -52,67 +53,63 @@ def render_groups(groups: DataFrame, keep: list[str] = ()) -> DataFrame:
             line(out, TYPE, named(SSN + "SensorOutput")),
             line(out, SSN + "hasValue", val),
             line(val, TYPE, named(I40 + "NumberValue")),
-            line(val, IOT + "valueLiteral", typed(o["value"].cast("string"), "double")),
-        )
+            line(val, IOT + "valueLiteral", typed([o["value"]], "double")),
+        ]
 
-    lines = F.concat(F.array(*head), F.flatten(F.transform("observations", body)))
-    return groups.select(*keep, "group", F.array_join(lines, "\n").alias("payload"))
+    # What stands in several lines is made into text once.
+    told = lambda o, i: F.struct((F.col("group") * 1000 + i).cast("string").alias("n"), o["sensor"].cast("string").alias("sensor"), o["value"].cast("string").alias("value"))
+    each = F.transform(F.transform("observations", told), lambda o: _joined(body(o)))
+    return groups.select(*keep, "group", F.when(F.col("observations").isNotNull(), F.concat_ws("\n", _joined(head), each)).alias("payload"))
+
+
+def _joined(lines: list[list]) -> Column:
+    """Lines of text and columns as one text; a line with a null is left out."""
+    parts = []
+    for part in [x for line in lines for x in ["\n", *line]][1:]:
+        if parts and isinstance(part, str) and isinstance(parts[-1], str):
+            parts[-1] += part
+        else:
+            parts.append(part)
+    whole = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    kept = [F.concat(*[F.lit(x) if isinstance(x, str) else x for x in line]) for line in lines]
+    return F.coalesce(whole, F.nullif(F.concat_ws("\n", *kept), F.lit("")))
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is made once a row: neither a filter on it nor what reads it twice makes it again, as the planner moves neither through a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _text(messages: DataFrame, column: str) -> DataFrame:
+    """Adds ``__text``: messages as one text each, without the end-of-stream mark."""
+    return _once(messages, F.col(column).cast("string"), "__text").where(~F.col("__text").startswith("~"))
 
 
 def _data(messages: DataFrame, column: str) -> DataFrame:
     """Messages as arrays of lines, without the end-of-stream mark."""
-    return messages.where(~F.col(column).cast("string").startswith("~")).withColumn("lines", F.split(F.col(column).cast("string"), "\n"))
+    return _text(messages, column).withColumn("lines", F.split("__text", "\n"))
 
 
 def _needed(found: Column, what: str) -> Column:
     return F.coalesce(found, F.raise_error(F.lit(f"message without {what}")).cast("long"))
 
 
-def _between(line: Column, before: str, after: str) -> Column:
-    """What stands between the last ``before`` of the part up to the first ``after``; cheaper than a pattern."""
-    return F.substring_index(F.substring_index(line, after, 1), before, -1)
-
-
 def parse_any_order(messages: DataFrame, column: str = "payload", known: DataFrame | None = None, keep: list[str] = ()) -> DataFrame:
     """READING rows of messages whose lines may stand in any order, after the columns ``keep``; no shuffle, each message is parsed in its row.
 
-    Each line is looked at once: values go into a map by their observation, and properties
-    look theirs up before anything is exploded. A message without machine or time is an error;
+    Python looks for the telling lines of a message, its values go into a dict by their
+    observation, and properties look theirs up. A message without machine or time is an error;
     observations without a value, or whose (machine, sensor) isn't in ``known``, are left out
     before values are parsed. Of several values of one observation the last counts.
     """
-    data = _data(messages, column)
-    one = lambda test: F.get(F.filter("lines", test), F.lit(0))
-    number = lambda x: _between(F.substring_index(x, " ", 1), "_", ">").try_cast("long")
-    prop = lambda x: F.struct(number(x).alias("obs"), _between(F.substring_index(x, "#_", -1), "_", ">").try_cast("int").alias("sensor"))
-    value = lambda x: F.struct(number(x).alias("obs"), _between(F.substring_index(x, '"', 2), '"', "\n").alias("text"))
-    data = data.select(
-        *keep,
-        fields.machine_number(one(lambda x: x.contains(f"<{I40}machine>"))).alias("machine"),
-        one(lambda x: x.contains("#Timestamp_") & x.contains(f"<{IOT}valueLiteral>")).alias("time"),
-        F.transform(F.filter("lines", lambda x: x.contains(f"<{SSN}observedProperty>")), prop).alias("props"),
-        F.transform(F.filter("lines", lambda x: x.startswith(f"<{RESOURCE}Value_") & x.contains(f"<{IOT}valueLiteral>")), value).alias("values"),
-    )
-    values = F.filter("values", lambda v: v["obs"].isNotNull())
-    keys = F.transform(values, lambda v: v["obs"])
-    last = F.filter(values, lambda v, i: ~F.exists(F.slice(values, i + 2, F.size(values)), lambda w: w["obs"] == v["obs"]))
-    entries = F.when(F.size(F.array_distinct(keys)) == F.size(keys), values).otherwise(last)
-    # Bound by a lambda, the map is made once per message and not once per look-up.
-    found = F.transform(
-        F.array(F.map_from_entries(entries)),
-        lambda m: F.transform("props", lambda p: F.struct(p["sensor"].alias("sensor"), F.try_element_at(m, p["obs"]).alias("text"))),
-    )
-    data = data.select(
-        *keep,
-        _needed(F.col("machine"), "machine").cast("int").alias("machine"),
-        _needed(fields.event_millis(F.col("time")), "time").alias("ts"),
-        _needed(fields.logical_time(F.col("time")), "time").alias("lts"),
-        F.inline(F.get(found, F.lit(0))),
-    ).where("sensor is not null and text is not null")
+    texts = _text(messages, column).select(*keep, "__text")
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in texts.schema[:-1])
+    data = texts.mapInArrow(lines.read_messages, f"{kept}machine long, lts long, said string, sensor int, text string")
+    data = data.withColumn("machine", F.col("machine").cast("int"))
     if known is not None:
-        data = data.join(known.select("machine", "sensor").distinct(), ["machine", "sensor"], "left_semi")
+        data = data.join(few(known.select("machine", "sensor").distinct()), ["machine", "sensor"], "left_semi")
     number = F.coalesce(F.col("text").try_cast("double"), F.lit(float("nan")))
-    return data.select(*keep, "machine", "sensor", "ts", "lts", number.alias("value"))
+    return data.select(*keep, "machine", "sensor", _needed(fields.millis(F.col("said")), "time").alias("ts"), "lts", number.alias("value"))
 
 
 def parse_in_order(messages: DataFrame, column: str = "payload") -> DataFrame:
@@ -141,12 +138,12 @@ def numbered_lines(messages: DataFrame, id_col: str = "group", column: str = "pa
 
 def triple_facts(messages: DataFrame, id_col: str = "group", column: str = "payload") -> DataFrame:
     """One sparse row (id, ts, machine, obs, sensor, value) per telling line: a time, a property or a value."""
-    lines = numbered_lines(messages, id_col, column)
+    numbered = numbered_lines(messages, id_col, column)
     line = F.col("line")
     time = line.contains(f"<{SSN}observationResultTime>")
     prop = line.contains(f"<{SSN}observedProperty>")
     value = line.endswith(f"<{XSD}double> .")
-    return lines.where(time | prop | value).select(
+    return numbered.where(time | prop | value).select(
         "id",
         F.when(time, fields.logical_time(line)).alias("ts"),
         F.when(prop, fields.sensor_machine(line)).alias("machine"),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 #: A key with at least one in so many of all rows is hot; there are so many at most.
 HOT = 1000
+#: Up to so many rows of small numbers are broadcast.
+FEW = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,11 @@ def clear(spark: SparkSession, spent: list[str]) -> None:
     jvm.java.lang.System.gc()
 
 
+def few(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has FEW rows of a few numbers at most."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def lookup(rows: DataFrame, key: str, table: DataFrame, tkey: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table`` on ``key`` = ``tkey``, where ``tkey`` is unique and some keys hold a large share of the rows.
 
