@@ -444,7 +444,7 @@ def parse_io(spark, sf_dir):
 
 @_query("parse_triples", f"WITH {_READINGS} SELECT * FROM readings")
 def parse_triples(spark, sf_dir):
-    return graph.join_facts(graph.triple_facts(_messages(spark, sf_dir)))
+    return graph.parse_facts(_messages(spark, sf_dir))
 
 
 def _fates(gaps: str) -> str:

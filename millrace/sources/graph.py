@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import fields, lines
 from millrace.schema import I40, IOT, RESOURCE, RESULT, SSN, TERMINATION, TYPE, WMD, XSD
-from millrace.sources.shared import few
+from millrace.sources.shared import few, materialize
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
@@ -161,6 +161,27 @@ def join_facts(facts: DataFrame) -> DataFrame:
     return prop.join(value, ["id", "obs"]).join(time, "id").select("machine", "sensor", "lts", "value")
 
 
+def parse_facts(messages: DataFrame, id_col: str = "group", column: str = "payload") -> DataFrame:
+    """As :func:`join_facts` of :func:`triple_facts`, message by message: its facts are joined where they are read.
+
+    Messages whose id comes more than once are read as facts and joined by a shuffle, since
+    theirs meet across messages; a message without id has no readings.
+    """
+    ids = messages.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    again = materialize(ids.where("__n > 1").select("__id"), "repeated")
+    number = F.coalesce(F.col("text").try_cast("double"), F.lit(float("nan")))
+    if again.isEmpty():
+        once = messages.where(F.col(id_col).isNotNull())
+    else:
+        once = messages.join(again, F.col(id_col) == F.col("__id"), "left_anti").where(F.col(id_col).isNotNull())
+    found = _text(once, column).select("__text").mapInArrow(lines.read_facts, "machine int, sensor int, lts long, text string")
+    found = found.select("machine", "sensor", "lts", number.alias("value"))
+    if again.isEmpty():
+        return found
+    several = messages.join(again, F.col(id_col) == F.col("__id"), "left_semi")
+    return found.unionByName(join_facts(triple_facts(several, id_col, column)))
+
+
 def render_anomalies(anomalies: DataFrame, transitions: int, fixed: bool = False) -> DataFrame:
     """Adds ``ntriples``: the five lines of an anomaly. ``fixed`` writes six decimals and ends the last line."""
     n = F.col("anomaly_id").cast("string")
