@@ -14,19 +14,20 @@ from millrace.sources.shared import clear, materialize
 KEY = ("machine", "sensor")
 
 
-def global_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def global_index(df: DataFrame, order: list[str], name: str, spent: list[str] | None = None) -> DataFrame:
     """Adds the 0-based position of each row in the order of the columns ``order``, nulls first.
 
     Spark deals the rows into ranges of that order by a sample, so neither an outlier nor a
     frequent value makes a range large; each range is sorted by itself and written once with
     its number and the rows' places in it. Only the sizes of the ranges, a row each, come together.
+    The path of that table goes to ``spent``.
     """
     spark = df.sparkSession
     r, i, n, before = "__range", "__place", "__rows", "__before"
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The id that Spark gives is the number of the partition, shifted, plus the place in it.
     placed = dealt.withColumn(i, F.monotonically_increasing_id()).withColumn(r, F.shiftright(i, 33))
-    placed = materialize(placed.withColumn(i, F.col(i).bitwiseAND((1 << 33) - 1)), "index")
+    placed = materialize(placed.withColumn(i, F.col(i).bitwiseAND((1 << 33) - 1)), "index", spent=spent)
     clear(spark, [])  # the shuffle's files
     at, starts = 0, []
     for row in sorted(placed.groupBy(r).agg(F.count(F.lit(1)).alias(n)).collect(), key=lambda x: x[r]):

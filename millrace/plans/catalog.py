@@ -13,12 +13,14 @@ from millrace.functions import fields, markov
 from millrace.operators import detect, metadata, reorder, windows
 from millrace.schema import I40, IOT, RESOURCE, RESULT, SCORE, SSN, TYPE, WMD, XSD
 from millrace.sources import graph, tables
-from millrace.sources.shared import materialize, shared_path
+from millrace.sources.shared import clear, materialize, shared_path
 from millrace.streaming import detector
 
 P = Params()
 K = 3
 SENSORS = 4
+#: Groups in a file of a stream.
+STREAM_ROWS = 250_000
 CONFIG_PREFIX = "http://example.org/settings/"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,17 +324,21 @@ def detect_live(spark, sf_dir):
 
     A machine's messages are a second apart, and from its fifth on some come after their successors.
     """
-    groups = tables.groups(spark, sf_dir)
+    spent: list[str] = []
+    groups = tables.groups(spark, sf_dir, spent).select("lts", "machine", *tables.SENSORS)
     nth = F.row_number().over(Window.partitionBy("machine").orderBy("lts")) - 1
     groups = groups.withColumn("nth", nth).withColumn("arrival", F.col("lts") + F.when(F.col("nth") > 4, F.pmod(F.col("nth") * 7, F.lit(3)) * 150).otherwise(0))
-    messages = _rendered_groups(groups, F.timestamp_seconds(F.lit(1_483_228_800) + F.col("nth")), "arrival")
     out = shared_path(spark, "live")
-    messages = materialize(messages, "messages")
-    last = messages.agg(F.max("arrival")).first()[0] or 0
+    groups = materialize(groups, "groups", "zstd", spent)
+    told = groups.agg(F.max("arrival").alias("last"), F.count(F.lit(1)).alias("n")).first()
+    files = max(2, -(-told["n"] // (3 * STREAM_ROWS)))
     for i in range(3):  # one write after the other, so that batches come in this order
-        part = messages.where(F.floor(F.col("arrival") * 3 / (last + 1)) == i)
-        part.repartition(2).write.mode("append").parquet(f"{out}/messages")
-    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", "2").parquet(f"{out}/messages")
+        part = groups.where(F.floor(F.col("arrival") * 3 / ((told["last"] or 0) + 1)) == i)
+        part.repartition(files).write.mode("append").option("compression", "zstd").parquet(f"{out}/groups")
+    clear(spark, spent)
+    # Messages are made of their groups as they come, so that their text is never on a disk.
+    stream = spark.readStream.schema(groups.schema).option("maxFilesPerTrigger", str(files)).parquet(f"{out}/groups")
+    stream = _rendered_groups(stream, F.timestamp_seconds(F.lit(1_483_228_800) + F.col("nth")), "arrival")
     known = materialize(metadata.match_pattern(_triples(spark, sf_dir)), "metadata")
     return _as_rendered(detector.run_detection(stream, known, P, f"{out}/run"))
 

@@ -12,10 +12,10 @@ ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpric
 SENSORS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def groups(spark: SparkSession, sf_dir: str, spent: list[str] | None = None) -> DataFrame:
     """One observation group per line item: (lts, machine, shipped, and the four measures)."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *ORDER, "l_discount", "l_tax")
-    return global_index(items, ["l_orderkey", *ORDER], "lts").withColumn("machine", F.col("l_suppkey").cast("int"))
+    return global_index(items, ["l_orderkey", *ORDER], "lts", spent).withColumn("machine", F.col("l_suppkey").cast("int"))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

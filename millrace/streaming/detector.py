@@ -20,6 +20,7 @@ from millrace.functions.markov import label_windows, replay
 from millrace.operators import detect, metadata as meta
 from millrace.schema import SCORE
 from millrace.sources import graph
+from millrace.sources.shared import clear, few
 
 _FLAGS = "steady boolean, current long, ordinal long, win array<double>, win_lts array<long>"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -82,29 +83,32 @@ class _Waiting:
     """Readings that wait, as a dict over a map state: what a batch adds stays in memory until :meth:`store`."""
 
     def __init__(self, state):
-        self.state, self.new = state, {}
+        self.state, self.new, self.keys = state, {}, None
         self.old = state.exists()
 
-    def _held(self, ts: int) -> bool:
-        return self.old and self.state.containsKey((ts,))
+    def _held(self) -> set[int]:
+        """Times in the state; asked for once, since each question goes to the state's server."""
+        if self.keys is None:
+            self.keys = {k[0] for k in self.state.keys()} if self.old else set()
+        return self.keys
 
     def __contains__(self, ts: int) -> bool:
-        return ts in self.new or self._held(ts)
+        return ts in self.new or ts in self._held()
 
     def __setitem__(self, ts: int, row: tuple) -> None:
         self.new[ts] = row
 
     def __iter__(self) -> Iterator[int]:
-        held = [k[0] for k in self.state.keys()] if self.old else []
-        return iter({*held, *self.new})
+        return iter({*self._held(), *self.new})
 
     def __len__(self) -> int:
         return sum(1 for _ in self)
 
     def pop(self, ts: int) -> tuple:
-        held = self.state.getValue((ts,)) if self._held(ts) else None
+        held = self.state.getValue((ts,)) if ts in self._held() else None
         if held is not None:
             self.state.removeKey((ts,))
+            self.keys.remove(ts)
         return self.new.pop(ts) if ts in self.new else tuple(held)
 
     def store(self) -> None:
@@ -155,7 +159,8 @@ class OutputBarrier:
     ``sensors`` is as of :func:`millrace.operators.detect.complete_times`. Under ``path`` each
     epoch writes the scores that came, once, then what it emits, then how far output has come
     and which epochs still hold scores beyond that. So nothing that waits is written again, and
-    an epoch that runs again writes the same again.
+    an epoch that runs again writes the same again. Scores that are all behind the output are
+    deleted by the next epoch.
     """
 
     def __init__(self, path: str, params: Params, sensors):
@@ -163,11 +168,13 @@ class OutputBarrier:
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.select(*[f.split()[0] for f in SCORE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/scores/{epoch}")
+        batch.select(*[f.split()[0] for f in SCORE.split(", ")]).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/scores/{epoch}")
         cursor, open_epochs = 0, []
         if epoch:
-            before = spark.read.parquet(f"{self.path}/progress/{epoch - 1}").first()
+            before = self._progress(spark, epoch - 1)
             cursor, open_epochs = before["cursor"], list(before["open_epochs"])
+            was_open = [*self._progress(spark, epoch - 2)["open_epochs"], epoch - 1] if epoch > 1 else [0]
+            clear(spark, [f"{self.path}/scores/{e}" for e in was_open if e not in open_epochs])  # the epoch before won't run again
         epochs = [*open_epochs, epoch]
         read = spark.read.schema(SCORE)
         waiting = read.parquet(*[f"{self.path}/scores/{e}" for e in epochs]).where(F.col("oldest_lts") >= cursor)  # older ones are stale
@@ -177,6 +184,9 @@ class OutputBarrier:
         still = [e for e in epochs if not read.parquet(f"{self.path}/scores/{e}").where(F.col("oldest_lts") >= gap).isEmpty()]
         spark.createDataFrame([(gap, still)], "cursor long, open_epochs array<long>").write.mode("overwrite").parquet(f"{self.path}/progress/{epoch}")
 
+    def _progress(self, spark: SparkSession, epoch: int):
+        return spark.read.parquet(f"{self.path}/progress/{epoch}").first()
+
     def emitted(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(SCORE).parquet(f"{self.path}/emitted/*")
 
@@ -239,7 +249,7 @@ def run_detection(messages: DataFrame, metadata: DataFrame, params: Params, out:
     by the barrier until their logical times are complete; returns the numbered anomalies
     emitted so far.
     """
-    known = metadata.select("machine", "sensor", "k").distinct()
+    known = few(metadata.select("machine", "sensor", "k").distinct())
     readings = graph.parse_any_order(messages, known=known, keep=["arrival"]).join(known, ["machine", "sensor"])
     barrier = OutputBarrier(f"{out}/barrier", params, meta.sensors_per_machine(metadata))
     _run(stream_scores(readings, params), out, lambda w: w.foreachBatch(barrier))
