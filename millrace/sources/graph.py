@@ -104,12 +104,13 @@ def parse_any_order(messages: DataFrame, column: str = "payload", known: DataFra
     """
     texts = _text(messages, column).select(*keep, "__text")
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in texts.schema[:-1])
-    data = texts.mapInArrow(lines.read_messages, f"{kept}machine long, lts long, said string, sensor int, text string")
+    data = texts.mapInArrow(lines.read_messages, f"{kept}machine long, lts long, ts long, said string, sensor int, value double, text string")
     data = data.withColumn("machine", F.col("machine").cast("int"))
     if known is not None:
         data = data.join(few(known.select("machine", "sensor").distinct()), ["machine", "sensor"], "left_semi")
-    number = F.coalesce(F.col("text").try_cast("double"), F.lit(float("nan")))
-    return data.select(*keep, "machine", "sensor", _needed(fields.millis(F.col("said")), "time").alias("ts"), "lts", number.alias("value"))
+    number = F.coalesce("value", F.col("text").try_cast("double"), F.lit(float("nan")))
+    ts = F.coalesce("ts", _needed(fields.millis(F.col("said")), "time"))
+    return data.select(*keep, "machine", "sensor", ts.alias("ts"), "lts", number.alias("value"))
 
 
 def parse_in_order(messages: DataFrame, column: str = "payload") -> DataFrame:

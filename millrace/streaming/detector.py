@@ -1,8 +1,11 @@
 """The detector as a streaming query: keyed reordering and windows, and an ordered output barrier.
 
 State per (machine, sensor) is in Spark's RocksDB state store: readings that wait are entries of
-a map by time, so a batch writes what it adds and removes, not all that waits. Each
+a map by key and time, so a batch writes what it adds and removes, not all that waits. Each
 micro-batch's rows of a key are taken in the order of ``arrival``, since a shuffle keeps none.
+
+Keys are dealt into ``BUCKETS``, and a task's readings of a bucket travel as one value, as Spark hands
+a stateful processor its rows one by one. The processor takes all keys of a bucket at once.
 """
 
 from __future__ import annotations
@@ -11,18 +14,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from millrace.config import Params
-from millrace.functions.markov import label_windows, replay
+from millrace.functions.markov import CHUNK, score_columns
 from millrace.operators import detect, metadata as meta
 from millrace.schema import SCORE
 from millrace.sources import graph
 from millrace.sources.shared import clear, few
 
-_FLAGS = "steady boolean, current long, ordinal long, win array<double>, win_lts array<long>"
+#: Keys are dealt into so many buckets, each one state; a shuffle deals the buckets to tasks.
+BUCKETS = 1024
+#: Readings that are gathered before they are packed by bucket.
+PACKED = 1 << 18
+_READING = np.dtype([("arrival", "<i8"), ("ts", "<i8"), ("lts", "<i8"), ("value", "<f8"), ("machine", "<i4"), ("sensor", "<i4"), ("k", "<i4"), ("nulls", "u1")])
+_KEY = "machine int, sensor int"
+_FLAGS = "steady boolean, current long, ordinal long, waiting long, win binary, win_lts binary"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,36 +70,85 @@ class KeyedDetector:
             self.current += delta
         return out
 
-    def scores(self, rows) -> list[tuple[int, int, float]]:
-        """(oldest logical time, ordinal, probability) of each window that the rows (ts, value, lts) fill."""
-        kept = [r for row in rows for r in self.push(*row) if np.isfinite(r[1])]
-        if not kept:
-            return []
-        size, old = self.params.window, len(self.win)
-        values = np.array([*self.win, *(v for _, v, _ in kept)])
-        times = [*self.win_lts, *(t for _, _, t in kept)]
-        first = self.ordinal + 1 - old  # ordinal of values[0]
-        self.ordinal += len(kept)
-        self.win, self.win_lts = values[-size:].tolist(), times[-size:]
-        begin = max(0, old - size + 1)
-        if len(values) - begin < size:
-            return []
-        x = np.lib.stride_tricks.sliding_window_view(values[begin:], size)
-        p = replay(label_windows(x, np.full(len(x), self.k), self.params), self.params)
-        return [(times[begin + i], first + begin + i + size - 1, float(q)) for i, q in enumerate(p)]
+    def release(self, ts: np.ndarray, value: np.ndarray, lts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, logical times) of what readings in the order of their arrival release, in order of time; as :meth:`push` of each.
+
+        Once a stream is steady, readings whose times are distinct, not late and on the grid of
+        ``delta`` release the same in whatever order they come, so they are sorted at once.
+        """
+        i, out = 0, []
+        while i < len(ts) and not self.steady:
+            out += self.push(int(ts[i]), float(value[i]), int(lts[i]))
+            i += 1
+        ts, value, lts = ts[i:], value[i:], lts[i:]
+        held = np.array(list(self.pending), dtype=np.int64) if len(ts) else ts
+        every = np.concatenate([ts, held])
+        order = np.argsort(every, kind="stable")
+        step, off = np.divmod(every[order] - self.current, max(self.params.delta, 1))
+        if self.params.delta < 1 or off.any() or (step[:1] < 0).any() or (step[1:] == step[:-1]).any():
+            for row in zip(ts.tolist(), value.tolist(), lts.tolist()):
+                out += self.push(*row)
+            ts = ts[:0]
+        done = np.array([r[1] for r in out], dtype=np.float64), np.array([r[2] for r in out], dtype=np.int64)
+        if not len(ts):
+            return done
+        n = int(np.count_nonzero(step == np.arange(len(step))))  # steps are distinct and ascend, so those in line come first
+        gone, left = order[:n], order[n:]
+        told = np.concatenate([value, np.zeros(len(held))]), np.concatenate([lts, np.zeros(len(held), dtype=np.int64)])
+        for j in gone[gone >= len(ts)].tolist():
+            told[0][j], told[1][j] = self.pending.pop(int(every[j]))
+        for j in left[left < len(ts)].tolist():
+            self.pending[int(ts[j])] = (float(value[j]), int(lts[j]))
+        self.current += n * self.params.delta
+        return np.concatenate([done[0], told[0][gone]]), np.concatenate([done[1], told[1][gone]])
+
+    def windows(self, ts: np.ndarray, value: np.ndarray, lts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(values, logical times, ordinal of the first, place of the first that ends a new window) of the readings that windows are cut of."""
+        value, lts = self.release(ts, value, lts)
+        real = np.isfinite(value)
+        old, size = len(self.win), self.params.window
+        value, lts = np.concatenate([self.win, value[real]]), np.concatenate([np.array(self.win_lts, dtype=np.int64), lts[real]])
+        first = self.ordinal + 1 - old
+        self.ordinal += len(value) - old
+        tail = max(0, len(value) - (size - 1))
+        self.win, self.win_lts = value[tail:], lts[tail:]
+        return value, lts, first, max(old, size - 1)
+
+
+def _windows_of(found: list, params: Params) -> pd.DataFrame:
+    """SCORE rows of the windows of (machine, sensor, k, values, logical times, ordinal of the first, first end), key by key."""
+    size, at, ends, owner, ordinal = params.window, 0, [], [], []
+    for i, (_, _, _, value, _, first, begin) in enumerate(found):
+        end = np.arange(begin, len(value))
+        ends.append(at + end)
+        ordinal.append(first + end)
+        owner.append(np.full(len(end), i))
+        at += len(value)
+    ends, owner, ordinal = np.concatenate(ends), np.concatenate(owner), np.concatenate(ordinal)
+    value, lts = np.concatenate([x[3] for x in found]), np.concatenate([x[4] for x in found])
+    k, made = np.array([x[2] for x in found])[owner], score_columns(params)
+    p = [np.empty(0)]
+    for i in range(0, len(ends), CHUNK):
+        e = ends[i : i + CHUNK]
+        p.append(made(value[e - (size - 1) + np.arange(size)[:, None]], k[i : i + CHUNK]).to_numpy())
+    names = [pd.array([x[c] for x in found], dtype="Int32").take(owner) for c in (0, 1)]
+    return pd.DataFrame({"machine": names[0], "sensor": names[1], "oldest_lts": lts[ends - (size - 1)], "ordinal": ordinal.astype(np.int64), "probability": np.concatenate(p)})
 
 
 class _Waiting:
-    """Readings that wait, as a dict over a map state: what a batch adds stays in memory until :meth:`store`."""
+    """Readings of ``key`` that wait, as a dict over a map state: what a batch adds stays in memory until :meth:`store`.
+
+    ``held`` are the times that the state has for the key, if they are known.
+    """
 
-    def __init__(self, state):
-        self.state, self.new, self.keys = state, {}, None
-        self.old = state.exists()
+    def __init__(self, state, key: tuple = (), held: set[int] | None = None):
+        self.state, self.key, self.new, self.keys = state, key, {}, held
+        self.old = held is None and state.exists()
 
     def _held(self) -> set[int]:
         """Times in the state; asked for once, since each question goes to the state's server."""
         if self.keys is None:
-            self.keys = {k[0] for k in self.state.keys()} if self.old else set()
+            self.keys = {k[-1] for k in self.state.keys() if tuple(k[:-1]) == self.key} if self.old else set()
         return self.keys
 
     def __contains__(self, ts: int) -> bool:
@@ -105,15 +164,55 @@ class _Waiting:
         return sum(1 for _ in self)
 
     def pop(self, ts: int) -> tuple:
-        held = self.state.getValue((ts,)) if ts in self._held() else None
+        held = self.state.getValue((*self.key, ts)) if ts in self._held() else None
         if held is not None:
-            self.state.removeKey((ts,))
+            self.state.removeKey((*self.key, ts))
             self.keys.remove(ts)
         return self.new.pop(ts) if ts in self.new else tuple(held)
 
     def store(self) -> None:
         for ts, row in self.new.items():
-            self.state.updateValue((ts,), row)
+            self.state.updateValue((*self.key, ts), row)
+
+
+def _whole(column, missing: int) -> np.ndarray:
+    return column.fill_null(missing).to_numpy()
+
+
+def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(bucket, rows) of readings (bucket, machine, sensor, arrival, ts, lts, value, k); the bytes of the rows stand place by place, so that they compress."""
+    told = pa.Table.from_batches(batches)
+    if told["ts"].null_count:
+        raise ValueError("reading without time")
+    bucket = told["bucket"].to_numpy()
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    bucket, rows = bucket[order], np.empty(len(order), dtype=_READING)
+    for name in ("machine", "sensor", "ts", "k"):
+        rows[name] = _whole(told[name], 0)[order]
+    rows["arrival"] = _whole(told["arrival"], (1 << 63) - 1)[order]
+    rows["lts"] = (_whole(told["lts"], 0) if not told["lts"].null_count else told["lts"].combine_chunks().fill_null(told["ts"].combine_chunks()).to_numpy())[order]
+    rows["value"] = told["value"].to_numpy()[order]  # null: NaN
+    rows["nulls"] = (told["machine"].is_null().to_numpy() + 2 * told["sensor"].is_null().to_numpy())[order]
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(order)]
+    texts = [rows[a:z].view(np.uint8).reshape(z - a, -1).T.tobytes() for a, z in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(texts, pa.binary())], names=["bucket", "rows"])
+
+
+def _unpacked(rows: bytes) -> np.ndarray:
+    return np.frombuffer(rows, dtype=np.uint8).reshape(_READING.itemsize, -1).T.copy().view(_READING)[:, 0]
+
+
+def pack(batches):
+    """For mapInArrow: readings, PACKED or a few more at a time, as a row a bucket."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACKED:
+            yield _packed(held)
+            held, n = [], 0
+    if n:
+        yield _packed(held)
 
 
 class _Processor(StatefulProcessor):
@@ -121,27 +220,36 @@ class _Processor(StatefulProcessor):
         self.params = params
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("flags", _FLAGS)
-        self.waiting = handle.getMapState("waiting", "ts long", "value double, lts long")
+        self.state = handle.getMapState("flags", _KEY, _FLAGS)
+        self.waiting = handle.getMapState("waiting", f"{_KEY}, ts long", "value double, lts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arrival", "lts"], kind="stable")
-        waiting = _Waiting(self.waiting)
-        detector = KeyedDetector(self.params, int(frame["k"].iloc[0]), self.state.get() if self.state.exists() else None, waiting)
-        value = frame["value"].astype("float64").to_numpy()  # null: NaN
-        found = detector.scores(zip(frame["ts"].tolist(), value.tolist(), frame["lts"].tolist()))
-        waiting.store()
-        self.state.update(detector.flags())
-        oldest, ordinal, probability = zip(*found) if found else ((), (), ())
-        yield pd.DataFrame(
-            {
-                "machine": pd.Series([key[0]] * len(found), dtype="int32"),
-                "sensor": pd.Series([key[1]] * len(found), dtype="int32"),
-                "oldest_lts": pd.Series(oldest, dtype="int64"),
-                "ordinal": pd.Series(ordinal, dtype="int64"),
-                "probability": pd.Series(probability, dtype="float64"),
-            }
-        )
+        told = np.concatenate([_unpacked(x) for frame in rows for x in frame["rows"]])
+        told = told[np.lexsort([told[c] for c in ("lts", "arrival", "sensor", "machine", "nulls")])]
+        fresh = np.zeros(len(told), dtype=bool)
+        for c in ("sensor", "machine", "nulls"):
+            fresh[1:] |= told[c][1:] != told[c][:-1]
+        cuts = [0, *np.flatnonzero(fresh).tolist(), len(told)]
+        known, held, found = self.state.exists(), None, []
+        ts, lts, value = (np.ascontiguousarray(told[c]) for c in ("ts", "lts", "value"))
+        for a, z in zip(cuts, cuts[1:]):
+            _, _, _, _, machine, sensor, k, nulls = told[a].tolist()
+            name = (None if nulls & 1 else machine, None if nulls & 2 else sensor)
+            flags = self.state.getValue(name) if known else None
+            if flags is not None and flags[3] and held is None:  # once for all keys of the bucket
+                held = {}
+                for m, s, t in self.waiting.keys():
+                    held.setdefault((m, s), set()).add(t)
+            waiting = _Waiting(self.waiting, name, held.get(name, set()) if flags is not None and flags[3] else set())
+            before = flags and (*flags[:3], np.frombuffer(flags[4], dtype=np.float64), np.frombuffer(flags[5], dtype=np.int64))
+            detector = KeyedDetector(self.params, k, before, waiting)
+            found.append((*name, k, *detector.windows(ts[a:z], value[a:z], lts[a:z])))
+            waiting.store()
+            steady, current, ordinal, win, win_lts = detector.flags()
+            self.state.updateValue(name, (steady, current, ordinal, len(waiting), win.tobytes(), win_lts.tobytes()))
+        scores = _windows_of(found, self.params)
+        if len(scores):
+            yield scores
 
     def close(self) -> None:
         pass
@@ -149,8 +257,11 @@ class _Processor(StatefulProcessor):
 
 def stream_scores(arrivals: DataFrame, params: Params) -> DataFrame:
     """SCORE rows of a stream of (machine, sensor, arrival, ts, lts, value, k); ``k`` is its sensor's number of clusters."""
-    rows = arrivals.select("machine", "sensor", "arrival", "ts", "lts", "value", "k")
-    return rows.groupBy("machine", "sensor").transformWithStateInPandas(_Processor(params), SCORE, "append", "None")
+    kinds = {"machine": "int", "sensor": "int", "arrival": "long", "ts": "long", "lts": "long", "value": "double", "k": "int"}
+    bucket = F.pmod(F.hash("machine", "sensor"), F.lit(BUCKETS)).alias("bucket")
+    rows = arrivals.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]).select(bucket, *kinds)
+    packed = rows.mapInArrow(pack, "bucket int, rows binary")
+    return packed.groupBy("bucket").transformWithStateInPandas(_Processor(params), SCORE, "append", "None")
 
 
 class OutputBarrier:
