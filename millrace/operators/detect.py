@@ -10,7 +10,7 @@ from millrace.config import Params
 from millrace.functions import markov
 from millrace.operators.metadata import sensors_per_machine
 from millrace.operators.windows import KEY, global_index, map_windows, sliding_windows
-from millrace.sources.shared import few, materialize
+from millrace.sources.shared import clear, few, materialize
 
 
 def score(readings: DataFrame, params: Params, k: Column, native: bool = False) -> DataFrame:
@@ -57,12 +57,14 @@ def first_gap(complete: DataFrame, start: int = 0, width: int = 1 << 20) -> int:
     t = t.select("t", F.floor(F.col("t") / width).alias("span"))
     place = F.row_number().over(Window.partitionBy("span").orderBy("t")) - 1
     filled = t.withColumn("in_line", F.col("t") - F.col("span") * width == place)
-    spans = filled.groupBy("span").agg(F.count_if("in_line").alias("filled")).where("filled > 0").orderBy("span")
+    spent: list[str] = []
+    spans = materialize(filled.groupBy("span").agg(F.count_if("in_line").alias("filled")).where("filled > 0"), "spans", spent=spent)  # a sort reads them twice
     gap = start
-    for row in spans.toLocalIterator():
+    for row in spans.orderBy("span").toLocalIterator():
         if row["span"] * width != gap - start:
             break
         gap += row["filled"]
+    clear(complete.sparkSession, spent)
     return gap
 
 

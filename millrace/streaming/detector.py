@@ -33,8 +33,11 @@ PACKED = 1 << 18
 _READING = np.dtype([("arrival", "<i8"), ("ts", "<i8"), ("lts", "<i8"), ("value", "<f8"), ("machine", "<i4"), ("sensor", "<i4"), ("k", "<i4"), ("nulls", "u1")])
 _KEY = "machine int, sensor int"
 _FLAGS = "steady boolean, current long, ordinal long, waiting long, win binary, win_lts binary"
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What holds while a stream starts; batches of texts of a mebibyte stay in a core's cache on their way to Python.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 20),
+}
 
 
 class KeyedDetector:
@@ -334,12 +337,14 @@ def dedup_stream(messages: DataFrame, id_col: str, time_col: str, delay: str) ->
 
 def _run(stream: DataFrame, out: str, add) -> None:
     spark = stream.sparkSession
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKS)
+    before = {key: spark.conf.get(key, None) for key in _SETTINGS}
+    for key, value in _SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         query = add(stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     query.awaitTermination()
 
 
