@@ -214,9 +214,11 @@ def test_usual_lines_are_read_as_any_line(spark):
 
     text = group(spark).first()["payload"]
     loose = text.replace("> .\n", "> . \n").replace(" .\n", "  .\n")
-    assert lines.readings_of(loose) == lines.readings_of(text) == lines.readings_of("\n".join(text.split("\n")[::-1]))
+    *head, found = lines.readings_of(text)
+    assert loose != text and lines.readings_of(loose) == (*head, found) and len(found) == 2
+    assert lines.readings_of("\n".join(text.split("\n")[::-1])) == (*head, found[::-1])
     said = ["2017-01-01T00:00:27+00:00", "2017-02-30T00:00:27Z", "1969-12-31T23:59:59-05:30", "2017-01-01T24:00:00Z", "0001-01-01T00:00:00Z", "x", ""]
-    told = [None if (t := lines.plain_millis(x)) is None else t for x in said]
+    told = [lines.plain_millis(x) for x in said]
     rows = spark.createDataFrame([(x,) for x in said], "said string")
     want = [r[0] for r in rows.select(F.expr("unix_millis(try_to_timestamp(said, \"yyyy-MM-dd'T'HH:mm:ssXXX\"))")).collect()]
     assert all(t is None or t == w for t, w in zip(told, want)) and sum(t is not None for t in told) == 3
